@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import table
 
-from . import chat_format, toxicity, url_filter
+from . import chat_format, media, packing, secrets, toxicity, url_filter
 
 #: The rules that op8 judges by.
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -25,6 +25,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_texts(table(spark, sf_dir, "documents"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"), secrets.train_markov(secrets.default_samples(spark)))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
@@ -53,7 +65,7 @@ FROM parts p LEFT JOIN fits f ON f.n = p.n AND f.k = 1"""
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op3_chat_format": op3_chat_format, "op8_url_filter": op8_url_filter}
+    return {f.__name__: f for f in (op1_toxicity, op2_media, op3_chat_format, op5_secrets, op8_url_filter, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
