@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import table
 
-from . import chat_format, media, packing, secrets, toxicity, url_filter
+from . import chat_format, media, near_dup, packing, secrets, toxicity, url_filter
 
 #: The rules that op8 judges by.
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -33,6 +33,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"), secrets.train_markov(secrets.default_samples(spark)))
 
 
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -65,7 +69,7 @@ FROM parts p LEFT JOIN fits f ON f.n = p.n AND f.k = 1"""
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_media, op3_chat_format, op5_secrets, op8_url_filter, op9_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_media, op3_chat_format, op5_secrets, op7_near_dup, op8_url_filter, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
