@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import table
 
-from . import chat_format, media, near_dup, packing, secrets, toxicity, url_filter
+from . import chat_format, decontaminate, lm_score, media, near_dup, packing, secrets, toxicity, url_filter
 
 #: The rules that op8 judges by.
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -29,6 +29,15 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_texts(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return lm_score.score(documents, lm_score.train(documents))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"), secrets.train_markov(secrets.default_samples(spark)))
 
@@ -69,7 +78,7 @@ FROM parts p LEFT JOIN fits f ON f.n = p.n AND f.k = 1"""
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_media, op3_chat_format, op5_secrets, op7_near_dup, op8_url_filter, op9_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_media, op3_chat_format, op4_decontaminate, op5_secrets, op7_near_dup, op8_url_filter, op9_packing, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
