@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import table
 
-from . import chat_format, decontaminate, lm_score, media, near_dup, packing, secrets, toxicity, url_filter
+from . import chat_format, decontaminate, lm_score, media, near_dup, packing, secrets, substring_dedup, toxicity, url_filter
 
 #: The rules that op8 judges by.
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -42,6 +42,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"), secrets.train_markov(secrets.default_samples(spark)))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -78,7 +82,7 @@ FROM parts p LEFT JOIN fits f ON f.n = p.n AND f.k = 1"""
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_media, op3_chat_format, op4_decontaminate, op5_secrets, op7_near_dup, op8_url_filter, op9_packing, op10_lm_score)}
+    return {f.__name__: f for f in (op1_toxicity, op2_media, op3_chat_format, op4_decontaminate, op5_secrets, op6_substring_dedup, op7_near_dup, op8_url_filter, op9_packing, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
