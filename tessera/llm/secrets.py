@@ -57,10 +57,11 @@ def default_samples(spark: SparkSession, n: int = 3000) -> DataFrame:
     )
     word = lambda k: F.element_at(words, (F.pmod(F.xxhash64(F.col("id"), F.lit(k)), F.lit(count)) + 1).cast("int"))
     plain = (
-        F.when(F.col("id") % 5 == 0, F.concat_ws("_", word(1), word(2), word(3)))
-        .when(F.col("id") % 5 == 1, F.concat(word(1), F.initcap(word(2)), F.initcap(word(3))))
-        .when(F.col("id") % 5 == 2, F.concat_ws("-", word(1), word(2), word(3)))
-        .when(F.col("id") % 5 == 3, F.concat_ws("/", word(1), word(2), word(3), word(4)))
+        F.when(F.col("id") % 6 == 0, F.concat_ws("_", word(1), word(2), word(3)))
+        .when(F.col("id") % 6 == 1, F.concat(word(1), F.initcap(word(2)), F.initcap(word(3))))
+        .when(F.col("id") % 6 == 2, F.concat_ws("-", word(1), word(2), word(3)))
+        .when(F.col("id") % 6 == 3, F.concat_ws("/", word(1), word(2), word(3), word(4)))
+        .when(F.col("id") % 6 == 4, F.upper(F.concat_ws("_", word(1), word(2), word(3))))
         .otherwise(F.concat(word(1), word(2), word(3), word(4), word(5)))
     )
     ids = spark.range(n)
