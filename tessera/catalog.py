@@ -1,17 +1,25 @@
-"""Registry of the engine's queries and their SQL equivalents."""
+"""All queries of the engine, and its flagship."""
 
 from __future__ import annotations
 
+import importlib
+
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera import registry
+
+for _name in ("text_queries", "retrieval_queries", "table_queries", "rollup_queries", "geo_queries", "intent_queries", "stream_queries"):
+    importlib.import_module(f"tessera.plans.{_name}")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """For each benchmark passage, the best document windows, with their text."""
+    return registry.QUERIES["rk14_search"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(registry.ORACLES)

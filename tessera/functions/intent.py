@@ -1,0 +1,43 @@
+"""Intent of a question by rules: patterns score, structure adds, bands give confidence."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Patterns of each intent, in order of precedence. All are RE2-safe and match anywhere, whatever the case.
+PATTERNS = {
+    "COMPARE": (r"\bcompar(e|ison)\b", r"\bdifferen(ce|t)\b", r"\bversus\b|\bvs\b"),
+    "SUMMARIZE": (r"\bsummar(y|ise|ize)\b", r"\bin short\b", r"\bmain points?\b"),
+    "TIMELINE": (r"\btimeline\b", r"\bchronolog", r"\bwhen did\b"),
+    "HOW_TO": (r"\bhow (do|can|to)\b", r"\bsteps?\b"),
+    "EXTRACT": (r"\blist (all|the|every)\b", r"\bextract\b", r"\bevery\b"),
+    "QUOTE_EVIDENCE": (r"\bquotes?\b", r"\bevidence\b", r"\bexact words\b"),
+    "CRITIQUE": (r"\bcriti(que|cise|cize)\b", r"\bweakness"),
+    "FACTUAL": (r"^(who|when|where|which)\b", r"\bwhat (is|are|was)\b"),
+}
+#: Questions that ask for a whole list.
+ENUMERATION = (r"\blist (all|the|every)\b", r"\bhow many\b", r"\ball of the\b", r"\bname (all|every)\b")
+
+
+def scores(question: Column) -> dict[str, Column]:
+    q = F.lower(question)
+    return {intent: sum((F.when(q.rlike(p), 1).otherwise(0) for p in patterns), F.lit(0)) for intent, patterns in PATTERNS.items()}
+
+
+def is_enumeration(question: Column) -> Column:
+    return F.lower(question).rlike("|".join(ENUMERATION))
+
+
+def classify(question: Column, floor: float = 0.6) -> Column:
+    """Struct (intent, confidence): the best pattern score, ties by order; 0.85 for two or more matches, 0.70 for one; under ``floor``, OVERVIEW at 0.5."""
+    own = scores(question)
+    best = F.greatest(*own.values())
+    intent = F.coalesce(*(F.when((c == best) & (best > 0), name) for name, c in own.items()), F.lit("OVERVIEW"))
+    confidence = F.when(best >= 2, 0.85).when(best == 1, 0.7).otherwise(0.5)
+    return F.struct(F.when(confidence < floor, "OVERVIEW").otherwise(intent).alias("intent"), confidence.alias("confidence"))
+
+
+def policy(question: Column, intent: Column) -> Column:
+    """Which rule for passages under the threshold holds: enumeration, factual, analytical or default."""
+    return F.when(is_enumeration(question), "enumeration").when(intent == "FACTUAL", "factual").when(intent.isin("COMPARE", "CRITIQUE", "SUMMARIZE"), "analytical").otherwise("default")
