@@ -83,28 +83,27 @@ def _lists(batches, bits: int, most: int):
 
 
 def fit_ftrl(lists: list[np.ndarray], labels: list[int], s: Settings) -> tuple[np.ndarray, float]:
-    """Weights by coordinate and the bias. One coordinate beyond the last is the bias, which bears no L1."""
+    """Weights by coordinate and the bias, which is the log-odds of label 1 among the rows and stays: a text without features is judged by that share alone."""
     size = 1 << s.bits
-    z, n = np.zeros(size + 1), np.zeros(size + 1)
-    l1 = np.full(size + 1, s.l1)
-    l1[size] = 0.0
+    z, n = np.zeros(size), np.zeros(size)
+    share = (sum(labels) + 0.5) / (len(labels) + 1)
+    bias = float(np.log(share / (1 - share)))
 
     def weights(at):
-        over = np.abs(z[at]) - l1[at]
+        over = np.abs(z[at]) - s.l1
         return np.where(over <= 0, 0.0, -np.sign(z[at]) * over / ((s.beta + np.sqrt(n[at])) / s.alpha + s.l2))
 
     order = np.arange(len(lists))
     for epoch in range(s.epochs):
         np.random.default_rng(epoch).shuffle(order)
         for i in order:
-            at = np.append(lists[i], size)
+            at = lists[i]
             w = weights(at)
-            g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - labels[i]
+            g = 1 / (1 + np.exp(-np.clip(bias + w.sum(), -35, 35))) - labels[i]
             step = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / s.alpha
             z[at] += g - step * w
             n[at] += g * g
-    w = weights(np.arange(size + 1))
-    return w[:size].astype(np.float32), float(w[size])
+    return weights(np.arange(size)).astype(np.float32), bias
 
 
 def fit_toxicity(documents: DataFrame, labels: DataFrame, settings: Settings = Settings(), *, usable=None) -> tuple[np.ndarray, float] | None:

@@ -284,12 +284,12 @@ def test_pipeline_agrees_with_plain_versions_of_its_stages(spark, tokenizer, tmp
     vocabulary = [f"{a}{b}" for a in ("lor", "ip", "dol", "am", "con", "sec") for b in ("em", "um", "or", "et", "ur", "te", "ad", "is", "it", "li")]
     text = lambda n: " ".join(rng.choice(vocabulary, n)) + "."
     items = [text(30) for _ in range(5)]
-    docs = [(i, text(120)) for i in range(80)]
-    docs = [(i, t + (" you vile scum" if i % 8 == 1 else "")) for i, t in docs]
-    docs += [(100, docs[0][1]), (101, docs[2][1] + " and"), (102, text(50) + " " + items[0] + " " + text(9)), (103, "password=abcdef123456 " + text(60)), (104, None), (105, "")]
+    docs = [(i, text(80)) for i in range(900)]
+    docs = [(i, t + (" you vile scum, vile scum" if i % 8 == 1 else "")) for i, t in docs]
+    docs += [(1000, docs[0][1]), (1001, docs[2][1] + " and"), (1002, text(50) + " " + items[0] + " " + text(9)), (1003, "password=abcdef123456 " + text(60)), (1004, None), (1005, "")]
     frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
     frame.coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
-    labels = [(i, 1, int(i % 8 == 1)) for i in range(80)]
+    labels = [(i, 1, int(i % 8 == 1)) for i in range(900)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
@@ -297,7 +297,7 @@ def test_pipeline_agrees_with_plain_versions_of_its_stages(spark, tokenizer, tmp
     same = groups(word_sets(left))
     left = [(i, t) for i, t in left if same[i] == i and items[0] not in (t or "")]
     left = [(i, (t or "").replace("password=abcdef123456", "[SECRET]")) for i, t in left]
-    assert {100, 101, 102} & {i for i, _ in left} == set() and 103 in dict(left)
+    assert {1000, 1001, 1002} & {i for i, _ in left} == set() and 1003 in dict(left)
     check_pieces(rows, left, tokenizer)
     docs_now = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
