@@ -13,12 +13,15 @@ lower-cased; fewer words: the whole sequence as one). Documents are linked where
    bands of 4, a pair at similarity 0.75 shares no band with probability 5e-6, at 0.8 3e-7.
 4. Stars. In each bucket all are compared with the bucket's least document, on full sets. This joins
    nearly all of each group without ever listing pairs within a bucket.
-5. The rest, exactly. In buckets that still hold more than one component, each document outside the
+5. Turns. In buckets that still hold more than one component, documents are compared with a few random
+   members of the bucket's largest component and one of all: each with the likeliest three by signature.
+   A few such turns join nearly all that is left, at a cost linear in the bucket.
+6. The rest, exactly. In buckets that still hold more than one component, each document outside the
    bucket's largest component is compared with every document of another component there: blocks of
    such documents are joined with the bucket (rows: members times blocks, not pairs), signatures
    compare whole blocks at once, and pairs with an estimate of at least ``sketch_least`` go to
    verification. An estimate lies 0.2 below the truth with probability under 1e-7.
-6. Components by alternating large-star and small-star steps on tables of edges; no driver, and no
+7. Components by alternating large-star and small-star steps on tables of edges; no driver, and no
    task, ever holds the edges.
 
 Defined cases: null and empty texts have n_shingles 0 and are their own component; repeated rows (a
@@ -35,7 +38,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch, Words, buffers, mix, runs, shingles
@@ -43,6 +46,8 @@ from .shared import Scratch, Words, buffers, mix, runs, shingles
 SLICE = 1 << 20
 #: Shingles that take their steps together; each needs ``size`` bytes.
 ELEMENTS = 1 << 17
+#: Of the bitmap that goes to every worker: 1 MB.
+FILTER_BITS = 1 << 23
 #: Documents outside a bucket's main component that travel as one block.
 BLOCK = 64
 
@@ -54,6 +59,8 @@ class Settings:
     k: int = 5
     percent: int = 75
     sketch_least: float = 0.55
+    turns: int = 2
+    tries: int = 3
 
 
 def superminhash(values: np.ndarray, owner: np.ndarray, n: int, size: int) -> np.ndarray:
@@ -112,32 +119,40 @@ def _signed(batches, s: Settings):
 def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     """(node, component) of all nodes of edges (a, b): component is the least node reachable. Alternating stars, each step a written table."""
     both = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    now, last, turn = scratch.save(both, f"{name}-0"), None, 0
+    now, turn = scratch.save(both, f"{name}-0"), 0
     while True:
         # large star: neighbours that are larger than a node go to the node's least neighbour
         around = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = around.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+        large = around.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b")
         # small star: smaller neighbours and the node itself go to the least of them
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select(F.col("m").alias("p"), F.col("a").alias("q"), "b")
         small = small.select(F.explode(F.array(F.struct(F.col("p").alias("a"), F.col("b").alias("b")), F.struct(F.col("p").alias("a"), F.col("q").alias("b")))).alias("e")).select("e.*").where("a < b").distinct()
         turn += 1
-        new = scratch.save(small, f"{name}-{turn}")
-        state = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = scratch.save(small, f"{name}-{turn}")
         scratch.drop(f"{name}-{turn - 1}")
-        now = new
-        if state == last:
+        # done when every edge is a ray of a star: no node hangs on two others, or on one and has its own
+        ends = now.select(F.col("a").alias("node"), F.lit(1).alias("top"), F.lit(0).alias("hangs")).unionAll(now.select("b", F.lit(0), F.lit(1)))
+        if ends.groupBy("node").agg(F.max("top").alias("top"), F.sum("hangs").alias("hangs")).where("hangs > 1 OR (hangs = 1 AND top = 1)").isEmpty():
             return now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionAll(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
-        last = state
+
+
+def _perhaps(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """documents without most rows whose doc_id is not wanted: a bitmap of hashed ids, of FILTER_BITS bits however many there are, spares their texts the shuffle that follows."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    maps = wanted.select(bit("doc_id").alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("__map"))
+    place = F.bitmap_bit_position(bit("doc_id"))
+    byte = F.conv(F.hex(F.substring("__map", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    joined = documents.join(F.broadcast(maps), F.bitmap_bucket_number(bit("doc_id")) == F.col("__bucket"))
+    return joined.where(F.getbit(byte, (place % 8).cast("int")) == 1).select(*documents.columns)
 
 
 def _verified(pairs: DataFrame, documents: DataFrame, s: Settings) -> DataFrame:
     """The pairs (a, b) that are links, on full sets computed from whole texts."""
     wanted = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
-    texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null").join(wanted, "doc_id", "left_semi")
-    one = texts.groupBy("doc_id").agg(F.first("text").alias("text"))
-    return _compared(pairs, one, s)
+    texts = _perhaps(documents.where("doc_id is not null"), wanted).join(wanted, "doc_id", "left_semi")
+    return _compared(pairs, texts.groupBy("doc_id").agg(F.first("text").alias("text")), s)
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
@@ -181,6 +196,46 @@ def _across(batches, s: Settings):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _open(entries: DataFrame, placed: DataFrame) -> DataFrame:
+    """(key, rep, component) of the buckets that hold more than one component."""
+    found = entries.select("key", "rep").join(placed.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    mixed = found.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    return found.join(mixed, "key")
+
+
+def _main(open_: DataFrame) -> DataFrame:
+    """(key, main): the component with most documents in each bucket."""
+    return open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+
+
+def _sketches(sketched: DataFrame, open_: DataFrame) -> DataFrame:
+    needed = open_.select(F.col("rep").alias("doc_id")).distinct()
+    return sketched.select("doc_id", "sketch").join(needed, "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
+
+
+def _tried(open_: DataFrame, sketched: DataFrame, turn: int, s: Settings) -> DataFrame:
+    """Pairs of different components: documents outside their bucket's main component with a few members of it, and all with one member at random; of each document the likeliest few."""
+    marked = open_.join(_main(open_), "key")
+    by = lambda i: F.xxhash64("rep", F.lit(turn * 10 + i))
+    member = F.struct("rep", "component")
+    inner = F.when(F.col("component") == F.col("main"), member)
+    leaders = marked.groupBy("key").agg(F.array(*(F.min_by(inner, F.when(F.col("component") == F.col("main"), by(i))) for i in range(3)), F.min_by(member, by(3))).alias("leaders"))
+    met = open_.join(leaders.select("key", F.explode("leaders").alias("other")), "key").where("component <> other.component").select(F.least("rep", "other.rep").alias("a"), F.greatest("rep", "other.rep").alias("b")).distinct()
+    sketches = _sketches(sketched, open_)
+    both = met.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
+
+    def estimated(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, s.size) for i in (2, 3))
+            share = (x == y).mean(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share)], names=["a", "b", "share"]).filter(pa.array(share >= s.sketch_least))
+
+    rated = both.select("a", "b", "sa", "sb").mapInArrow(estimated, "a long, b long, share double")
+    sides = rated.select(F.col("a").alias("rep"), "a", "b", "share").unionAll(rated.select("b", "a", "b", "share"))
+    best = Window.partitionBy("rep").orderBy(F.desc("share"), "a", "b")
+    return sides.withColumn("n", F.row_number().over(best)).where(F.col("n") <= s.tries).select("a", "b").distinct()
+
+
 def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of documents."""
     spark, s = documents.sparkSession, settings
@@ -203,24 +258,30 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> Da
     stars = scratch.save(_verified(scratch.save(pairs, "pairs"), source, s), "stars")
     first = scratch.save(components(scratch, stars, "cc"), "first")
 
-    # buckets that still hold several components
-    placed = entries.select("key", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    open_ = scratch.save(placed.join(mixed, "key"), "open")
-    sizes = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    needed = open_.select(F.col("rep").alias("doc_id")).distinct()
-    sketches = sketched.select("doc_id", "sketch").join(needed, "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
+    # components of one bucket that a few comparisons with other members may join
+    links, placed, open_ = stars, first, scratch.save(_open(entries, first), "open")
+    for turn in range(s.turns):
+        tried = scratch.save(_tried(open_, sketched, turn, s), f"tried-{turn}")
+        new = scratch.save(_verified(tried, source, s), f"new-{turn}")
+        scratch.drop(f"tried-{turn}")
+        if new.isEmpty():
+            break
+        links = links.unionAll(new)
+        placed = scratch.save(components(scratch, links, f"cc-{turn}"), f"placed-{turn}")
+        open_ = scratch.save(_open(open_, placed), f"open-{turn}")
+
+    # whatever is still apart: every pair
+    main = _main(open_)
+    sketches = _sketches(sketched, open_)
     full = open_.join(sketches, "rep")
     outside = open_.join(main, "key").where("component <> main").select("key", "rep", "component")
     parts = outside.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     blocks = outside.join(parts, "key").join(sketches, "rep").groupBy("key", F.pmod(F.xxhash64("rep"), "parts").alias("salt")).agg(F.collect_list(F.struct("rep", "component", "sketch")).alias("part"))
     crossed = full.join(blocks, "key").select("rep", "component", "sketch", "part").mapInArrow(lambda batches: _across(batches, s), "a long, b long")
     rest = scratch.save(crossed.distinct(), "rest")
-    more = _verified(rest, source, s)
-    links = scratch.save(stars.unionAll(more), "links")
+    more = scratch.save(_verified(rest, source, s), "more")
     scratch.drop("entries", "open", "pairs", "rest")
-    group = components(scratch, links, "cc2")
+    group = placed if more.isEmpty() else components(scratch, links.unionAll(more), "last")
     group = group.withColumnRenamed("node", "rep")
     placed = member.join(group, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     out = features.select("doc_id", "n_shingles").join(scratch.save(placed, "placed"), "doc_id", "left")
