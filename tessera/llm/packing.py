@@ -11,8 +11,9 @@ No shuffle: each input partition is packed by itself, in segments of bounded siz
 never mix partitions, and what is held does not grow with the partition. A task that is run again
 gives the same pieces and the same sequence ids.
 
-Tokens: white space never joins two tokens of the vocabulary's pre-tokenizer, so each piece between
-ASCII white space is encoded once by the tokenizer and then looked up by its 64-bit hash.
+Tokens: the vocabulary's pre-tokenizer never joins what ASCII white space parts, nor an ASCII letter
+and an ASCII sign or digit next to it (apostrophes and the signs of special tokens set aside). Each
+piece between such places is encoded once by the tokenizer, then looked up by its 64-bit hash.
 
 Defined cases: null text is empty; an empty text is the closing id alone; repeated rows are each
 packed; an empty table gives no rows; other columns are not read.
@@ -33,12 +34,17 @@ from pyspark.sql import functions as F
 
 from tessera.session import ship_package
 
-from .shared import ASCII_SPACE, Words, buffers, runs
+from .shared import ASCII_SPACE, FOLD, Words, buffers, runs
 
 SLICE = 1 << 20
 #: Words whose ids a worker keeps; beyond it forgets all and begins anew.
 KEPT_WORDS = 1_000_000
 _AS_IS = np.arange(256, dtype=np.uint8)
+#: 1: ASCII letters; 2: ASCII signs and digits that part from them; 0: bytes next to which nothing is cut.
+_SIDE = np.zeros(256, np.uint8)
+_SIDE[33:127] = 2
+_SIDE[[*range(65, 91), *range(97, 123)]] = 1
+_SIDE[list(b"'<|>")] = 0
 
 
 @dataclass(frozen=True)
@@ -102,13 +108,15 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each row."""
-        words = Words(data, offsets, ASCII_SPACE, _AS_IS)
+        side = _SIDE[data]
+        raw = data.tobytes()
+        # the tokenizer levels case, but for its special tokens
+        words = Words(data, offsets, ASCII_SPACE, _AS_IS if b"<|" in raw else FOLD, also=np.flatnonzero((side[1:] ^ side[:-1]) == 3) + 1)
         if not len(words):
             return np.zeros(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
         distinct, first, which = np.unique(words.hash, return_index=True, return_inverse=True)
         where, known = self._known(distinct)
         if not known.all():
-            raw = data.tobytes()
             if len(self.keys) + int((~known).sum()) > KEPT_WORDS:
                 self._forget()
                 known[:] = False

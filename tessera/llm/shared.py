@@ -94,8 +94,8 @@ class Words:
 
     __slots__ = ("ends", "first", "hash", "row", "starts")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = ASCII_SPACE, fold: np.ndarray = FOLD, hashed: bool = True):
-        """apart: which bytes stand between words. first: for each row its first word, and the number of words at the end."""
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = ASCII_SPACE, fold: np.ndarray = FOLD, hashed: bool = True, also: np.ndarray | None = None):
+        """apart: which bytes stand between words. also: places (over 0) where words are cut besides. first: for each row its first word, and the number of words at the end."""
         n, rows = len(data), len(offsets) - 1
         inside = ~apart[data]
         before, after = np.zeros(n, bool), np.zeros(n, bool)
@@ -104,6 +104,8 @@ class Words:
             cuts = offsets[1:-1]
             cuts = cuts[(cuts > 0) & (cuts < n)]
             before[cuts], after[cuts - 1] = False, False
+            if also is not None:
+                before[also], after[also - 1] = False, False
         self.starts, self.ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
         self.row = np.searchsorted(offsets, self.starts, side="right") - 1
         self.first = np.searchsorted(self.starts, offsets, side="left") if rows else np.zeros(1, np.int64)
