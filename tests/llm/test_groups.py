@@ -200,6 +200,23 @@ def test_salted_seeds_give_the_same_documents(spark):
     assert len(got) == 120 and {r["class_id"] for r in got} == {0}
 
 
+def test_passages_whose_seeds_have_several_leaders(spark):
+    rng = np.random.default_rng(21)
+    one, two, three = (words_of(rng, 20) for _ in range(3))
+    own = [words_of(rng, 40) for _ in range(4)]
+    docs = [own[0] + one + two, two + three + own[1], own[2] + one + two + three, one + two + three + own[3]]
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in substring_dedup.repeated_passages(df).collect()}
+    assert set(got) == {2, 3} and {r["class_id"] for r in got.values()} == {2}
+    assert got[2]["spans"] == "40:100" and got[3]["spans"] == "0:60"
+    # a part of the passage is known from a leader, the other part has another
+    four = words_of(rng, 20)
+    docs = [own[0] + one + two + three, four + own[1], own[2] + one + two + three + four, one + two + three + four + own[3]]
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in substring_dedup.repeated_passages(df).collect()}
+    assert set(got) == {0, 2, 3} and got[2]["spans"] == "40:120" and got[3]["spans"] == "0:80"
+
+
 def test_chain_is_the_best_of_all_chains():
     rng, s = np.random.default_rng(8), substring_dedup.Settings()
     for _ in range(100):
