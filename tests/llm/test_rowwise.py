@@ -5,10 +5,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, lm_score, media, queries, secrets, toxicity, url_filter
+from tessera.llm.shared import buffers
 
 SCHEMA = "doc_id long, text string, score string, row string, n_chars long"
 EDGE = [
@@ -239,3 +241,21 @@ def test_common_length_is_that_of_dynamic_programming():
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
         assert decontaminate.common_length(decontaminate._masks(np.array(a)), len(a), b) == table[-1][-1]
+
+
+def test_filter_of_shared_words_drops_no_leak():
+    rng, s = np.random.default_rng(31), decontaminate.Settings(cosine=-2.0)
+    vectors = rng.normal(size=(s.terms, s.rank)).astype(np.float32)
+    texts = [[f"q{x}" for x in rng.integers(0, 5000, n)] for n in (5, 16, 21, 40, 64)]
+    docs = []
+    for item in texts:
+        for offset in range(16):
+            for part in (0.0, 0.1, 0.2):
+                own = [f"z{rng.integers(10**6)}" if rng.random() < part else w for w in item]
+                longer = [x for w in item for x in ([f"z{rng.integers(10**6)}", w] if rng.random() < 2 * part else [w])]
+                docs += [[f"f{x}" for x in rng.integers(0, 5000, offset)] + d + ["f1", "f2"] for d in (own, longer)]
+    words = decontaminate._words(*buffers(pa.array([" ".join(d) for d in docs])))
+    items = [decontaminate.Item(i, " ".join(t), None) for i, t in enumerate(texts)]
+    searcher, plain = (decontaminate.Searcher(items, vectors, s) for _ in range(2))
+    plain.needed[:] = 0
+    assert searcher.leaks(words) == plain.leaks(words) and len(plain.leaks(words)) > 300
