@@ -7,9 +7,9 @@ and bytes above 127, A-Z lower-cased. FTRL keeps a learning rate per coordinate,
 leaves few weights other than zero: these, at most ``2**bits`` of them, go to the workers.
 
 The classifier is fitted on at most ``max_rows`` labelled rows, chosen by a hash of their id: a
-documented bound. Only their feature lists reach the driver, each at most ``2**bits`` numbers and
-together at most ``max_features``, shared evenly (a longer list keeps its hash-smallest coordinates;
-the bound concerns fitting alone). Scores are computed for whole texts of all rows without shuffle.
+documented bound. Their whole feature lists, each at most ``2**bits`` numbers, are written to a table
+that the driver reads as a stream, in another order each epoch. Scores are computed for whole texts of
+all rows without shuffle.
 
 Defined cases: a null or empty text has no features and is scored by the bias alone; rows without a
 label, or with a null label, take no part in fitting; where a doc_id has several labels the largest
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import ship_package
 
-from .shared import POWERS, FOLD, RANDOM_OF_BYTE, Words, buffers, mix, runs
+from .shared import POWERS, FOLD, RANDOM_OF_BYTE, Scratch, Words, buffers, mix, runs
 
 #: Bytes of text that are turned into features at once.
 SLICE = 2 << 20
@@ -42,7 +42,6 @@ _PAIR = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64
 class Settings:
     bits: int = 20
     max_rows: int = 8192
-    max_features: int = 24_000_000
     epochs: int = 2
     alpha: float = 0.2
     beta: float = 1.0
@@ -70,7 +69,7 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int):
             yield (mix(h[:-gap] * salt + h[gap:]) >> shift).astype(np.int32)[same], row[gap:][same]
 
 
-def _lists(batches, bits: int, most: int):
+def _lists(batches, bits: int):
     """Each row's distinct coordinates, for fitting."""
     for batch in batches:
         data, offsets = buffers(batch.column(2))
@@ -78,28 +77,23 @@ def _lists(batches, bits: int, most: int):
         for i in range(len(labels)):
             got = [c for c, _ in features(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]), bits)]
             own = np.unique(np.concatenate(got)) if got else np.zeros(0, np.int32)
-            own = own if len(own) <= most else own[np.argsort(mix(own.astype(np.uint64)), kind="stable")[:most]]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([labels[i]], pa.int32()), pa.array([own.astype(np.int32).tobytes()])], names=["id", "label", "list"])
 
 
-def fit_ftrl(lists: list[np.ndarray], labels: list[int], s: Settings) -> tuple[np.ndarray, float]:
-    """Weights by coordinate and the bias, which is the log-odds of label 1 among the rows and stays: a text without features is judged by that share alone."""
+def fit_ftrl(examples, share: float, s: Settings) -> tuple[np.ndarray, float]:
+    """Weights by coordinate and the bias, which is the log-odds of label 1 among the rows and stays: a text without features is judged by that share alone. examples: the (label, coordinates) of an epoch, in its order."""
     size = 1 << s.bits
     z, n = np.zeros(size), np.zeros(size)
-    share = (sum(labels) + 0.5) / (len(labels) + 1)
     bias = float(np.log(share / (1 - share)))
 
     def weights(at):
         over = np.abs(z[at]) - s.l1
         return np.where(over <= 0, 0.0, -np.sign(z[at]) * over / ((s.beta + np.sqrt(n[at])) / s.alpha + s.l2))
 
-    order = np.arange(len(lists))
     for epoch in range(s.epochs):
-        np.random.default_rng(epoch).shuffle(order)
-        for i in order:
-            at = lists[i]
+        for label, at in examples(epoch):
             w = weights(at)
-            g = 1 / (1 + np.exp(-np.clip(bias + w.sum(), -35, 35))) - labels[i]
+            g = 1 / (1 + np.exp(-np.clip(bias + w.sum(), -35, 35))) - label
             step = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / s.alpha
             z[at] += g - step * w
             n[at] += g * g
@@ -117,14 +111,21 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, settings: Settings = S
     own = own.groupBy("doc_id").agg(F.max("label").alias("label"))
     # max_rows small rows at most: safe to send to every worker
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.max_rows)
-    most = max(1, s.max_features // s.max_rows)
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
     kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = texts.mapInArrow(lambda batches: _lists(batches, s.bits, most), f"id {kind}, label int, list binary").collect()
-    if not rows:
+    scratch = Scratch(spark, "toxicity")
+    lists = scratch.save(texts.mapInArrow(lambda batches: _lists(batches, s.bits), f"id {kind}, label int, list binary"), "lists")
+    n, ones = lists.agg(F.count(F.lit(1)), F.sum("label")).first()
+    if not n:
         return None
-    rows.sort(key=lambda r: (r["id"], bytes(r["list"])))
-    return fit_ftrl([np.frombuffer(r["list"], np.int32) for r in rows], [r["label"] for r in rows], s)
+
+    def examples(epoch):
+        for r in lists.orderBy(F.xxhash64("id", F.lit(epoch)), "id", "list").toLocalIterator():
+            yield r["label"], np.frombuffer(r["list"], np.int32)
+
+    model = fit_ftrl(examples, (ones + 0.5) / (n + 1), s)
+    scratch.drop("lists")
+    return model
 
 
 def score_texts(column, weights: np.ndarray, bias: float, bits: int) -> np.ndarray:

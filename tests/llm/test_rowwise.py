@@ -134,6 +134,17 @@ def test_toxicity_learns_and_never_sees_held_out_labels(spark, edge, none):
     assert toxicity.keep_clean(edge, None).count() == len(EDGE)
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(3000)) for c in ("bad", "good")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    s = toxicity.Settings(l1=0.0)
+    weights, _ = toxicity.fit_toxicity(docs, spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int"), s)
+    for text in texts:
+        data = np.frombuffer(text.encode(), np.uint8)
+        at = np.unique(np.concatenate([c for c, _ in toxicity.features(data, np.array([0, len(data)]), s.bits)]))
+        assert len(at) > 9000 and (weights[at] != 0).all()
+
+
 PATTERNS = (
     ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6),
     ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
