@@ -9,14 +9,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.session import ship_package
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset, one of our own (tests)."""
+    """The folder named by spark.checkpoint.dir; only where that is unset and all runs on this machine, one of our own (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster, set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -39,6 +42,32 @@ class Scratch:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def drop_but(self, *names: str) -> None:
+        """Delete all tables of this run except those that a result still reads."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        system = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if system.exists(root):
+            for entry in system.listStatus(root):
+                if entry.getPath().getName() not in names:
+                    system.delete(entry.getPath(), True)
+
+
+#: Bits of a bitmap of ids: 16 for each, between these; 32 MB at most go to every worker.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+
+
+def perhaps(rows: DataFrame, wanted: DataFrame, key: str, split: bool = False):
+    """rows without most of those whose key is not among wanted's (which has that column): a broadcast bitmap of hashed keys spares them the shuffle of the join that follows. split: a pair, those that may be wanted and those that surely are not (null keys too)."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * wanted.count()).bit_length()))
+    bit = F.pmod(F.xxhash64(key), F.lit(bits))
+    maps = wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("__map"))
+    place = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("__map", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    has = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)) & F.col(key).isNotNull()
+    joined = rows.join(F.broadcast(maps), F.bitmap_bucket_number(bit) == F.col("__bucket"), "left" if split else "inner")
+    maybe = joined.where(has).select(*rows.columns)
+    return (maybe, joined.where(~has).select(*rows.columns)) if split else maybe
+
 
 # --- bytes of a column -----------------------------------------------------
 

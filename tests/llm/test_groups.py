@@ -133,6 +133,29 @@ def test_near_duplicates_chain_through_unlike_documents(spark):
     assert got == groups(word_sets(texts))
 
 
+def test_near_duplicates_in_one_loose_group(spark):
+    """Many copies of one text, about half of them too far from it: buckets that hold several components, blocks and salts of a few rows."""
+    rng = np.random.default_rng(12)
+    texts = variants(rng, 1, 150, words=90, spread=8) + [(500 + k, t) for k, t in variants(rng, 30, 2, words=40)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    block, star = near_dup.BLOCK, near_dup.STAR
+    near_dup.BLOCK, near_dup.STAR = 8, 16
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(df).collect()}
+    finally:
+        near_dup.BLOCK, near_dup.STAR = block, star
+    want = groups(word_sets(texts))
+    assert got == want and 5 < len(set(want.values())) < 190
+
+
+def test_near_duplicates_of_one_id_with_several_texts(spark):
+    base = [f"c{i}" for i in range(100)]
+    a, b = " ".join(base[:40]), " ".join(base[50:])
+    rows = [(5, a), (5, b), (7, a), (3, b), (9, "x " + a), (9, "x " + a), (11, "alone")]
+    got = {(r["doc_id"], r["component_id"]) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 3), (7, 3), (3, 3), (9, 3), (11, 11)}
+
+
 def test_near_duplicates_on_odd_rows(spark):
     df = spark.createDataFrame([*EDGE, (None, "no id at all in here", "x")], SCHEMA)
     rows = near_dup.near_duplicates(df).collect()
