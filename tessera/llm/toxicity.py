@@ -13,8 +13,8 @@ all rows without shuffle.
 
 Defined cases: a null or empty text has no features and is scored by the bias alone; rows without a
 label, or with a null label, take no part in fitting; where a doc_id has several labels the largest
-counts; repeated rows are scored each; without usable labels every score is 0.5 and, as that gives
-no ground to reject anything, predicted is 0; columns other than those named are not read.
+counts; repeated rows are scored each; without usable labels every score is 0 and predicted 0, as
+nothing gives ground to reject; columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -167,8 +167,8 @@ def score_toxicity(documents: DataFrame, model, settings: Settings = Settings())
         if sent.value is not None:
             weights, bias = _dense(sent.value, s.bits)
         for batch in batches:
-            score = score_texts(batch.column(1), weights, bias, s.bits) if sent.value is not None else np.full(batch.num_rows, 0.5)
-            predicted = (score >= s.threshold) & (sent.value is not None)
+            score = score_texts(batch.column(1), weights, bias, s.bits) if sent.value is not None else np.zeros(batch.num_rows)
+            predicted = score >= s.threshold
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(predicted.astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
