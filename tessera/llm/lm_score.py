@@ -3,18 +3,20 @@
 Each word is predicted from the words on both sides (two each). A word's probability is that of its
 class under the network times that of the word within its class: the most frequent hash buckets are
 classes of their own, all others share classes by hash, and the share within a class comes from
-counts over the whole corpus. A document's score is the sum of its words' conditional
+counts over all documents. A document's score is the sum of its words' conditional
 log-probabilities.
 
 Counts: every document's words, by bucket; partitions send their counts, which are summed by key.
 Training: in every round each partition starts from the shared parameters and goes once through all
-its documents with Adagrad, at masked positions (every ``stride``-th, from an offset that differs by
-document and round); parameters are then averaged by words seen, summed in a fixed number of tasks.
-So the training covers all documents, and nothing that reaches the driver grows with the corpus.
+its documents with Adagrad, at masked positions: every ``stride``-th, from an offset that differs by
+document (a hash of its words) and round, so that ``stride`` rounds mask each word exactly once.
+Parameters are then averaged by words seen, summed in a fixed number of tasks. Which words are masked
+does not depend on how documents lie in files, but what is averaged does: scores of two layouts of the
+same rows differ slightly. Nothing that reaches the driver grows with the number of documents.
 
 Defined cases: a null or empty text has n_tokens 0 and scores 0; words next to an end of a document
-see a padding class there; repeated rows count and are scored each; an empty table gives no rows; a
-corpus without words leaves the parameters as they began; other columns are not read.
+see a padding class there; classes that no word falls into keep a share of half a word; repeated rows
+count and are scored each; an empty table gives no rows; a table without words leaves the parameters as they began; other columns are not read.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ class Settings:
     width: int = 16
     window: int = 2
     stride: int = 6
-    rounds: int = 2
+    rounds: int = 6
     rate: float = 0.15
     seed: int = 11
     sum_tasks: int = 8
@@ -96,7 +98,7 @@ def classes_from(counts: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarra
     own = order[counts[order] > 0]
     class_of[own] = np.arange(len(own))
     smooth = counts + 0.5
-    return class_of, (np.log(smooth) - np.log(np.bincount(class_of, smooth, s.classes))[class_of]).astype(np.float32)
+    return class_of, (np.log(smooth) - np.log(np.bincount(class_of, smooth, s.classes)[class_of])).astype(np.float32)
 
 
 def first_params(s: Settings) -> dict:
@@ -171,7 +173,9 @@ def _trained(batches, model, start: np.ndarray, turn: int, s: Settings):
                 continue
             classes = model.class_of[_buckets(words, s)].astype(np.int64)
             place = np.arange(len(words)) - words.first[words.row]
-            at = np.flatnonzero((place + words.row + turn) % s.stride == 0)
+            offset = np.zeros(hi - lo, np.uint64)
+            np.add.at(offset, words.row, words.hash)
+            at = np.flatnonzero((place + ((offset >> np.uint64(8)) % np.uint64(s.stride)).astype(np.int64)[words.row] + turn) % s.stride == 0)
             for a in range(0, len(at), CHUNK):
                 own = at[a : a + CHUNK]
                 _step(p, past, _around(classes, words.row, own, s), classes[own], s)
@@ -196,7 +200,7 @@ def train(documents: DataFrame, s: Settings = Settings()) -> Model:
     ship_package(spark)
     counts = word_counts(documents, s)
     model = Model(*classes_from(counts, s), first_params(s))
-    shares = np.bincount(model.class_of, counts + 0.5, s.classes)
+    shares = np.maximum(np.bincount(model.class_of, counts + 0.5, s.classes), 0.5)
     model.params["bias"] = np.log(shares / shares.sum()).astype(np.float32)
     text = documents.select(F.col("text").cast("string").alias("text"))
     for turn in range(s.rounds):
