@@ -46,6 +46,11 @@ class Template:
     final: tuple = ("user", "assistant")
     _lead: str = field(default="", compare=False)
 
+    def __post_init__(self):
+        opens, role, closes = self.marker.partition("{role}")
+        if not (opens and role and closes and self.end and len(self.escape) == 1):
+            raise ValueError("a marker needs signs before and after {role}, a turn an end, and the escape is one sign")
+
     def controls(self) -> str:
         """The first signs of all control strings, and the escape sign: these are escaped in texts."""
         opens, closes = self.marker.split("{role}")
@@ -94,7 +99,8 @@ def format_turns(conversations: DataFrame, template: Template = Template()) -> D
     kind = conversations.schema["conv_id"].dataType.simpleString()
     named = conversations.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # range partitions, sorted: a long conversation spreads over many tasks, in order
-    dealt = named.repartitionByRange("conv_id", "turn", "role", "text").sortWithinPartitions("conv_id", "turn", "role", "text").withColumn("part", F.spark_partition_id())
+    # (of a text only its beginning is a key: the driver sees a sample of the keys, and equal ones share a partition)
+    dealt = named.repartitionByRange("conv_id", "turn", "role", F.substring("text", 1, 64)).sortWithinPartitions("conv_id", "turn", "role", "text").withColumn("part", F.spark_partition_id())
     states = template.states()
 
     def formatted(batches):
