@@ -45,6 +45,8 @@ _SIDE = np.zeros(256, np.uint8)
 _SIDE[33:127] = 2
 _SIDE[[*range(65, 91), *range(97, 123)]] = 1
 _SIDE[list(b"'<|>")] = 0
+#: What a tokenizer must encode as its words one by one; others are refused.
+_PROBES = ("Hello, World! It's (a) new_day: 1,234.50 x=y;z", "The  quick\tBROWN\n\nfox... jumps/over; don't \"QUOTE\" e-mail@x.org", " leading ÜBER naïve Straße #1 50% [A] {b} ~c^d* ", "a.b,c!d?e:f;g(h)i[j]k{l}m+n-o*p=q&r$s@t")
 
 
 @dataclass(frozen=True)
@@ -82,6 +84,12 @@ class Encoder:
             if token.endswith("</w>") and token[:-4] and set(token[:-4]) <= set(".!?\"')") and set(token[:-4]) & set(".!?"):
                 self.sentence_end[i] = True
         self._forget()
+        same = all(self.tokenizer.encode(w, add_special_tokens=False).ids == self.tokenizer.encode(w.lower(), add_special_tokens=False).ids for w in _PROBES)
+        self.fold = FOLD if same else _AS_IS
+        for probe in _PROBES:
+            ids, _ = self.encode(np.frombuffer(probe.encode(), np.uint8), np.array([0, len(probe.encode())]))
+            if ids.tolist() != self.tokenizer.encode(probe, add_special_tokens=False).ids:
+                raise ValueError(f"{path} does not encode texts word by word, parted at white space and between letters and signs")
 
     def _forget(self) -> None:
         self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -111,7 +119,7 @@ class Encoder:
         side = _SIDE[data]
         raw = data.tobytes()
         # the tokenizer levels case, but for its special tokens
-        words = Words(data, offsets, ASCII_SPACE, _AS_IS if b"<|" in raw else FOLD, also=np.flatnonzero((side[1:] ^ side[:-1]) == 3) + 1)
+        words = Words(data, offsets, ASCII_SPACE, _AS_IS if b"<|" in raw else self.fold, also=np.flatnonzero((side[1:] ^ side[:-1]) == 3) + 1)
         if not len(words):
             return np.zeros(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
         distinct, first, which = np.unique(words.hash, return_index=True, return_inverse=True)
