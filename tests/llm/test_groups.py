@@ -253,6 +253,24 @@ def test_chain_is_the_best_of_all_chains():
         assert (x1, y1) >= (found[i][0] + 5, 0) and (x0, y0) <= (found[i][0], found[i][1])
 
 
+def test_fuzzy_passages_are_found(spark):
+    """Passages of 100 words inside unlike texts, by the share of changed words: nine in ten of those that the rule accepts."""
+    rng = np.random.default_rng(21)
+    fill = lambda: [f"f{x}" for x in rng.integers(0, 5000, 200)]
+    rows, want = [], {}
+    for rate in (0.08, 0.15, 0.2):
+        for _ in range(40):
+            base = [f"p{x}" for x in rng.integers(0, 5000, 100)]
+            other = [f"n{rng.integers(10**7)}" if rng.random() < rate else w for w in base]
+            if sum(a == b for a, b in zip(base, other)) >= 77:
+                want[len(rows)] = rate
+            rows += [(len(rows) + i, " ".join(fill() + x + fill())) for i, x in enumerate((base, other))]
+    got = {r["doc_id"] for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for rate in (0.08, 0.15, 0.2):
+        own = [d for d, r in want.items() if r == rate]
+        assert sum(d in got for d in own) >= 0.9 * len(own), rate
+
+
 # --- packing ------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
