@@ -7,9 +7,9 @@ and bytes above 127, A-Z lower-cased. FTRL keeps a learning rate per coordinate,
 leaves few weights other than zero: these, at most ``2**bits`` of them, go to the workers.
 
 The classifier is fitted on at most ``max_rows`` labelled rows, chosen by a hash of their id: a
-documented bound. Their whole feature lists, each at most ``2**bits`` numbers, are written to a table
-that the driver reads as a stream, in another order each epoch. Scores are computed for whole texts of
-all rows without shuffle.
+documented bound. FTRL takes one row after another, so one task does it: it reads the rows' whole
+feature lists, each at most ``2**bits`` numbers, as a stream sorted by epoch, in another order each
+epoch, and returns the weights. Scores are computed for whole texts of all rows without shuffle.
 
 Defined cases: a null or empty text has no features and is scored by the bias alone; rows without a
 label, or with a null label, take no part in fitting; where a doc_id has several labels the largest
@@ -77,11 +77,12 @@ def _lists(batches, bits: int):
         for i in range(len(labels)):
             got = [c for c, _ in features(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]), bits)]
             own = np.unique(np.concatenate(got)) if got else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([labels[i]], pa.int32()), pa.array([own.astype(np.int32).tobytes()])], names=["id", "label", "list"])
+            # differences of sorted coordinates: smaller when compressed
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([labels[i]], pa.int32()), pa.array([np.diff(own, prepend=0).astype(np.int32).tobytes()])], names=["id", "label", "list"])
 
 
 def fit_ftrl(examples, share: float, s: Settings) -> tuple[np.ndarray, float]:
-    """Weights by coordinate and the bias, which is the log-odds of label 1 among the rows and stays: a text without features is judged by that share alone. examples: the (label, coordinates) of an epoch, in its order."""
+    """Weights by coordinate and the bias, which is the log-odds of label 1 among the rows and stays: a text without features is judged by that share alone. examples: the (label, coordinates) of all epochs, in their order."""
     size = 1 << s.bits
     z, n = np.zeros(size), np.zeros(size)
     bias = float(np.log(share / (1 - share)))
@@ -90,13 +91,12 @@ def fit_ftrl(examples, share: float, s: Settings) -> tuple[np.ndarray, float]:
         over = np.abs(z[at]) - s.l1
         return np.where(over <= 0, 0.0, -np.sign(z[at]) * over / ((s.beta + np.sqrt(n[at])) / s.alpha + s.l2))
 
-    for epoch in range(s.epochs):
-        for label, at in examples(epoch):
-            w = weights(at)
-            g = 1 / (1 + np.exp(-np.clip(bias + w.sum(), -35, 35))) - label
-            step = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / s.alpha
-            z[at] += g - step * w
-            n[at] += g * g
+    for label, at in examples:
+        w = weights(at)
+        g = 1 / (1 + np.exp(-np.clip(bias + w.sum(), -35, 35))) - label
+        step = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / s.alpha
+        z[at] += g - step * w
+        n[at] += g * g
     return weights(np.arange(size)).astype(np.float32), bias
 
 
@@ -119,13 +119,23 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, settings: Settings = S
     if not n:
         return None
 
-    def examples(epoch):
-        for r in lists.orderBy(F.xxhash64("id", F.lit(epoch)), "id", "list").toLocalIterator():
-            yield r["label"], np.frombuffer(r["list"], np.int32)
+    def fitted(batches):
+        def examples():
+            for batch in batches:
+                for label, own in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    yield label, np.cumsum(np.frombuffer(own.as_buffer(), np.int32))
 
-    model = fit_ftrl(examples, (ones + 0.5) / (n + 1), s)
+        weights, bias = fit_ftrl(examples(), (ones + 0.5) / (n + 1), s)
+        at = np.flatnonzero(weights)
+        yield pa.RecordBatch.from_arrays([pa.array([at.astype(np.int32).tobytes()]), pa.array([weights[at].tobytes()]), pa.array([bias])], names=["at", "weight", "bias"])
+
+    epochs = lists.withColumn("epoch", F.explode(F.array(*(F.lit(e) for e in range(s.epochs)))))
+    ordered = epochs.repartition(1).sortWithinPartitions("epoch", F.xxhash64("id", "epoch"), "id", "list").select("label", "list")
+    got = ordered.mapInArrow(fitted, "at binary, weight binary, bias double").first()
     scratch.drop("lists")
-    return model
+    weights = np.zeros(1 << s.bits, np.float32)
+    weights[np.frombuffer(got["at"], np.int32)] = np.frombuffer(got["weight"], np.float32)
+    return weights, got["bias"]
 
 
 def score_texts(column, weights: np.ndarray, bias: float, bits: int) -> np.ndarray:
