@@ -131,7 +131,14 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, settings: Settings = S
 
     epochs = lists.withColumn("epoch", F.explode(F.array(*(F.lit(e) for e in range(s.epochs)))))
     ordered = epochs.repartition(1).sortWithinPartitions("epoch", F.xxhash64("id", "epoch"), "id", "list").select("label", "list")
-    got = ordered.mapInArrow(fitted, "at binary, weight binary, bias double").first()
+    # long lists: few of them in a batch
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "256")
+    try:
+        got = ordered.mapInArrow(fitted, "at binary, weight binary, bias double").first()
+    finally:
+        spark.conf.set(name, before)
     scratch.drop("lists")
     weights = np.zeros(1 << s.bits, np.float32)
     weights[np.frombuffer(got["at"], np.int32)] = np.frombuffer(got["weight"], np.float32)
