@@ -81,3 +81,29 @@ def publish(spark: SparkSession, df: DataFrame, path: str, version: int) -> str:
 def current(spark: SparkSession, path: str) -> DataFrame:
     version = spark.read.json(f"{path}/_current.json").first()["version"]
     return spark.read.parquet(f"{path}/v{version:08d}")
+
+
+def or_default(column: Column, default) -> Column:
+    """The value, or the default where it is null or 0."""
+    return F.coalesce(F.nullif(column, F.lit(0)), F.lit(default))
+
+
+def escaped(text: Column) -> Column:
+    """As it stands within quotes of an SQL literal; only for texts that leave the engine, conditions are Columns."""
+    return F.replace(text, F.lit("'"), F.lit("''"))
+
+
+def clean_metadata(metadata: Column) -> Column:
+    """A map without keys whose value is null or empty."""
+    return F.map_filter(metadata, lambda k, v: v.isNotNull() & (v != ""))
+
+
+def is_share(column: Column) -> Column:
+    """Lies in [0, 1]; null does not."""
+    return F.coalesce(column.between(0, 1), F.lit(False))
+
+
+def chat_text(content: Column, parts: Column) -> Column:
+    """The content, or else the texts of the text parts, joined by blanks."""
+    texts = F.transform(F.filter(parts, lambda p: p["type"] == "text"), lambda p: p["text"])
+    return F.coalesce(content, F.array_join(texts, " "))

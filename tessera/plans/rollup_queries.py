@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import rollups as A
+from tessera.operators.mentions import value_quantile
 from tessera.registry import query
 from tessera.session import table
 
@@ -73,10 +74,11 @@ def ag12(spark, d):
     return table(spark, d, "customer").groupBy("c_nationkey").agg(F.max_by("c_custkey", F.struct("c_acctbal", -F.col("c_custkey"))).alias("top"))
 
 
-@query("ag15_benchmark_statistics", "SELECT event_type, round(avg(value), 4) AS mean, list_sort(list(value))[CAST(floor(0.95 * count(*)) AS BIGINT) + 1] AS p95, round(median(value), 6) AS median FROM events GROUP BY event_type")
+@query("ag15_benchmark_statistics", "SELECT event_type, round(avg(value), 4) AS mean, list_sort(list(value))[CAST(floor(0.95 * count(*)) AS BIGINT) + 1] AS p95, round(median(value), 6) AS median, round(stddev_samp(value), 4) AS sd FROM events GROUP BY event_type")
 def ag15(spark, d):
-    own = table(spark, d, "events").select("event_type", "value", F.row_number().over(Window.partitionBy("event_type").orderBy("value")).alias("k"), F.count(F.lit(1)).over(Window.partitionBy("event_type")).alias("n"))
-    return own.groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("mean"), F.max(F.when(F.col("k") == F.floor(F.col("n") * 0.95) + 1, F.col("value"))).alias("p95"), F.round(F.median("value"), 6).alias("median"))
+    own = table(spark, d, "events").select("event_type", "value")
+    sums = own.groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("mean"), F.round(F.median("value"), 6).alias("median"), F.round(F.stddev_samp("value"), 4).alias("sd"))
+    return sums.join(value_quantile(own, ["event_type"], "value", 0.95).withColumnRenamed("quantile", "p95"), "event_type")
 
 
 @query("wn06_first_row_wins", "SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source, text ORDER BY doc_id) AS k FROM documents) WHERE k = 1")
@@ -84,12 +86,11 @@ def wn06(spark, d):
     return A.first_rows(table(spark, d, "documents").withColumn("h", F.sha2("text", 256)), ["source", "h"], ["doc_id"]).select("doc_id", "source")
 
 
-@query("wn07_citation_renumber", "SELECT l_orderkey, l_linenumber, l_suppkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS INTEGER) AS number FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 5 ORDER BY o) AS k FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS o FROM lineitem)) WHERE k = 1 AND l_orderkey % 2 = 0 AND l_linenumber = o")
+@query("wn07_citation_renumber", "WITH o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS o FROM lineitem), k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 5 ORDER BY o) AS k FROM o) SELECT l_orderkey, l_linenumber, l_suppkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY o) AS INTEGER) AS number FROM k WHERE k = 1")
 def wn07(spark, d):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    own = table(spark, d, "lineitem").where("l_orderkey % 2 = 0").withColumn("o", F.row_number().over(w)).withColumn("page", F.col("l_suppkey") % 5)
-    kept = A.first_rows(own, ["l_orderkey", "page"], ["o"]).where("l_linenumber = o")
-    return A.renumber(kept, ["l_orderkey"], ["page"], "l_linenumber").select("l_orderkey", "l_linenumber", "l_suppkey", "number")
+    own = table(spark, d, "lineitem").withColumn("o", F.row_number().over(w)).withColumn("page", F.col("l_suppkey") % 5)
+    return A.renumber(own, ["l_orderkey"], ["page"], "o").select("l_orderkey", "l_linenumber", "l_suppkey", "number")
 
 
 @query("wn08_span_islands", "WITH s AS (SELECT user_id, event_id % 1000 AS lo, event_id % 1000 + 15 AS hi FROM events), b AS (SELECT *, max(hi) OVER (PARTITION BY user_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM s), i AS (SELECT *, sum(CASE WHEN p IS NULL OR lo > p THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS g FROM b) SELECT user_id, min(lo) AS lo, max(hi) AS hi, count(*) AS spans FROM i GROUP BY user_id, g")
@@ -98,13 +99,6 @@ def wn08(spark, d):
     return A.islands(own, ["user_id"], "lo", "hi")
 
 
-@query("wn12_unique_winner", "WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT *, rank() OVER (PARTITION BY user_id ORDER BY n DESC) AS k FROM c) SELECT user_id, min(event_type) AS winner FROM r WHERE k = 1 GROUP BY user_id HAVING count(*) = 1")
-def wn12(spark, d):
-    counts = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    first = counts.withColumn("k", F.rank().over(Window.partitionBy("user_id").orderBy(F.desc("n")))).where("k = 1")
-    return first.groupBy("user_id").agg(F.min("event_type").alias("winner"), F.count(F.lit(1)).alias("c")).where("c = 1").drop("c")
-
-
 @query("tk06_people_sort", f"WITH {SQL_MENTIONS} SELECT canonical_name, count(*) AS n FROM m GROUP BY canonical_name ORDER BY n DESC, canonical_name LIMIT 25")
 def tk06(spark, d):
     return mention_rows(spark, d).groupBy("canonical_name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "canonical_name").limit(25)

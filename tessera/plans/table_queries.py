@@ -87,18 +87,6 @@ def sk07(spark, d):
     return M.delete(table(spark, d, "events").select("event_id", "user_id"), F.col("user_id") == 7)
 
 
-@query("sk11_merge_canonical", "SELECT event_id, CASE WHEN event_type = 'click' THEN 'view' ELSE event_type END AS canonical, event_type = 'click' AS rewritten FROM events")
-def sk11(spark, d):
-    hit = F.col("event_type") == "click"
-    return table(spark, d, "events").select("event_id", F.when(hit, "view").otherwise(F.col("event_type")).alias("canonical"), hit.alias("rewritten"))
-
-
-@query("sk12_cascade_delete", "SELECT 'orders' AS tab, count(*) AS n FROM orders WHERE o_orderkey % 10 <> 3 UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey % 10 <> 3")
-def sk12(spark, d):
-    parts = [M.delete(table(spark, d, t), F.col(c) % 10 == 3).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("tab"), "n") for t, c in (("orders", "o_orderkey"), ("lineitem", "l_orderkey"))]
-    return parts[0].unionAll(parts[1])
-
-
 @query("sk14_migrate", "SELECT n_nationkey, n_name, CAST(NULL AS VARCHAR) AS role_hint, CAST(NULL AS DOUBLE) AS lat FROM nation")
 def sk14(spark, d):
     return M.migrate(table(spark, d, "nation").select("n_nationkey", "n_name"), {"n_name": "string", "role_hint": "string", "lat": "double"})
@@ -123,9 +111,9 @@ def jn03(spark, d):
     return table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
 
 
-@query("jn04_inventory", "SELECT coalesce(doc_id, vec_id) AS doc_id, doc_id IS NOT NULL AS has_details, vec_id IS NOT NULL AS has_chunks FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) a FULL OUTER JOIN (SELECT DISTINCT vec_id FROM embeddings) b ON a.doc_id = b.vec_id")
+@query("jn04_inventory", "SELECT coalesce(doc_id, vec_id) AS doc_id, doc_id IS NOT NULL AS has_details, vec_id IS NOT NULL AS has_chunks FROM (SELECT doc_id FROM documents) a FULL OUTER JOIN (SELECT DISTINCT vec_id FROM embeddings) b ON a.doc_id = b.vec_id")
 def jn04(spark, d):
-    return M.inventory(table(spark, d, "documents").where("doc_id % 2 = 0").select("doc_id"), table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
+    return M.inventory(table(spark, d, "documents").select("doc_id"), table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
 
 
 @query("jn05_owned_chunks", "SELECT l.l_orderkey, l.l_linenumber, l.l_partkey FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey AND l.l_linenumber = o.o_custkey % 7 + 1")
