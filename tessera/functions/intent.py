@@ -1,43 +1,185 @@
-"""Intent of a question by rules: patterns score, structure adds, bands give confidence."""
+"""Intent of a question by rules: patterns score, structure adds, ties break, bands give confidence.
+
+All is JVM-side but ``correct_typos``, which compares words with a small lexicon in Arrow batches and
+keeps what it has compared. A null question counts as empty.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import difflib
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from tessera.functions import intent_values as V
+
+#: In the order that ties between equal scores are settled in; fixed values.
+INTENTS = ("OVERVIEW", "SUMMARIZE", "EXPLAIN", "ANALYZE", "COMPARE", "CRITIQUE", "FACTUAL", "COLLECTION", "EXTRACT", "TIMELINE", "HOW_TO", "QUOTE_EVIDENCE")
+DEDICATED = ("EXTRACT", "TIMELINE", "HOW_TO", "QUOTE_EVIDENCE")
+ANALYTICAL = ("ANALYZE", "COMPARE", "CRITIQUE", "SUMMARIZE", "OVERVIEW", "EXPLAIN")
+#: Confidence by the strength of the match, and what a technical how or why adds up to a limit; fixed values.
+STRONG, SINGLE, WEAK, NONE, MORE, MOST = 0.85, 0.70, 0.50, 0.40, 0.15, 0.95
+#: Single patterns; fixed values.
+SCOPE = (r"\b(all|every|entire|whole)\b", r"\b(documents?|docs?|sources?|collection|corpus)\b")
+EVERYTHING = r"\boverview\s+of\s+everything\b|\bsummari[sz]e\s+everything\b"
+OWN_CRITIQUE = r"\b\w+(?:'s|s)\s+critique\s+of\b"
+NOUN_CRITIQUE = r"(?:\b\w+(?:'s|s)\s+|(?:the|a|an|this|that|his|her|their|its)\s+)critique\b"
+CHAIN = r"\btrace\b.*\b(chain|path|link)\b"
+DEFINITION = r"^\s*what\s+(?:is|are)\s+(?:an?\s+)?([a-z][a-z0-9'\-]*(?:\s+[a-z][a-z0-9'\-]*){0,2})\s*\??\s*$"
+QUOTED, NAMED = r"""['"`].+?['"`]""", r"\b[A-Z][a-z]{2,}\b"
+DOC_TERM = r"\b(doc|docs|document|documents|source|sources|file|files)\b"
+SELECTOR = r"\bwhich\b|\bwhat\s+(doc|docs|document|documents|source|sources|file|files)\b"
+TOPIC = r"\b(cover|covers|covered|about|regarding|mention|mentions|discuss|discusses|review|reviews|critique|criticism|criticize|criticises|criticizes)\b"
+
+
+def has(text: Column, pattern: str) -> Column:
+    return F.coalesce(text, F.lit("")).rlike("(?i)" + pattern)
+
+
+def _any(text: Column, patterns) -> Column:
+    return has(text, "(?:" + "|".join(patterns) + ")")
+
+
+@F.pandas_udf(StringType())
+def correct_typos(text: pd.Series) -> pd.Series:
+    """Lower-cased; words of three letters or more that are nearly one of the lexicon become that one."""
+    known: dict[str, str] = {w: w for w in V.LEXICON}
+
+    def word(part: str) -> str:
+        if len(part) < 3 or not part.isalpha():
+            return part
+        if part not in known:
+            if len(known) > 200_000:
+                known.clear()
+                known.update({w: w for w in V.LEXICON})
+            found = difflib.get_close_matches(part, V.LEXICON, n=1, cutoff=0.82) if len(part) <= 2 * max(map(len, V.LEXICON)) else []
+            known[part] = found[0] if found else part
+        return known[part]
+
+    return text.map(lambda t: "".join(map(word, re.split(r"(\W+)", t.lower()))) if t else "")
+
+
+def is_definition(text: Column) -> Column:
+    """"What is x?" of up to three words that name no document and no part of one."""
+    subject = F.split(F.lower(F.regexp_extract(F.coalesce(text, F.lit("")), "(?i)" + DEFINITION, 1)), r"\s+")
+    barred = F.array(*(F.lit(w) for w in dict.fromkeys(V.OVERVIEW_WORDS + V.NO_DEFINITION_WORDS)))
+    return has(text, DEFINITION) & ~F.arrays_overlap(subject, barred)
+
+
+def is_technical(text: Column) -> Column:
+    """Has something quoted, a word with a capital, or a technical term."""
+    return F.coalesce(text, F.lit("")).rlike(f"{QUOTED}|{NAMED}") | has(text, "|".join(V.TECHNICAL))
 
-#: Patterns of each intent, in order of precedence. All are RE2-safe and match anywhere, whatever the case.
-PATTERNS = {
-    "COMPARE": (r"\bcompar(e|ison)\b", r"\bdifferen(ce|t)\b", r"\bversus\b|\bvs\b"),
-    "SUMMARIZE": (r"\bsummar(y|ise|ize)\b", r"\bin short\b", r"\bmain points?\b"),
-    "TIMELINE": (r"\btimeline\b", r"\bchronolog", r"\bwhen did\b"),
-    "HOW_TO": (r"\bhow (do|can|to)\b", r"\bsteps?\b"),
-    "EXTRACT": (r"\blist (all|the|every)\b", r"\bextract\b", r"\bevery\b"),
-    "QUOTE_EVIDENCE": (r"\bquotes?\b", r"\bevidence\b", r"\bexact words\b"),
-    "CRITIQUE": (r"\bcriti(que|cise|cize)\b", r"\bweakness"),
-    "FACTUAL": (r"^(who|when|where|which)\b", r"\bwhat (is|are|was)\b"),
-}
-#: Questions that ask for a whole list.
-ENUMERATION = (r"\blist (all|the|every)\b", r"\bhow many\b", r"\ball of the\b", r"\bname (all|every)\b")
 
+def is_technical_how_why(text: Column) -> Column:
+    return has(text, r"^\s*(how|why)\b") & ~has(text, r"^\s*how\s+many\b") & is_technical(text)
 
-def scores(question: Column) -> dict[str, Column]:
-    q = F.lower(question)
-    return {intent: sum((F.when(q.rlike(p), 1).otherwise(0) for p in patterns), F.lit(0)) for intent, patterns in PATTERNS.items()}
 
+def is_certain_act(text: Column) -> Column:
+    """Of four words or more, one that names someone and one of a certain act."""
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    letters = F.transform(F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda w: F.regexp_replace(w, "[^A-Za-z]", ""))
+    return (F.size(words) >= 4) & F.exists(letters, lambda w: w.rlike("^[A-Z].") & ~F.lower(w).isin(*V.NO_ENTITY_WORDS)) & has(text, V.ACTIONS)
 
-def is_enumeration(question: Column) -> Column:
-    return F.lower(question).rlike("|".join(ENUMERATION))
 
+def is_enumeration(text: Column) -> Column:
+    return _any(text, V.ENUMERATION)
 
-def classify(question: Column, floor: float = 0.6) -> Column:
-    """Struct (intent, confidence): the best pattern score, ties by order; 0.85 for two or more matches, 0.70 for one; under ``floor``, OVERVIEW at 0.5."""
-    own = scores(question)
-    best = F.greatest(*own.values())
-    intent = F.coalesce(*(F.when((c == best) & (best > 0), name) for name, c in own.items()), F.lit("OVERVIEW"))
-    confidence = F.when(best >= 2, 0.85).when(best == 1, 0.7).otherwise(0.5)
-    return F.struct(F.when(confidence < floor, "OVERVIEW").otherwise(intent).alias("intent"), confidence.alias("confidence"))
 
+def pattern_scores(text: Column) -> dict[str, Column]:
+    """One point for each pattern of an intent that matches."""
+    return {i: sum((has(text, p).cast("int") for p in V.PATTERNS[i]), F.lit(0)) for i in INTENTS}
 
-def policy(question: Column, intent: Column) -> Column:
+
+def structure_points(text: Column) -> dict[str, Column]:
+    """What the structure of a question adds to its pattern scores."""
+    whole = has(text, SCOPE[0]) & has(text, SCOPE[1])
+    added = {i: F.lit(0) for i in INTENTS}
+    points = lambda hit, n: F.when(hit, n).otherwise(0)
+    for pattern, intent in V.COMMANDS:
+        hit = has(text, pattern)
+        added[intent] += points(hit & ~whole if intent in ("SUMMARIZE", "FACTUAL") else hit, 3)
+    for intent, n, patterns in V.STRUCTURES:
+        added[intent] += points(_any(text, patterns), n)
+    added["FACTUAL"] += points(is_definition(text), 2)
+    added["COLLECTION"] += points(whole | has(text, EVERYTHING), 4)
+    added["ANALYZE"] += points(has(text, OWN_CRITIQUE), 2) + points(has(text, CHAIN), 3) + points(F.contains(F.coalesce(text, F.lit("")), F.lit("->")), 2)
+    return added
+
+
+def with_scores(questions: DataFrame, text: str) -> DataFrame:
+    """questions with a column s_<intent> for each intent, and ``bias``: a technical how or why."""
+    own = pattern_scores(F.col(text))
+    added = structure_points(F.col(text))
+    out = questions.withColumns({f"s_{i}": own[i] + added[i] for i in INTENTS} | {"bias": is_technical_how_why(F.col(text))})
+    out = out.withColumn("s_CRITIQUE", F.when(has(F.col(text), NOUN_CRITIQUE), F.greatest(F.lit(0), F.col("s_CRITIQUE") - 1)).otherwise(F.col("s_CRITIQUE")))
+    compare, critique, analyze = (F.col(f"s_{i}") for i in ("COMPARE", "CRITIQUE", "ANALYZE"))
+    # of these three, the first of the greatest gains; without any, ANALYZE does
+    gains = F.when(~F.col("bias"), "").when(F.greatest(compare, critique, analyze) == 0, "ANALYZE").when((compare >= critique) & (compare >= analyze), "COMPARE").when(critique >= analyze, "CRITIQUE").otherwise("ANALYZE")
+    out = out.withColumn("__gains", gains)
+    return out.withColumns({f"s_{i}": F.col(f"s_{i}") + F.when(F.col("__gains") == i, 2).otherwise(0) for i in ("COMPARE", "CRITIQUE", "ANALYZE")}).drop("__gains")
+
+
+def classify(questions: DataFrame, text: str, *, original: str | None = None, floor: float | None = 0.6) -> DataFrame:
+    """questions with ``intent``, ``confidence`` and ``method``. text: as it is scored (lower-cased or corrected); original: as it was asked, where names have capitals. floor: confidence under which it is OVERVIEW after all; None: no such gate."""
+    out = with_scores(questions, text)
+    s = {i: F.col(f"s_{i}") for i in INTENTS}
+    most = F.greatest(*s.values())
+    out = out.withColumn("__most", most).withColumn("__best", F.coalesce(*(F.when(s[i] == most, i) for i in INTENTS)))
+    # ties, one rule after another: the last that holds decides
+    dedicated = F.greatest(*(s[i] for i in DEDICATED))
+    dedicated = (dedicated > 0) & (dedicated >= F.greatest(s["COLLECTION"], s["FACTUAL"], s["SUMMARIZE"], s["ANALYZE"]))
+    weak = (F.col("__best") == "ANALYZE") & (s["ANALYZE"] <= 1) & ((s["COMPARE"] > 0) | (s["CRITIQUE"] > 0))
+    whole = ~dedicated & (s["COLLECTION"] > 0) & F.greatest(*((s[i] > 0) & (s["COLLECTION"] >= s[i]) for i in ("SUMMARIZE", "FACTUAL")))
+    both = (s["COMPARE"] > 0) & (s["CRITIQUE"] > 0) & (s["COMPARE"] >= s["CRITIQUE"])
+    best = F.when(both, "COMPARE").when(whole, "COLLECTION").when(weak & (s["COMPARE"] >= s["CRITIQUE"]), "COMPARE").when(weak, "CRITIQUE").otherwise(F.col("__best"))
+    matching = sum(((s[i] > 0).cast("int") for i in INTENTS), F.lit(0)) - both.cast("int")
+    out = out.withColumns({"__intent": best, "__n": matching})
+    score = F.coalesce(*(F.when(F.col("__intent") == i, s[i]) for i in INTENTS))
+    confidence = F.when((F.col("__n") > 1) & (score == 1), WEAK).when(score >= 2, STRONG).otherwise(SINGLE)
+    confidence = F.when(F.col("bias") & F.col("__intent").isin("ANALYZE", "COMPARE", "CRITIQUE"), F.least(F.lit(MOST), F.round(confidence + MORE, 6))).otherwise(confidence)
+    out = out.withColumn("__c", confidence)
+    asked = F.col(original or text)
+    act = F.col("__intent").isin("ANALYZE", "EXPLAIN") & has(asked, r"^\s*why\b") & is_certain_act(asked)
+    none = F.col("__most") == 0
+    out = out.withColumn("intent", F.when(none, "OVERVIEW").when(act, "FACTUAL").otherwise(F.col("__intent")))
+    out = out.withColumn("confidence", F.when(none, NONE).when(act, F.greatest(F.col("__c"), F.lit(STRONG))).otherwise(F.col("__c")))
+    out = out.withColumn("method", F.when(none, "fallback").otherwise("heuristic")).drop("__most", "__best", "__intent", "__n", "__c", "bias", *(f"s_{i}" for i in INTENTS))
+    return gate(out, floor) if floor is not None else out
+
+
+def gate(classified: DataFrame, floor: float = 0.6) -> DataFrame:
+    """Under the floor, OVERVIEW, and the method says so."""
+    low = F.col("confidence") < floor
+    return classified.withColumn("intent", F.when(low, "OVERVIEW").otherwise(F.col("intent"))).withColumn("method", F.when(low, F.concat("method", F.lit("+overview_fallback"))).otherwise(F.col("method")))
+
+
+def override(classified: DataFrame, name: Column) -> DataFrame:
+    """A known name given by hand (or "summarise") decides, with confidence 1; any other leaves what was found."""
+    asked = F.upper(F.trim(F.coalesce(name, F.lit(""))))
+    asked = F.when(asked == "SUMMARISE", "SUMMARIZE").otherwise(asked)
+    given = asked.isin(*INTENTS)
+    return classified.withColumns({"intent": F.when(given, asked).otherwise(F.col("intent")), "confidence": F.when(given, 1.0).otherwise(F.col("confidence")), "method": F.when(given, "manual").otherwise(F.col("method"))})
+
+
+def policy(text: Column, intent: Column) -> Column:
     """Which rule for passages under the threshold holds: enumeration, factual, analytical or default."""
-    return F.when(is_enumeration(question), "enumeration").when(intent == "FACTUAL", "factual").when(intent.isin("COMPARE", "CRITIQUE", "SUMMARIZE"), "analytical").otherwise("default")
+    key = F.upper(F.trim(F.coalesce(intent, F.lit(""))))
+    return F.when(is_enumeration(text), "enumeration").when(key == "FACTUAL", "factual").when(key.isin(*ANALYTICAL), "analytical").otherwise("default")
+
+
+def is_low_information(text: Column) -> Column:
+    """Says nothing: no letters, one word over and over, or up to two words (three without a question mark) that no pattern and no common word makes sense of."""
+    low = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    words = F.regexp_extract_all(low, F.lit("([a-z']+)"), F.lit(1))
+    n = F.size(words)
+    signal = _any(low, [p for patterns in V.PATTERNS.values() for p in patterns]) | F.arrays_overlap(words, F.array(*map(F.lit, V.COMMON_WORDS)))
+    return (n == 0) | ((n >= 2) & (F.size(F.array_distinct(words)) == 1)) | (~signal & ((n <= 2) | ((n <= 3) & ~F.contains(low, F.lit("?")))))
+
+
+def is_source_selection(text: Column) -> Column:
+    """Asks which document, or about a document's topic; typos corrected before."""
+    return has(text, DOC_TERM) & (has(text, SELECTOR) | has(text, TOPIC))

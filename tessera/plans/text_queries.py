@@ -181,13 +181,6 @@ def pf23(spark, d):
     return table(spark, d, "conversations").where(F.lower("text").contains("thing")).select("conv_id").distinct()
 
 
-@query("pf17_low_information", """
-WITH w AS (SELECT conv_id, turn, list_filter(list_transform(list_filter(string_split_regex(lower(text), '\\s+'), lambda t: t <> ''), lambda t: regexp_replace(t, '[^a-z]', '', 'g')), lambda t: t <> '') AS ws FROM conversations WHERE role = 'user')
-SELECT conv_id, turn, len(ws) = 0 OR (len(ws) > 1 AND len(list_distinct(ws)) = 1) OR (len(ws) <= 2 AND len(list_filter(ws, lambda t: length(t) >= 4)) = 0) AS low FROM w""")
-def pf17(spark, d):
-    return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", T.low_information(F.col("text")).alias("low"))
-
-
 @query("pf13_mostly_lower", "SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^A-Za-z]', '', 'g')) = 0 THEN false ELSE length(regexp_replace(text, '[^A-Z]', '', 'g')) < 0.1 * length(regexp_replace(text, '[^A-Za-z]', '', 'g')) END AS lower_case FROM documents")
 def pf13(spark, d):
     letters, upper = F.length(F.regexp_replace("text", "[^A-Za-z]", "")), F.length(F.regexp_replace("text", "[^A-Z]", ""))
