@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 #: Accented letters and their bases, fixed.
 ACCENTED, PLAIN = "ÄÇÈÉÊÍÑÓÖÜäçèéêíñóöü", "ACEEEINOOUaceeeinoou"
-#: Titles before a name, fixed.
-TITLES = ("mr", "mrs", "ms", "dr", "prof", "sir", "lady", "lord", "king", "queen", "saint", "st", "father")
 
 
 def tokens(text: Column) -> Column:
@@ -125,23 +123,10 @@ def strip_accents(text: Column) -> Column:
     return F.translate(text, ACCENTED, PLAIN)
 
 
-def strip_titles(name: Column) -> Column:
-    """Without leading titles, however many."""
-    return F.regexp_replace(collapse(name), r"(?i)^(?:(?:" + "|".join(TITLES) + r")\.?\s+)+", "")
-
-
-def normal_name(name: Column) -> Column:
-    return F.lower(strip_accents(collapse(F.regexp_replace(strip_titles(name), r"[.,;:!?\"()]", ""))))
-
-
-def last_token(name: Column) -> Column:
-    return F.element_at(F.split(name, " "), -1)
-
-
 def trigrams(text: Column) -> Column:
-    """Distinct character trigrams of a text with a blank at either end."""
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substring(padded, i, F.lit(3))))
+    """Distinct character trigrams of a text with two blanks at either end."""
+    padded = F.concat(F.lit("  "), text, F.lit("  "))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))
 
 
 def normal_place(text: Column) -> Column:
@@ -149,18 +134,18 @@ def normal_place(text: Column) -> Column:
     return F.regexp_replace(F.lower(strip_accents(collapse(text))), "^the ", "")
 
 
-def low_information(text: Column) -> Column:
-    """Queries that say nothing: no letters, or one token over and over, or at most two tokens of under four letters."""
-    own = F.transform(tokens(F.lower(text)), lambda t: F.regexp_replace(t, "[^a-z]", ""))
-    words = F.filter(own, lambda t: t != "")
-    return (F.size(words) == 0) | ((F.size(words) > 1) & (F.size(F.array_distinct(words)) == 1)) | ((F.size(words) <= 2) & ~F.exists(words, lambda t: F.length(t) >= 4))
-
-
 def safe_file_name(name: Column) -> Column:
     """The name itself if it is safe and short, else the first 16 digits of its SHA-256."""
     return F.when(name.rlike(r"^[A-Za-z0-9._-]+$") & (F.length(name) <= 200), name).otherwise(F.substring(F.sha2(name, 256), 1, 16))
 
 
+def source_id(file_name: Column, most: int = 120) -> Column:
+    """From the name of a file: without folders and the last extension, signs as single underscores."""
+    stem = F.regexp_replace(F.regexp_replace(file_name, r"(?s)^.*/", ""), r"(?s)^(.+)\.[^.]+$", "$1")
+    safe = F.btrim(F.regexp_replace(F.regexp_replace(stem, r"[^\p{L}\p{N}_\-]", "_"), "_+", "_"), F.lit("_"))
+    return F.when(safe == "", "uploaded_doc").otherwise(F.substring(safe, 1, most))
+
+
 def citation_marks(text: Column) -> Column:
     """Numbers of inline marks [N] or [N, p.XX]."""
     return F.transform(F.regexp_extract_all(text, F.lit(r"\[(\d+)(?:,\s*p\.\s*\d+)?\]"), F.lit(1)), lambda x: x.cast("int"))

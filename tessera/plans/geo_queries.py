@@ -55,8 +55,8 @@ def jn09(spark, d):
 
 
 @query("jn07_trigram_candidates", """
-WITH a AS (SELECT c_custkey, unnest(list_distinct(list_transform(generate_series(1, greatest(length(c_name), 1)), lambda i: substring(' ' || lower(c_name) || ' ', i, 3)))) AS g FROM customer),
-q AS (SELECT s_suppkey, unnest(list_distinct(list_transform(generate_series(1, greatest(length(s_name), 1)), lambda i: substring(' ' || lower(s_name) || ' ', i, 3)))) AS g FROM supplier),
+WITH a AS (SELECT c_custkey, unnest(list_distinct(list_transform(generate_series(1, length(c_name) + 2), lambda i: substring('  ' || lower(c_name) || '  ', i, 3)))) AS g FROM customer),
+q AS (SELECT s_suppkey, unnest(list_distinct(list_transform(generate_series(1, length(s_name) + 2), lambda i: substring('  ' || lower(s_name) || '  ', i, 3)))) AS g FROM supplier),
 c AS (SELECT s_suppkey, c_custkey, count(*) AS shared FROM q JOIN a USING (g) GROUP BY ALL)
 SELECT s_suppkey, c_custkey, shared FROM (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY shared DESC, c_custkey) AS k FROM c) WHERE k <= 20""")
 def jn07(spark, d):

@@ -125,20 +125,24 @@ def st10(spark, d):
 
 @query("st12_stop_and_thinking", """
 SELECT doc_id, split_part(regexp_replace(marked, '(?s)<think>.*?</think>', '', 'g'), '<|end|>', 1) AS shown FROM (
-  SELECT doc_id, '<think>' || substring(text, 1, 20) || '</think>' || substring(text, 21, 200) || '<|end|>' || substring(text, 1, 9) AS marked FROM documents)""")
+  SELECT doc_id, '<think>' || substring(text, 1, 20) || '</think>' || substring(text, 21) || '<|end|>' || substring(text, 1, 9) AS marked FROM documents)""")
 def st12(spark, d):
-    marked = F.concat(F.lit("<think>"), F.substring("text", 1, 20), F.lit("</think>"), F.substring("text", 21, 200), F.lit("<|end|>"), F.substring("text", 1, 9))
+    marked = F.concat(F.lit("<think>"), F.substring("text", 1, 20), F.lit("</think>"), F.expr("substring(text, 21)"), F.lit("<|end|>"), F.substring("text", 1, 9))
     return docs(spark, d).select("doc_id", F.substring_index(T.strip_blocks(marked, "<think>", "</think>"), "<|end|>", 1).alias("shown"))
 
 
-@query("st18_source_id", "SELECT doc_id, trim(regexp_replace(lower(substring(text, 1, 30)), '[^a-z0-9]+', '_', 'g'), '_') AS source_id FROM documents")
+_FILE = "'up/' || lang || ' ä-' || source || '__(' || doc_id || ').v2.pdf'"
+
+
+@query("st18_source_id", f"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_FILE}, '^.*/', ''), '^(.+)\\.[^.]+$', '\\1'), '[^\\p{{L}}\\p{{N}}_-]', '_', 'g'), '_+', '_', 'g'), '_')[1:120] AS source_id FROM documents")
 def st18(spark, d):
-    return docs(spark, d).select("doc_id", F.btrim(F.regexp_replace(F.lower(F.substring("text", 1, 30)), "[^a-z0-9]+", "_"), F.lit("_")).alias("source_id"))
+    name = F.concat(F.lit("up/"), "lang", F.lit(" ä-"), "source", F.lit("__("), F.col("doc_id"), F.lit(").v2.pdf"))
+    return table(spark, d, "documents").select("doc_id", T.source_id(name).alias("source_id"))
 
 
-@query("sk17_snapshot_name", "SELECT doc_id, CASE WHEN regexp_matches(name, '^[A-Za-z0-9._-]+$') AND length(name) <= 200 THEN name ELSE sha256(name)[1:16] END AS file_name FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source || '.' || doc_id ELSE substring(text, 1, 40) END AS name FROM documents)")
+@query("sk17_snapshot_name", "SELECT doc_id, CASE WHEN regexp_matches(name, '^[A-Za-z0-9._-]+$') AND length(name) <= 200 THEN name ELSE sha256(name)[1:16] END AS file_name FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source || '.' || doc_id ELSE text END AS name FROM documents)")
 def sk17(spark, d):
-    name = F.when(F.col("doc_id") % 2 == 0, F.concat("source", F.lit("."), F.col("doc_id").cast("string"))).otherwise(F.substring("text", 1, 40))
+    name = F.when(F.col("doc_id") % 2 == 0, F.concat("source", F.lit("."), F.col("doc_id").cast("string"))).otherwise(F.col("text"))
     return docs(spark, d).select("doc_id", T.safe_file_name(name).alias("file_name"))
 
 
@@ -198,21 +202,22 @@ def pf20(spark, d):
 
 
 @query("ge09_trigrams", """
-SELECT p_partkey, list_sort(list_distinct(list_transform(generate_series(1, greatest(length(p_name), 1)), lambda i: substring(' ' || p_name || ' ', i, 3))))[1] AS least, len(list_distinct(list_transform(generate_series(1, greatest(length(p_name), 1)), lambda i: substring(' ' || p_name || ' ', i, 3)))) AS n FROM part""")
+SELECT p_partkey, list_sort(list_distinct(list_transform(generate_series(1, length(p_name) + 2), lambda i: substring('  ' || p_name || '  ', i, 3))))[1] AS least, len(list_distinct(list_transform(generate_series(1, length(p_name) + 2), lambda i: substring('  ' || p_name || '  ', i, 3)))) AS n FROM part""")
 def ge09(spark, d):
     own = table(spark, d, "part").select("p_partkey", T.trigrams(F.col("p_name")).alias("g"))
     return own.select("p_partkey", F.array_min("g").alias("least"), F.size("g").cast("long").alias("n"))
 
 
-@query("ge08_place_normalisation", f"SELECT doc_id, regexp_replace(lower({SQL_ACCENTS.format('trim(regexp_replace(' + chr(39) + ' The ' + chr(39) + ' || substring(text, 1, 60), ' + chr(39) + chr(92) + 's+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + '))')}), '^the ', '') AS place FROM documents")
+@query("ge08_place_normalisation", f"SELECT doc_id, regexp_replace(lower({SQL_ACCENTS.format('trim(regexp_replace(' + chr(39) + ' The ' + chr(39) + ' || text, ' + chr(39) + chr(92) + 's+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + '))')}), '^the ', '') AS place FROM documents")
 def ge08(spark, d):
-    return docs(spark, d).select("doc_id", T.normal_place(F.concat(F.lit(" The "), F.substring("text", 1, 60))).alias("place"))
+    return docs(spark, d).select("doc_id", T.normal_place(F.concat(F.lit(" The "), F.col("text"))).alias("place"))
 
 
-@query("pe03_names", """
-SELECT c_custkey, lower(trim(regexp_replace(regexp_replace(CASE c_custkey % 3 WHEN 0 THEN 'Dr. Prof. ' WHEN 1 THEN 'Mr ' ELSE '' END || c_name || ', ' || c_mktsegment, '(?i)^(?:(?:mr|mrs|ms|dr|prof|sir|lady|lord|king|queen|saint|st|father)\\.?\\s+)+', ''), '[.,;:!?"()]', '', 'g'))) AS name,
-  lower(c_mktsegment) AS last FROM customer""")
+@query("pe03_names", "SELECT c_custkey, lower(c_name || ' ' || c_mktsegment) AS name, lower(c_mktsegment) AS last FROM customer")
 def pe03(spark, d):
-    said = F.concat(F.when(F.col("c_custkey") % 3 == 0, "Dr. Prof. ").when(F.col("c_custkey") % 3 == 1, "Mr ").otherwise(""), "c_name", F.lit(", "), "c_mktsegment")
-    own = table(spark, d, "customer").select("c_custkey", T.normal_name(said).alias("name"))
-    return own.select("c_custkey", "name", T.last_token(F.col("name")).alias("last"))
+    """Titles and signs go, whatever stands before a name."""
+    from tessera.functions import names as N
+
+    said = F.concat(F.when(F.col("c_custkey") % 3 == 0, " Dr. prof. ").when(F.col("c_custkey") % 3 == 1, "Rev  Capt. ").otherwise(""), "c_name", F.lit(",  ("), "c_mktsegment", F.lit(")"))
+    own = table(spark, d, "customer").select("c_custkey", N.normalize_name(said).alias("name"))
+    return own.select("c_custkey", "name", N.last_token(F.col("name")).alias("last"))
