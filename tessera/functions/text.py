@@ -27,26 +27,27 @@ def window_starts(n: Column, size: int, overlap: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda i: i * step)).otherwise(F.array().cast("array<int>"))
 
 
-def token_windows(text: Column, size: int, overlap: int) -> Column:
-    """Windows as texts."""
-    own = tokens(text)
+def token_windows(text: Column, size: int, overlap: int, own: Column | None = None) -> Column:
+    """Windows as texts. own: the text's tokens, where they are a column already, as an expression is worked out wherever it stands."""
+    own = tokens(text) if own is None else own
     return F.transform(window_starts(F.size(own), size, overlap), lambda s: F.array_join(F.slice(own, s + 1, size), " "))
 
 
-def parent_windows(text: Column, whole: int = 1500, size: int = 1200, overlap: int = 150, least: int = 1000) -> Column:
+def parent_windows(text: Column, whole: int = 1500, size: int = 1200, overlap: int = 150, least: int = 1000, own: Column | None = None) -> Column:
     """Parent chunks: a text of up to ``whole`` tokens is one; else windows, a last one under ``least`` tokens being appended, overlap and all, to the one before."""
-    own = tokens(text)
+    own = tokens(text) if own is None else own
     n = F.size(own)
     starts = window_starts(n, size, overlap)
     part = lambda s: F.array_join(F.slice(own, s + 1, size), " ")
-    cut = F.transform(starts, part)
     tail = n - F.element_at(starts, -1)
-    merged = F.concat(F.slice(cut, 1, F.size(cut) - 2), F.array(F.concat_ws(" ", F.element_at(cut, -2), F.element_at(cut, -1))))
+    last = F.element_at(starts, -1)
+    # each window once: the one before a short tail takes it in
+    merged = F.transform(F.slice(starts, 1, F.size(starts) - 1), lambda s: F.when(s == last - (size - overlap), F.concat_ws(" ", part(s), part(last))).otherwise(part(s)))
     return (
         F.when(n == 0, F.array().cast("array<string>"))
         .when(n <= whole, F.array(F.array_join(own, " ")))
-        .when((tail < least) & (F.size(cut) > 1), merged)
-        .otherwise(cut)
+        .when((tail < least) & (F.size(starts) > 1), merged)
+        .otherwise(F.transform(starts, part))
     )
 
 

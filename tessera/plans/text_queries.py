@@ -22,7 +22,8 @@ WITH t AS (SELECT doc_id, {SQL_TOKENS} AS toks FROM documents),
 s AS (SELECT doc_id, toks, len(toks) AS n, CASE WHEN len(toks) <= 1200 THEN 0 ELSE CAST(ceil((len(toks) - 1200) / 1050.0) AS BIGINT) END AS last FROM t WHERE len(toks) > 0)
 SELECT doc_id, CAST(i AS INTEGER) AS window_no, array_to_string(toks[i * 1050 + 1 : i * 1050 + 1200], ' ') AS chunk FROM s, unnest(generate_series(0, last)) AS g(i)""")
 def ch03(spark, d):
-    return docs(spark, d).select("doc_id", F.posexplode(T.token_windows(F.col("text"), 1200, 150)).alias("window_no", "chunk"))
+    own = docs(spark, d).select("doc_id", "text", T.tokens(F.col("text")).alias("own"))
+    return own.select("doc_id", F.posexplode(T.token_windows(F.col("text"), 1200, 150, F.col("own"))).alias("window_no", "chunk"))
 
 
 @query("ch01_parent_chunks", f"""
@@ -32,7 +33,8 @@ w AS (SELECT doc_id, n, last, i, n - last * 1050 AS tail, array_to_string(toks[i
 SELECT doc_id, CAST(i AS INTEGER) AS chunk_no, CASE WHEN n <= 1500 THEN whole WHEN tail < 1000 AND last > 0 AND i = last - 1 THEN part || ' ' || (SELECT part FROM w x WHERE x.doc_id = w.doc_id AND x.i = w.last) ELSE part END AS chunk
 FROM w WHERE (n <= 1500 AND i = 0) OR (n > 1500 AND NOT (tail < 1000 AND last > 0 AND i = last))""")
 def ch01(spark, d):
-    return docs(spark, d).select("doc_id", F.posexplode(T.parent_windows(F.col("text"))).alias("chunk_no", "chunk"))
+    own = docs(spark, d).select("doc_id", "text", T.tokens(F.col("text")).alias("own"))
+    return own.select("doc_id", F.posexplode(T.parent_windows(F.col("text"), own=F.col("own"))).alias("chunk_no", "chunk"))
 
 
 @query("ch02_child_chunks")
