@@ -99,11 +99,16 @@ def _hits(spark, d, k=50):
     texts = docs(spark, d).select("doc_id", F.col("text").alias("passage"), "source")
     asked = bench(spark, d).withColumnRenamed("text", "question")
     both = ranked.join(asked, "item_id").join(texts, "doc_id")
-    # whole numbers first, so that both engines divide alike
-    scored = both.select("item_id", "doc_id", "source", "passage", F.round(R.overlap_score(F.col("question"), F.col("passage")), 6).alias("score"))
+    # whole numbers first, so that both engines divide alike; the texts end here, and only those that are shown are joined again
+    scored = both.select("item_id", "doc_id", "source", R.expected_tokens(F.col("passage")).alias("tokens"), F.round(R.overlap_score(F.col("question"), F.col("passage")), 6).alias("score"))
     return R.rank(scored, "item_id", "doc_id")
 
 
+def _shown(spark, d, rows):
+    """rows with the texts of their documents."""
+    return rows.join(docs(spark, d).select("doc_id", F.col("text").alias("passage")), "doc_id")
+
+
 SQL_HITS = f"""
 WITH {DOC_BM25}, top AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS k FROM bm),
 pairs AS (SELECT t.item_id, t.doc_id, d.source, d.text AS passage, list_distinct(list_filter(string_split_regex(lower(b.text), '\\s+'), lambda x: x <> '')) AS q, string_split_regex(lower(d.text), '\\s+') AS p FROM top t JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id) WHERE k <= 50),
@@ -137,14 +142,14 @@ def _final(spark, d, k):
 @query("rk14_search", SQL_FINAL + " SELECT item_id, CAST(place AS INTEGER) AS place, doc_id, source, score, below_threshold, '[PASSAGE ' || place || ']' || chr(10) || passage AS block FROM fin WHERE place <= 5")
 def rk14(spark, d):
     """The whole flow: BM25, rerank, threshold, two per source, five in all, with their texts."""
-    return _final(spark, d, 5).select("item_id", "place", "doc_id", "source", "score", "below_threshold", F.concat(F.lit("[PASSAGE "), F.col("place").cast("string"), F.lit("]\n"), "passage").alias("block"))
+    return _shown(spark, d, _final(spark, d, 5)).select("item_id", "place", "doc_id", "source", "score", "below_threshold", F.concat(F.lit("[PASSAGE "), F.col("place").cast("string"), F.lit("]\n"), "passage").alias("block"))
 
 
 @query("ag06_context", SQL_FINAL + " SELECT item_id, string_agg(passage, chr(10) || chr(10) ORDER BY place) AS joined FROM fin WHERE place <= 5 GROUP BY item_id")
 def ag06(spark, d):
     from tessera.operators.rollups import ordered_text
 
-    return ordered_text(_final(spark, d, 5), ["item_id"], "place", F.col("passage"))
+    return ordered_text(_shown(spark, d, _final(spark, d, 5)), ["item_id"], "place", F.col("passage"))
 
 
 @query("wn03_budget_expansion", SQL_HITS + """, tk AS (SELECT item_id, doc_id, rank, CAST(floor(len(list_filter(string_split_regex(passage, '\\s+'), lambda t: t <> '')) * 1.35) AS BIGINT) AS tokens FROM hits),
@@ -152,7 +157,7 @@ run AS (SELECT *, sum(tokens) OVER (PARTITION BY item_id ORDER BY rank) AS total
 ov AS (SELECT *, max(CASE WHEN rank > 5 AND total > 4000 THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY rank) AS o FROM run)
 SELECT item_id, doc_id, tokens, CAST(total AS BIGINT) AS total FROM ov WHERE rank <= 5 OR (base < 2000 AND o = 0)""")
 def wn03(spark, d):
-    return R.expand_to_budget(_hits(spark, d), "item_id", R.expected_tokens(F.col("passage")), 5, 8000).select("item_id", "doc_id", "tokens", "total")
+    return R.expand_to_budget(_hits(spark, d), "item_id", F.col("tokens"), 5, 8000).select("item_id", "doc_id", "tokens", "total")
 
 
 @query("wn05_pack_prefix", "WITH r AS (SELECT l_orderkey, l_linenumber, CAST(trunc(l_quantity) AS BIGINT) AS tokens, sum(CAST(trunc(l_quantity) AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING) AS total FROM lineitem) SELECT l_orderkey, l_linenumber, tokens, CAST(total AS BIGINT) AS total FROM r WHERE total <= 100")
