@@ -137,16 +137,25 @@ def _hidden(p: dict, around: np.ndarray) -> np.ndarray:
     return np.tanh(total)
 
 
+def _logits(p: dict, hidden: np.ndarray) -> np.ndarray:
+    """In one array: copies of this size cost more than the sums."""
+    out = hidden @ p["out"]
+    out += p["bias"]
+    return np.clip(out, -40, 40, out=out)
+
+
 def log_class(p: dict, around: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log-probability of each target class."""
-    logits = np.clip(_hidden(p, around) @ p["out"] + p["bias"], -40, 40)
-    return logits[np.arange(len(target)), target] - np.log(np.exp(logits).sum(1))
+    logits = _logits(p, _hidden(p, around))
+    own = logits[np.arange(len(target)), target]
+    return own - np.log(np.exp(logits, out=logits).sum(1))
 
 
 def _step(p: dict, past: dict, around: np.ndarray, target: np.ndarray, s: Settings) -> None:
     """One Adagrad step on the mean loss of some positions."""
     h, n = _hidden(p, around), len(target)
-    e = np.exp(np.clip(h @ p["out"] + p["bias"], -40, 40))
+    e = _logits(p, h)
+    np.exp(e, out=e)
     e /= e.sum(1, keepdims=True)
     e[np.arange(n), target] -= 1
     e /= n
