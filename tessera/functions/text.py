@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented letters and their bases, fixed.
-ACCENTED, PLAIN = "ÄÇÈÉÊÍÑÓÖÜäçèéêíñóöü", "ACEEEINOOUaceeeinoou"
+
+
+def _bases() -> tuple[str, str]:
+    """Letters of the Latin and Greek blocks that are one letter and marks, and those letters."""
+    plain = {chr(c): "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if unicodedata.category(x) != "Mn") for c in (*range(0xC0, 0x530), *range(0x1E00, 0x2000))}
+    own = {k: v for k, v in plain.items() if len(v) == 1 and v != k}
+    return "".join(own), "".join(own.values())
+
+
+ACCENTED, PLAIN = _bases()
 
 
 def tokens(text: Column) -> Column:
@@ -120,8 +130,13 @@ def collapse(text: Column) -> Column:
 
 
 def strip_accents(text: Column) -> Column:
-    """For the letters in ACCENTED."""
-    return F.translate(text, ACCENTED, PLAIN)
+    """Letters of the Latin, Greek and Cyrillic blocks without their marks, whether these are part of a letter or stand after it."""
+    return F.translate(F.regexp_replace(text, r"\p{Mn}", ""), ACCENTED, PLAIN)
+
+
+def index_form(text: Column) -> Column:
+    """As names are indexed: without accents, in lower case, trimmed."""
+    return F.lower(F.trim(strip_accents(text)))
 
 
 def trigrams(text: Column) -> Column:

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-import math
+import itertools
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.geo import RADIUS_KM, haversine
+from tessera.functions.geo import chord, haversine, unit_vector
 
 
 def radius_join(points: DataFrame, places: DataFrame, km: float) -> DataFrame:
-    """Pairs within km. points and places have lat and lon; places' columns are named with a leading p_. Both are laid on bands of latitude at least km wide, so each point meets three bands."""
-    degrees = max(math.degrees(km / RADIUS_KM), 1e-6)
-    band = lambda c: F.floor(F.col(c) / degrees).cast("long")
-    left = points.withColumn("__band", F.explode(F.array(*(band("lat") + i for i in (-1, 0, 1)))))
-    right = places.select(*(F.col(c).alias(f"p_{c}") for c in places.columns)).withColumn("__band", band("p_lat"))
-    near = left.join(right, "__band").drop("__band").withColumn("km", haversine(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")))
+    """Pairs within km. points and places have lat and lon; places' columns are named with a leading p_. The sphere lies in a grid of cubes with the chord of km as edge: a place is in one cube, a point meets the 27 around it. Poles and the date line are like any other place. Rows without coordinates meet nothing."""
+    edge = max(chord(km), 1e-9) * (1 + 1e-9)
+
+    def cubed(df: DataFrame, lat: str, lon: str) -> DataFrame:
+        v = unit_vector(F.col(lat), F.col(lon))
+        return df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumns({f"__{x}": F.floor(v[x] / edge) for x in "xyz"})
+
+    steps = F.array(*(F.struct(*(F.lit(o).alias(x) for x, o in zip("xyz", off))) for off in itertools.product((-1, 0, 1), repeat=3)))
+    left = cubed(points, "lat", "lon").withColumn("__o", F.explode(steps)).withColumns({f"__{x}": F.col(f"__{x}") + F.col(f"__o.{x}") for x in "xyz"}).drop("__o")
+    right = cubed(places.select(*(F.col(c).alias(f"p_{c}") for c in places.columns)), "p_lat", "p_lon")
+    near = left.join(right, ["__x", "__y", "__z"]).drop("__x", "__y", "__z").withColumn("km", haversine(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")))
     return near.where(F.col("km") <= km)
 
 
