@@ -34,7 +34,7 @@ def cut_to_tokens(text: Column, tokens: int, reach: int = 200) -> Column:
     lo = max(0, most - reach)
     region = F.substring(text, lo + 1, most - lo)
     # what follows the last end of a sentence in the region
-    rest = F.length(F.regexp_extract(region, r"(?s)^(.*[.!?])(?=\s|$)", 1))
+    rest = F.length(F.regexp_extract(region, r"(?s)^(.*[.!?])\s", 1))
     return F.when(F.length(text) <= most, text).otherwise(F.rtrim(F.substring(text, F.lit(1), F.when(rest > 0, lo + rest).otherwise(most))))
 
 
