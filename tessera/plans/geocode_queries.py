@@ -119,12 +119,10 @@ def ge24(spark, d):
     return C.centre(own, "name", towns(spark, d), aliases(spark, d), threshold=101.0).drop("name")
 
 
-@query("ge25_places_in_text", """SELECT event_id, 'Old ' || event_type || ',Rome,Nova Roma,Ostia,Alba,Veii' || CASE WHEN event_id % 2 = 0 THEN ',Holy Land,Gaul' ELSE '' END AS places FROM events""")
+@query("ge25_places_in_text", """SELECT event_id, 'Old ' || event_type || ',Rome,Nova Roma,Ostia,Alba,Veii' || CASE WHEN event_id % 2 = 0 THEN ',Gaul,Holy Land' ELSE '' END AS places FROM events""")
 def ge25(spark, d):
     said = F.concat(F.lit('What of "Old '), "event_type", F.lit('" near Rome and Nova Roma, from near Ostia, between Alba and Veii, near rome itself or from Rome'), F.when(F.col("event_id") % 2 == 0, F.lit("; the holy land, gaul, gauls")).otherwise(""))
-    # regions come in the order of their table: gaul stands before the holy land
-    places = E.places_in(said)
-    return table(spark, d, "events").select("event_id", F.array_join(F.concat(F.filter(places, lambda p: p != "Gaul"), F.filter(places, lambda p: p == "Gaul")), ",").alias("places"))
+    return table(spark, d, "events").select("event_id", F.array_join(E.places_in(said), ",").alias("places"))
 
 
 @query("ge26_expansion")
