@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import table
 
-from . import chat_format, decontaminate, lm_score, media, near_dup, packing, secrets, substring_dedup, toxicity, url_filter
+from . import chat_format, decontaminate, hard_negatives, lexical_search, lm_score, media, near_dup, packing, secrets, substring_dedup, toxicity, url_filter
 
 #: The rules that op8 judges by.
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -81,9 +81,47 @@ SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 FROM parts p LEFT JOIN fits f ON f.n = p.n AND f.k = 1"""
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+_LEXICAL_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS own FROM documents),
+asked AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+total AS (SELECT count(*) FILTER (len(own) > 0) AS n_docs, CAST(sum(len(own)) AS BIGINT) AS n_terms FROM docs),
+post AS (SELECT doc_id, len(own) AS n, term, count(*) AS tf FROM (SELECT doc_id, own, unnest(own) AS term FROM docs) GROUP BY doc_id, n, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM post, total GROUP BY term, n_docs),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM asked JOIN post USING (term) JOIN weights USING (term), total GROUP BY item_id, doc_id)
+SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM scored WHERE score > 0) WHERE k <= 10"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label=moved, every=100, share=80)
+
+
+_NEGATIVES_SQL = """
+WITH own AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM own a JOIN own b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) AS k FROM pairs WHERE same) WHERE k <= 5),
+bands AS (
+  SELECT anchor_id, positive_id, other_id AS negative_id, positive_score, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS k
+  FROM positives JOIN pairs USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM bands WHERE k <= 5"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_media, op3_chat_format, op4_decontaminate, op5_secrets, op6_substring_dedup, op7_near_dup, op8_url_filter, op9_packing, op10_lm_score)}
+    return {f.__name__: f for f in (op1_toxicity, op2_media, op3_chat_format, op4_decontaminate, op5_secrets, op6_substring_dedup, op7_near_dup, op8_url_filter, op9_packing, op10_lm_score, op12_lexical_search, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": _url_sql()}
+    return {"op8_url_filter": _url_sql(), "op12_lexical_search": _LEXICAL_SQL, "op13_hard_negatives": _NEGATIVES_SQL}
