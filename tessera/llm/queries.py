@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import table
 
-from . import chat_format, decontaminate, hard_negatives, lexical_search, lm_score, media, near_dup, packing, secrets, substring_dedup, toxicity, url_filter
+from . import chat_format, decontaminate, hard_negatives, lexical_search, licenses, lm_score, media, near_dup, packing, secrets, substring_dedup, toxicity, url_filter
 
 #: The rules that op8 judges by.
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -81,6 +81,36 @@ SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 FROM parts p LEFT JOIN fits f ON f.n = p.n AND f.k = 1"""
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    """The same rules over words that have two blanks between them, so that each match can hold one on either side."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rules = ",\n  ".join(f"({n}, {quoted(r.keyword)}, {r.level}, {quoted(r.label)}, {quoted(' (?:' + r.pattern.replace(' ', '  ') + ') ')}, {str(licenses.BASE.get(r.pattern) == r.label).lower()})" for n, r in enumerate(licenses.read_rules()))
+    size = lambda x: f"len(list_filter(string_split({x}, ' '), lambda y: y <> ''))"
+    return rf"""
+WITH rules(n, keyword, level, label, pattern, base) AS (VALUES
+  {rules}),
+texts AS (
+  SELECT doc_id, row_number() OVER () AS r, trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) AS words
+  FROM documents),
+hits AS (
+  SELECT r, n, level, label, base, string_split_regex(t, pattern) AS gaps, regexp_extract_all(t, pattern) AS found
+  FROM (SELECT r, words, ' ' || replace(words, ' ', '  ') || ' ' AS t FROM texts) JOIN rules ON contains(words, keyword) AND regexp_matches(t, pattern)),
+placed AS (SELECT r, n, level, label, base, list_transform(gaps, lambda x: {size("x")}) AS gaps, list_transform(found, lambda x: {size("x")}) AS sizes, unnest(range(1, len(found) + 1)) AS i FROM hits),
+spans AS (SELECT r, n, level, label, base, CAST(list_sum(gaps[1:i]) + coalesce(list_sum(sizes[1:i - 1]), 0) AS BIGINT) AS s, CAST(list_sum(gaps[1:i]) + list_sum(sizes[1:i]) AS BIGINT) AS e FROM placed),
+kept AS (
+  SELECT * FROM spans a WHERE NOT EXISTS (
+    SELECT 1 FROM spans b WHERE b.r = a.r AND b.s <= a.s AND b.e >= a.e AND (b.level < a.level OR b.level = a.level AND (b.e - b.s > a.e - a.s OR b.e = a.e AND b.n < a.n)))),
+based AS (SELECT r, count(*) AS n_base, min(s) AS first_word, max(s) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM spans WHERE base GROUP BY r),
+named AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM kept UNION ALL SELECT r, label FROM spans WHERE base) GROUP BY r),
+scored AS (SELECT r, max(CASE level WHEN 1 THEN 1.0 WHEN 2 THEN 0.9 WHEN 3 THEN 0.7 ELSE 0.4 END) AS score, string_agg(label || ':' || s || ':' || e, ',' ORDER BY s, e DESC, level, n) AS spans FROM kept GROUP BY r)
+SELECT doc_id, CAST({size("words")} AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN based USING (r) LEFT JOIN named USING (r) LEFT JOIN scored USING (r)"""
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
@@ -120,8 +150,8 @@ SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_media, op3_chat_format, op4_decontaminate, op5_secrets, op6_substring_dedup, op7_near_dup, op8_url_filter, op9_packing, op10_lm_score, op12_lexical_search, op13_hard_negatives)}
+    return {f.__name__: f for f in (op1_toxicity, op2_media, op3_chat_format, op4_decontaminate, op5_secrets, op6_substring_dedup, op7_near_dup, op8_url_filter, op9_packing, op10_lm_score, op11_licenses, op12_lexical_search, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": _url_sql(), "op12_lexical_search": _LEXICAL_SQL, "op13_hard_negatives": _NEGATIVES_SQL}
+    return {"op8_url_filter": _url_sql(), "op11_licenses": _license_sql(), "op12_lexical_search": _LEXICAL_SQL, "op13_hard_negatives": _NEGATIVES_SQL}

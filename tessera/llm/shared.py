@@ -8,7 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.session import ship_package
@@ -69,6 +69,26 @@ def perhaps(rows: DataFrame, wanted: DataFrame, key: str, split: bool = False):
     return (maybe, joined.where(~has).select(*rows.columns)) if split else maybe
 
 
+# --- folds over arrays, by DataFrame functions ------------------------------
+
+
+def walk(items: Column, start: Column, step, output: str, size: int = 256) -> Column:
+    """An array of what a fold over an array puts out. step(state, item): the next state, and what it puts out, an array of type ``output`` (a DDL type) with any number of elements. Outputs are joined block by block, so the work grows with the items, not with their square."""
+    none, many = F.array().cast(f"array<{output}>"), F.array().cast(f"array<array<{output}>>")
+
+    def one(acc, item):
+        state, out = step(acc["state"], item)
+        return F.struct(state.alias("state"), F.concat(acc["out"], out).alias("out"))
+
+    def block(acc, at):
+        inner = F.aggregate(F.slice(items, at * size + 1, F.lit(size)), F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        # in an array of one element, so that it is worked out once
+        return F.get(F.transform(F.array(inner), lambda x: F.struct(x["state"].alias("state"), F.concat(acc["out"], F.array(x["out"])).alias("out"))), F.lit(0))
+
+    blocks = F.sequence(F.lit(0), F.greatest(F.floor((F.size(items) - 1) / size).cast("int"), F.lit(0)))
+    return F.flatten(F.aggregate(blocks, F.struct(start.alias("state"), many.alias("out")), block)["out"])
+
+
 # --- bytes of a column -----------------------------------------------------
 
 _rng = np.random.default_rng(20240229)
