@@ -3,12 +3,13 @@
 Patterns give the base spans. Beyond them, every run of at least ``min_chars`` characters
 ``[A-Za-z0-9+/_=-]`` is scored by two first-order Markov models of its characters, one trained on
 random strings, the other on ordinary identifiers and words: where the mean log-likelihood ratio of
-its transitions exceeds ``threshold``, the run is a span of kind ``markov``, unless it overlaps a
-base span. The models are trained from a table of labelled samples (``sample``, ``random``), by
+its transitions exceeds ``threshold``, the run is a span of kind ``markov``. Base spans are cut out
+first, and what is left of a run on either side is scored as a run of its own. The models are trained from a table of labelled samples (``sample``, ``random``), by
 counting transitions over 63 character classes; they are at most 63 * 63 numbers.
 
 Spans are in code points, end exclusive. Spark has no function for match positions, so they are
-summed from the lengths of matches and of the pieces between them.
+summed from the lengths of matches and of the pieces between them; the work grows with a text's length
+and its matches, except that a run with many base spans inside is copied once for each.
 
 Defined cases: null text is empty and has no spans; repeated rows are each scanned; an empty table
 gives no rows; labelled samples that are null or of fewer than two characters add nothing; without
@@ -25,11 +26,16 @@ from pyspark.sql import functions as F
 
 from tessera.session import ship_package
 
+from .shared import once, walk
+
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A run of the class is matched whole, so its least length can stand in the pattern.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "markov")
+_SPAN = "struct<start:int,end:int,match:string>"
+#: Code points of the blocks that texts are cut from.
+BLOCK = 1024
 #: Letters by case, digits, and all else as one class.
 CLASSES = 63
 
@@ -101,24 +107,38 @@ def train_markov(samples: DataFrame, smoothing: float = 0.3) -> list[float]:
 def _located(text: Column, pattern: str) -> Column:
     """Matches of a pattern as structs (start, end, match), in order."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    walked = F.aggregate(
-        F.zip_with(F.slice(between, 1, F.size(found)), found, lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("match"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["match"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["match"])).alias("end"), x["match"].alias("match")))).alias("out"),
-        ),
-    )
-    return walked["out"]
+    pieces = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda gap, match: F.struct(F.length(gap).alias("gap"), F.length(match).alias("size"), match.alias("match")))
+
+    def step(at, x):
+        start = at + x["gap"]
+        return start + x["size"], F.array(F.struct(start.alias("start"), (start + x["size"]).alias("end"), x["match"].alias("match")))
+
+    return walk(pieces, F.lit(0), step, _SPAN)
+
+
+def _left(runs: Column, base: Column, min_chars: int) -> Column:
+    """What base spans leave of runs, where it has min_chars: (start, end, match). base: sorted by start."""
+    event = lambda start, kind, end, match: F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), match.alias("match"))
+    far = F.lit((1 << 31) - 1)
+    events = F.array_sort(F.concat(F.transform(base, lambda b: event(b["start"], 0, b["end"], F.lit(""))), F.transform(runs, lambda r: event(r["start"], 1, r["end"], r["match"])), F.array(event(far, 1, far, F.lit("")))))
+    # at: where the part of the run that is still open begins; covered: the farthest end of a base span
+    state = lambda at, covered, first, last, run: F.struct(at.alias("at"), covered.alias("covered"), first.alias("first"), last.alias("last"), run.alias("run"))
+    zero = F.lit(0)
 
+    def step(s, x):
+        n = F.least(x["start"], s["last"]) - s["at"]
+        piece = F.struct(s["at"].alias("start"), (s["at"] + n).alias("end"), F.substring(s["run"], s["at"] - s["first"] + 1, n).alias("match"))
+        out = F.when(n >= min_chars, F.array(piece)).otherwise(F.array().cast(f"array<{_SPAN}>"))
+        covered = F.greatest(s["covered"], x["end"])
+        base = state(F.greatest(s["at"], x["end"]), covered, s["first"], s["last"], s["run"])
+        return F.when(x["kind"] == 0, base).otherwise(state(F.greatest(x["start"], s["covered"]), s["covered"], x["start"], x["end"], x["match"])), out
 
-_SPANS = "array<struct<start:int,end:int,match:string>>"
+    return walk(events, state(zero, zero, zero, zero, F.lit("")), step, _SPAN)
 
 
 def _where(text: Column, hint: str, spans: Column) -> Column:
     """spans where the text holds the hint, else none: rows without it cost one search."""
-    return F.when(text.rlike(hint), spans).otherwise(F.array().cast(_SPANS))
+    return F.when(text.rlike(hint), spans).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
 def scan(documents: DataFrame, model: list[float], *, min_chars: int = 20, threshold: float = 0.6) -> DataFrame:
@@ -135,12 +155,12 @@ def scan(documents: DataFrame, model: list[float], *, min_chars: int = 20, thres
         _where(text, r"(?i:password|passwd|secret|token|api_?key)", assign).alias("assign"),
         _where(text, "AKIA", _located(text, ACCESS)).alias("access"),
         _where(text, HEX, _located(text, HEX)).alias("hex"),
-        _where(text, run, F.filter(_located(text, run), lambda m: ratio(m["match"]) > threshold)).alias("markov"),
+        _where(text, run, _located(text, run)).alias("runs"),
     )
-    flat = lambda name: F.transform(F.col(name), lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(name)).alias("kind"), m["end"].alias("end")))
-    based = found.select("row", "text", F.array_sort(F.concat(flat("assign"), flat("access"), flat("hex"))).alias("base"), flat("markov").alias("more"))
-    apart = F.filter("more", lambda a: ~F.exists("base", lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])))
-    return based.select("row", "text", "base", apart.alias("added"))
+    kinds = lambda spans, kind: F.transform(spans, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end")))
+    based = found.select("row", "text", F.array_sort(F.concat(*(kinds(F.col(k), n) for n, k in enumerate(KINDS[:3])))).alias("base"), "runs")
+    left = F.when(F.size("runs") > 0, _left(F.col("runs"), F.col("base"), min_chars)).otherwise(F.col("runs"))
+    return based.select("row", "text", "base", kinds(F.filter(left, lambda m: ratio(m["match"]) > threshold), 3).alias("added"))
 
 
 def _joined(spans: Column) -> Column:
@@ -159,15 +179,23 @@ def find_secrets(documents: DataFrame, model: list[float], **options) -> DataFra
 
 def redact(documents: DataFrame, model: list[float], *, mark: str = "[SECRET]", **options) -> DataFrame:
     """documents, all columns, with every span of their text replaced (overlapping spans by one mark) and n_chars, where present, counted anew."""
-    walked = F.aggregate(
-        F.array_sort(F.concat("base", "added")),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
-    )
-    found = scan(documents, model, **options).withColumn("clean", F.when(F.size("base") + F.size("added") > 0, walked).otherwise(F.col("row.text")))
+    after = F.array(F.struct(F.length("text").alias("start"), F.lit(len(KINDS)).alias("kind"), F.length("text").alias("end")))
+
+    def cut(blocks, first, last):
+        """Of the text, by the few blocks that hold it."""
+        lo = F.floor(first / BLOCK).cast("int")
+        return F.substring(F.array_join(F.slice(blocks, lo + 1, F.floor((last - 1) / BLOCK).cast("int") - lo + 1), ""), first - lo * BLOCK + 1, last - first)
+
+    def replaced(blocks):
+        def step(at, s):
+            gap = F.when(s["start"] > at, cut(blocks, at, s["start"])).otherwise(F.lit(""))
+            shown = F.when((s["start"] >= at) & (s["kind"] < len(KINDS)), F.concat(gap, F.lit(mark))).otherwise(gap)
+            return F.greatest(at, s["end"]), F.array(shown)
+
+        return F.array_join(walk(F.concat(F.array_sort(F.concat("base", "added")), after), F.lit(0), step, "string"), "")
+
+    walked = once(F.regexp_extract_all("text", F.lit("(?s).{1,%d}" % BLOCK), F.lit(0)), replaced)
+    some = F.size("base") + F.size("added") > 0
+    found = scan(documents, model, **options).withColumn("clean", F.when(some, walked).otherwise(F.col("row.text")))
     out = {"text": F.col("clean")} | ({"n_chars": F.length("clean").cast(documents.schema["n_chars"].dataType)} if "n_chars" in documents.columns else {})
     return found.select(*(out.get(c, F.col("row").getField(c)).alias(c) for c in documents.columns))

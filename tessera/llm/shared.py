@@ -80,13 +80,20 @@ def walk(items: Column, start: Column, step, output: str, size: int = 256) -> Co
         state, out = step(acc["state"], item)
         return F.struct(state.alias("state"), F.concat(acc["out"], out).alias("out"))
 
-    def block(acc, at):
-        inner = F.aggregate(F.slice(items, at * size + 1, F.lit(size)), F.struct(acc["state"].alias("state"), none.alias("out")), one)
-        # in an array of one element, so that it is worked out once
-        return F.get(F.transform(F.array(inner), lambda x: F.struct(x["state"].alias("state"), F.concat(acc["out"], F.array(x["out"])).alias("out"))), F.lit(0))
+    def folded(items):
+        def block(acc, at):
+            inner = F.aggregate(F.slice(items, at * size + 1, F.lit(size)), F.struct(acc["state"].alias("state"), none.alias("out")), one)
+            return once(inner, lambda x: F.struct(x["state"].alias("state"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
 
-    blocks = F.sequence(F.lit(0), F.greatest(F.floor((F.size(items) - 1) / size).cast("int"), F.lit(0)))
-    return F.flatten(F.aggregate(blocks, F.struct(start.alias("state"), many.alias("out")), block)["out"])
+        blocks = F.sequence(F.lit(0), F.greatest(F.floor((F.size(items) - 1) / size).cast("int"), F.lit(0)))
+        return F.flatten(F.aggregate(blocks, F.struct(start.alias("state"), many.alias("out")), block)["out"])
+
+    return once(items, folded)
+
+
+def once(value: Column, use) -> Column:
+    """use(value), with the value worked out once, however often it is used: it goes through an array of one element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 # --- bytes of a column -----------------------------------------------------
