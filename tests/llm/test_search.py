@@ -106,14 +106,14 @@ def searched(spark, docs, items, k=10):
     return sorted(map(tuple, got.collect()), key=repr)
 
 
-def corpus(n=400, seed=1):
+def texts_and_items(n=400, seed=1):
     rng = np.random.default_rng(seed)
     word = lambda: f"w{min(int(rng.zipf(1.3)), 300)}"
     return [(int(i), " ".join(word() for _ in range(rng.integers(0, 60)))) for i in rng.permutation(n)], [(i, " ".join(word() for _ in range(rng.integers(0, 25)))) for i in range(40)]
 
 
 def test_search_agrees_with_all_scores(spark):
-    docs, items = corpus()
+    docs, items = texts_and_items()
     docs += [(None, "w1 w2 w2"), (1000, None), (1001, ""), (1002, "É-Ünï, İ w2"), (1003, "w1 " * 20_000), (1004, docs[0][1]), (1004, docs[0][1]), (1005, "y" * 100_000)]
     items += [(50, None), (51, "é ünï ünï İ"), (52, "none of these"), (53, "W1 w1 w1"), (53, "W1 w1 w1"), (None, "w2 w3"), (54, "w1 " * 700)]
     assert searched(spark, docs, items) == sorted(plain_search(docs, items), key=repr)
@@ -121,7 +121,7 @@ def test_search_agrees_with_all_scores(spark):
 
 
 def test_search_in_small_blocks_pieces_and_sets(spark, monkeypatch):
-    docs, items = corpus(150, 2)
+    docs, items = texts_and_items(150, 2)
     want = sorted(plain_search(docs, items), key=repr)
     own = lexical_search.count_terms
     data, offsets = lexical_search.buffers(pa.array([t for _, t in docs]))
@@ -134,7 +134,7 @@ def test_search_in_small_blocks_pieces_and_sets(spark, monkeypatch):
 
 
 def test_blocks_that_are_halved_find_the_same():
-    docs, items = corpus(700, 3)
+    docs, items = texts_and_items(700, 3)
     own = lexical_search.Items([k for k, _ in items], [t for _, t in items])
     data, offsets = lexical_search.buffers(pa.array([t for _, t in docs]))
     n, doc, term, tf = lexical_search.count_terms(data, offsets, own.hash)
@@ -163,7 +163,7 @@ def test_first_k_of_slices(seed):
 
 
 def test_search_of_empty_tables(spark):
-    docs, items = corpus(5)
+    docs, items = texts_and_items(5)
     assert searched(spark, [(1, None)], items) == [] and searched(spark, [(1, "w1")], [(1, "")]) == []
     assert lexical_search.search(spark.createDataFrame([], SCHEMA), spark.createDataFrame(items, "item_id long, text string")).count() == 0
     assert lexical_search.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).count() == 0
