@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import retrieval as R
+from tessera.operators import search as S
 from tessera.registry import query
 from tessera.session import table
 
@@ -33,11 +34,28 @@ def bench(spark, d):
     return table(spark, d, "benchmark").select("item_id", "text")
 
 
-def lexical(spark, d):
-    return R.bm25(docs(spark, d), bench(spark, d), "doc_id", "item_id").withColumn("score", F.round("score", 6))
+def lexical(spark, d, k, only=None):
+    return S.bm25_topk(docs(spark, d), bench(spark, d) if only is None else _bound(spark, d), "doc_id", "item_id", k, only=only)
 
 
-@query("ag17_corpus_statistics", """
+def _bound(spark, d):
+    """The items with their vectors, that of the same number; odd ones are bound to one source."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("query_vector"))
+    source = F.when(F.col("item_id") % 2 == 1, F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")))
+    return bench(spark, d).join(vectors, "item_id", "left").withColumn("only_source", source)
+
+
+def doc_vectors(spark, d):
+    """The documents that have a vector, with it."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return vectors.join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+
+
+def dense(spark, d, k, only=None, **how):
+    return S.vector_topk(doc_vectors(spark, d), _bound(spark, d), k, "doc_id", query_key="item_id", only=only, **how)
+
+
+@query("ag17_term_statistics", """
 WITH own AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents)
 SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM own GROUP BY term""")
 def ag17(spark, d):
@@ -46,7 +64,7 @@ def ag17(spark, d):
 
 @query("rk03_bm25", f"WITH {DOC_BM25} SELECT item_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS k FROM bm) WHERE k <= 10")
 def rk03(spark, d):
-    return R.rank(lexical(spark, d), "item_id", "doc_id", 10).select("item_id", "doc_id", "score")
+    return lexical(spark, d, 10).select("item_id", "doc_id", "score")
 
 
 def _query_vectors(spark, d):
@@ -56,7 +74,7 @@ def _query_vectors(spark, d):
 
 @query("tk01_vector_topk", f"WITH {SQL_DENSE} SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10")
 def tk01(spark, d):
-    return R.vector_topk(table(spark, d, "embeddings").select("vec_id", "embedding"), _query_vectors(spark, d), 10)
+    return S.vector_topk(table(spark, d, "embeddings").select("vec_id", "embedding"), _query_vectors(spark, d), 10)
 
 
 @query("rk13_normalise", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS squared, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS first FROM embeddings")
@@ -65,52 +83,93 @@ def rk13(spark, d):
     return v.select("vec_id", F.round(R.dot(F.col("v"), F.col("v")), 6).alias("squared"), F.round(F.get("v", F.lit(0)), 6).alias("first"))
 
 
-SQL_HYBRID = f"""
-WITH {SQL_DENSE}, lists AS (SELECT query_id, vec_id, rank FROM ranked WHERE rank <= 50),
-lex AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY label_gap, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, abs(q.label - v.label) AS label_gap FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0)),
-both_ AS (SELECT * FROM lists UNION ALL SELECT * FROM lex WHERE rank <= 50)"""
+SQL_BOTH = f"""
+{DOC_BM25},
+iq AS (SELECT b.item_id, b.item_id % 2 = 1 AS bound, 'src' || (b.item_id % 20) AS only_source, e.embedding FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id),
+iv AS (SELECT d.doc_id, d.source, e.embedding FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id),
+near AS (SELECT item_id, doc_id, bound, v.source = only_source AS own, {SQL_DIST} AS gap FROM iq q, iv v WHERE q.embedding IS NOT NULL),
+word AS (SELECT bm.item_id, bm.doc_id, bound, d.source = only_source AS own, round(score, 6) AS score FROM bm JOIN iq USING (item_id) JOIN documents d USING (doc_id))"""
 
 
-def _second_list(spark, d):
-    """A stand-in for the other ranked list: by the gap of labels."""
-    v = table(spark, d, "embeddings").select("vec_id", "label")
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
-    return R.rank(v.crossJoin(F.broadcast(q)).select("query_id", "vec_id", (-F.abs(F.col("own") - F.col("label"))).alias("score")), "query_id", "vec_id", 50)
+def _sql_lists(rows: str) -> str:
+    """The two ranked lists of some rows."""
+    return f"""
+dn AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT *, round(gap, 6) AS score FROM near) WHERE {rows}),
+lx AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM word WHERE {rows})"""
 
 
-@query("rk04_rrf", SQL_HYBRID + " SELECT query_id, vec_id, score, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM (SELECT query_id, vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM both_ GROUP BY query_id, vec_id)) WHERE k <= 20")
+SQL_RRF = "SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT item_id, doc_id, rank FROM dn WHERE rank <= 50 UNION ALL SELECT item_id, doc_id, rank FROM lx WHERE rank <= 50) GROUP BY item_id, doc_id"
+
+
+def _sql_first(k: int, scored: str = SQL_RRF) -> str:
+    return f" SELECT item_id, doc_id, score, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM ({scored})) WHERE k <= {k}"
+
+
+@query("rk04_rrf", f"WITH {SQL_BOTH}, {_sql_lists('true')}" + _sql_first(20))
 def rk04(spark, d):
-    dense = R.vector_topk(table(spark, d, "embeddings").select("vec_id", "embedding"), _query_vectors(spark, d), 50)
-    return R.fuse_ranks([dense, _second_list(spark, d)], "query_id", "vec_id", 20)
+    return S.hybrid(dense(spark, d, 50), lexical(spark, d, 50), "item_id", "doc_id", 20)
 
 
 @query("rk05_linear", f"""
-WITH {SQL_DENSE}, d AS (SELECT query_id, vec_id, score FROM ranked WHERE rank <= 50),
-l AS (SELECT query_id, vec_id, score FROM (SELECT query_id, vec_id, -gap::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY gap, vec_id) AS k FROM (SELECT q.vec_id AS query_id, v.vec_id, abs(q.label - v.label) AS gap FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0)) WHERE k <= 50),
-f AS (SELECT query_id, vec_id, round(coalesce(d.score, 0) * 0.7 + coalesce(l.score, 0) * 0.3, 6) AS score FROM d FULL OUTER JOIN l USING (query_id, vec_id))
-SELECT query_id, vec_id, score, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM f) WHERE k <= 20""")
+WITH {SQL_BOTH}, {_sql_lists("true")},
+ds AS (SELECT item_id, doc_id, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END AS s FROM dn WHERE rank <= 50 WINDOW w AS (PARTITION BY item_id)),
+ls AS (SELECT item_id, doc_id, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END AS s FROM lx WHERE rank <= 50 WINDOW w AS (PARTITION BY item_id))"""
++ _sql_first(20, "SELECT item_id, doc_id, round(coalesce(ds.s, 0) * 0.7 + coalesce(ls.s, 0) * 0.3, 6) AS score FROM ds FULL OUTER JOIN ls USING (item_id, doc_id)"))
 def rk05(spark, d):
-    dense = R.vector_topk(table(spark, d, "embeddings").select("vec_id", "embedding"), _query_vectors(spark, d), 50)
-    return R.fuse_linear(dense, _second_list(spark, d).withColumn("score", F.col("score").cast("double")), "query_id", "vec_id", 20, 0.3)
+    return S.hybrid(dense(spark, d, 50), lexical(spark, d, 50), "item_id", "doc_id", 20, 0.3)
+
+
+@query("tk02_hybrid", f"WITH {SQL_BOTH}, {_sql_lists('NOT bound OR own')}" + _sql_first(10))
+def tk02(spark, d):
+    """Both lists, of one source where an item is bound to it, before anything is ranked; every cell is searched."""
+    only = ("source", "only_source")
+    return S.search(_bound(spark, d), "item_id", "doc_id", 10, depth=50, dense=lambda q, k: dense(spark, d, k, only), lexical=lambda q, k: lexical(spark, d, k, only))
+
+
+def probed(spark, d, k, cells=32, probes=16):
+    """The dense list by the inverted file: of each item the nearest half of the cells."""
+    rows = doc_vectors(spark, d)
+    fitted = S.Cells.fit(table(spark, d, "embeddings"), cells=cells)
+    return S.vector_topk(fitted.assign(rows), _bound(spark, d), k, "doc_id", query_key="item_id", cells=fitted, probes=probes)
+
+
+@query("tk02_probed")
+def tk02_probed(spark, d):
+    """As tk02_hybrid without sources, by the inverted file; the tests measure its recall."""
+    return S.search(_bound(spark, d), "item_id", "doc_id", 10, depth=50, dense=lambda q, k: probed(spark, d, k), lexical=lambda q, k: lexical(spark, d, k))
+
+
+@query("rk02_dispatch", f"WITH {SQL_BOTH}, {_sql_lists('true')} SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM dn WHERE rank <= 10")
+def rk02(spark, d):
+    """With the hybrid switched off, the dispatcher gives the dense list."""
+    return S.search(_bound(spark, d), "item_id", "doc_id", 10, use_hybrid=False, dense=lambda q, k: dense(spark, d, k), lexical=lambda q, k: lexical(spark, d, k))
 
 
 def _hits(spark, d, k=50):
-    ranked = R.rank(lexical(spark, d), "item_id", "doc_id", k)
+    ranked = S.search(_bound(spark, d), "item_id", "doc_id", k, dense=lambda q, n: dense(spark, d, n), lexical=lambda q, n: lexical(spark, d, n)).select("item_id", "doc_id")
     texts = docs(spark, d).select("doc_id", F.col("text").alias("passage"), "source")
     asked = bench(spark, d).withColumnRenamed("text", "question")
-    both = ranked.join(asked, "item_id").join(texts, "doc_id")
+    both = texts.join(F.broadcast(ranked.join(asked, "item_id")), "doc_id") if _few(spark, d, k) else ranked.join(asked, "item_id").join(texts, "doc_id")
     # whole numbers first, so that both engines divide alike; the texts end here, and only those that are shown are joined again
     scored = both.select("item_id", "doc_id", "source", R.expected_tokens(F.col("passage")).alias("tokens"), F.round(R.overlap_score(F.col("question"), F.col("passage")), 6).alias("score"))
     return R.rank(scored, "item_id", "doc_id")
 
 
+#: Hits that are sent to the documents instead of shuffling these.
+MAX_SENT = 100_000
+
+
+def _few(spark, d, k):
+    return bench(spark, d).count() * k <= MAX_SENT
+
+
 def _shown(spark, d, rows):
     """rows with the texts of their documents."""
     return rows.join(docs(spark, d).select("doc_id", F.col("text").alias("passage")), "doc_id")
 
 
 SQL_HITS = f"""
-WITH {DOC_BM25}, top AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS k FROM bm),
+WITH {SQL_BOTH}, {_sql_lists("true")}, top AS (SELECT item_id, doc_id, k FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM ({SQL_RRF}))),
 pairs AS (SELECT t.item_id, t.doc_id, d.source, d.text AS passage, list_distinct(list_filter(string_split_regex(lower(b.text), '\\s+'), lambda x: x <> '')) AS q, string_split_regex(lower(d.text), '\\s+') AS p FROM top t JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id) WHERE k <= 50),
 scored AS (SELECT item_id, doc_id, source, passage, round(CASE WHEN len(q) = 0 THEN 0.0 ELSE len(list_intersect(q, list_distinct(p))) / len(q)::DOUBLE END, 6) AS score FROM pairs),
 hits AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored)"""
@@ -141,7 +200,7 @@ def _final(spark, d, k):
 
 @query("rk14_search", SQL_FINAL + " SELECT item_id, CAST(place AS INTEGER) AS place, doc_id, source, score, below_threshold, '[PASSAGE ' || place || ']' || chr(10) || passage AS block FROM fin WHERE place <= 5")
 def rk14(spark, d):
-    """The whole flow: BM25, rerank, threshold, two per source, five in all, with their texts."""
+    """The whole flow: vectors and BM25 fused, rerank, threshold, two per source, five in all, with their texts."""
     return _shown(spark, d, _final(spark, d, 5)).select("item_id", "place", "doc_id", "source", "score", "below_threshold", F.concat(F.lit("[PASSAGE "), F.col("place").cast("string"), F.lit("]\n"), "passage").alias("block"))
 
 
