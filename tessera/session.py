@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -42,6 +43,26 @@ def ship_package(spark: SparkSession) -> None:
     setattr(context, _SHIPPED, True)
 
 
+_OWN_FOLDER: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; only where that is unset and all runs on this machine, one of our own (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("on a cluster, set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _OWN_FOLDER:
+        _OWN_FOLDER.append(tempfile.mkdtemp(prefix="tessera-shared-"))
+    return _OWN_FOLDER[0]
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A folder under the shared one that nothing else writes to."""
+    return f"{shared_folder(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

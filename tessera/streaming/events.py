@@ -1,10 +1,12 @@
-"""Streams of events: windows with a watermark, and blocks that open and close."""
+"""Streams: windows with a watermark, slices of a table read as micro-batches, and results kept as tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import fresh_folder
+
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
     """A file stream of the events table; its timestamps become ones with a zone, as watermarks need."""
@@ -19,8 +21,27 @@ def daily(events: DataFrame, late: str = "2 days") -> DataFrame:
     return own.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total")
 
 
+def sliced(rows: DataFrame, slice_of, slices: int, key: str, files: int = 2) -> DataFrame:
+    """rows as a stream of about so many micro-batches: slice 0 first. Of one key a slice's rows come together. slice_of: a Column of 0 to slices - 1."""
+    spark = rows.sparkSession
+    folder = fresh_folder(spark, "slices")
+    for i in range(slices):
+        rows.where(slice_of == i).repartition(files, key).write.parquet(f"{folder}/{i}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(folder)
+
+
 def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all that is there, and gives its result as a table. The checkpoint lies where the session says, else in a folder that Spark makes."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Runs a stream over all that is there and gives its result as a table, written by each micro-batch into the shared folder: as a whole (complete), or each batch beside the others (append)."""
+    spark = stream.sparkSession
+    folder = fresh_folder(spark, name)
+    to = (lambda n: f"{folder}/rows") if mode == "complete" else (lambda n: f"{folder}/rows/batch={n}")
+    # state that processors keep needs this store; a query takes the setting when it starts
+    name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, store)
+    query = stream.writeStream.outputMode(mode).foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(to(n))).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
