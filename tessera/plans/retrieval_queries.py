@@ -126,8 +126,8 @@ def tk02(spark, d):
     return S.search(_bound(spark, d), "item_id", "doc_id", 10, depth=50, dense=lambda q, k: dense(spark, d, k, only), lexical=lambda q, k: lexical(spark, d, k, only))
 
 
-def probed(spark, d, k, cells=32, probes=16):
-    """The dense list by the inverted file: of each item the nearest half of the cells."""
+def probed(spark, d, k, cells=32, probes=20):
+    """The dense list by the inverted file: of each item the nearest 20 of 32 cells."""
     rows = doc_vectors(spark, d)
     fitted = S.Cells.fit(table(spark, d, "embeddings"), cells=cells)
     return S.vector_topk(fitted.assign(rows), _bound(spark, d), k, "doc_id", query_key="item_id", cells=fitted, probes=probes)

@@ -166,7 +166,7 @@ def conversation_events(conversations: DataFrame) -> DataFrame:
 SQL_FRAMES = """
 WITH turns AS (SELECT conv_id, turn, role, string_split(coalesce(text, ''), ' ') AS words FROM conversations),
 said AS (
-  SELECT conv_id, turn, i AS at, CASE WHEN role = 'assistant' THEN CASE WHEN i = 0 THEN 'thinking' ELSE 'text' END WHEN role = 'system' THEN 'intent' ELSE 'status' END AS kind,
+  SELECT conv_id, turn, i AS place, CASE WHEN role = 'assistant' THEN CASE WHEN i = 0 THEN 'thinking' ELSE 'text' END WHEN role = 'system' THEN 'intent' ELSE 'status' END AS kind,
     CASE WHEN role = 'assistant' THEN array_to_string(words[i * 8 + 1:i * 8 + 8], ' ') || ' ' WHEN role = 'system' THEN 'SYSTEM' ELSE 'asked' END AS part
   FROM (SELECT *, unnest(range(0, CASE WHEN role = 'assistant' THEN (len(words) - 1) // 8 + 1 ELSE 1 END)) AS i FROM turns)),
 ends AS (SELECT conv_id, max(turn) + 1 AS turn, max(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) = 1 AS fine FROM turns GROUP BY conv_id),
@@ -176,9 +176,9 @@ all_events AS (
   UNION ALL SELECT conv_id, turn, 1, 'finish', CASE WHEN fine THEN 'stop' ELSE 'error' END FROM ends
   UNION ALL SELECT conv_id, turn, 2, 'end', NULL FROM ends),
 marked AS (
-  SELECT *, lag(kind) OVER w AS before, sum(CASE WHEN kind NOT IN ('text', 'thinking') THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run,
+  SELECT *, lag(kind) OVER w AS before, sum(CASE WHEN kind NOT IN ('text', 'thinking') THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run,
     row_number() OVER w AS seq
-  FROM all_events WINDOW w AS (PARTITION BY conv_id ORDER BY turn, at)),
+  FROM all_events WINDOW w AS (PARTITION BY conv_id ORDER BY turn, place)),
 opened AS (SELECT *, coalesce(max(CASE WHEN kind = 'text' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, coalesce(run, 0) ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS in_text, coalesce(before = 'thinking', false) AS in_thought FROM marked),
 made AS (
   SELECT conv_id, seq, 0 AS k, 'reasoning-start' AS frame, NULL AS part FROM opened WHERE kind = 'thinking' AND NOT in_thought

@@ -44,4 +44,4 @@ def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
         query.awaitTermination()
     finally:
         spark.conf.set(name, before)
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows").select(*stream.columns)
