@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera import registry
 
-for _name in ("text_queries", "retrieval_queries", "table_queries", "rollup_queries", "geo_queries", "geocode_queries", "intent_queries", "stream_queries", "mention_queries", "output_queries", "more_queries", "person_queries"):
+for _name in ("text_queries", "retrieval_queries", "table_queries", "rollup_queries", "geo_queries", "geocode_queries", "intent_queries", "stream_queries", "mention_queries", "output_queries", "more_queries", "person_queries", "cleaning_queries"):
     importlib.import_module(f"tessera.plans.{_name}")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import names
+from tessera.functions.folds import walk
 from tessera.operators import tables as M
 
 
@@ -96,13 +97,24 @@ def unique_winner(candidates: DataFrame, by: list[str], name: str, count: str) -
 
 
 def best_of_overlaps(spans: DataFrame, by: list[str], lo: str, hi: str, score: str) -> DataFrame:
-    """Of half-open spans that overlap, one after another, within a group, the one with the highest score, then the longest, then the first."""
+    """(by, lo, hi, score) of half-open spans within a group, taken in order: one that meets the span kept last replaces it where its score is higher, or equal and it is longer, else it goes; one that does not meet it is kept next to it. Spans are folded island by island, an island being what hangs together."""
     w = Window.partitionBy(*by).orderBy(lo, hi)
     before = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.withColumn("__new", F.when(before.isNull() | (F.col(lo) >= before), 1).otherwise(0))
+    marked = spans.select(*by, lo, hi, score).withColumn("__new", F.when(before.isNull() | (F.col(lo) >= before), 1).otherwise(0))
     own = marked.withColumn("__island", F.sum("__new").over(w))
-    best = Window.partitionBy(*by, "__island").orderBy(F.desc(score), F.desc(F.col(hi) - F.col(lo)), lo, hi)
-    return own.withColumn("__k", F.row_number().over(best)).where("__k = 1").drop("__k", "__island", "__new")
+    span = lambda a, b, c: F.struct(a.alias("lo"), b.alias("hi"), c.alias("score"))
+    kinds = dict(spans.dtypes)
+    kind = f"struct<lo:{kinds[lo]},hi:{kinds[hi]},score:{kinds[score]}>"
+    islands = own.groupBy(*by, "__island").agg(F.array_sort(F.collect_list(span(F.col(lo), F.col(hi), F.col(score)))).alias("own"))
+    none = F.lit(None).cast(kind)
+
+    def step(kept, x):
+        apart = kept.isNull() | x.isNull() | (x["lo"] >= kept["hi"])
+        better = (x["score"] > kept["score"]) | ((x["score"] == kept["score"]) & (x["hi"] - x["lo"] > kept["hi"] - kept["lo"]))
+        return F.when(apart | better, x).otherwise(kept), F.when(apart & kept.isNotNull(), F.array(kept)).otherwise(F.array().cast(f"array<{kind}>"))
+
+    picked = walk(F.concat("own", F.array(none)), none, step, kind)
+    return islands.select(*by, F.explode(picked).alias("x")).select(*by, F.col("x.lo").alias(lo), F.col("x.hi").alias(hi), F.col("x.score").alias(score))
 
 
 def citation_groups(citations: DataFrame) -> DataFrame:

@@ -73,15 +73,18 @@ def ge14(spark, d):
     return C.coherent(own, ["doc"], "name")
 
 
-@query("jn10_anchor_distances", f"WITH {SQL_TOWNS}, c AS (SELECT geonameid, geonameid % 40 AS doc, lat, lon FROM towns) SELECT p.geonameid, round(avg({SQL_KM.format(a='p', b='q')}), 3) AS km, count(*) AS anchors FROM c p JOIN c q ON p.doc = q.doc AND p.geonameid <> q.geonameid AND q.geonameid < 200 GROUP BY p.geonameid")
+@query("jn10_anchor_distances", f"""WITH {SQL_TOWNS}, c AS (SELECT geonameid % 40 AS doc, 'n' || (geonameid % 3) AS name, geonameid, lat, lon, population FROM towns),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc, name ORDER BY population DESC, geonameid) AS k FROM c) WHERE k = 1)
+SELECT p.geonameid, round(avg({SQL_KM.format(a='p', b='q')}), 3) AS km, count(*) AS anchors FROM c p JOIN b q ON p.doc = q.doc AND p.name <> q.name GROUP BY p.geonameid""")
 def jn10(spark, d):
-    """Mean distance of each place to the anchors of its document."""
+    """Mean distance of each candidate of a name to the best places of its document's other names."""
     from tessera.functions.geo import haversine
 
-    own = towns(spark, d).select("geonameid", (F.col("geonameid") % 40).alias("doc"), "lat", "lon")
-    anchors = own.where("geonameid < 200").select("doc", F.col("geonameid").alias("other"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
-    met = own.join(anchors, "doc").where("geonameid <> other")
-    return met.groupBy("geonameid").agg(F.round(F.avg(haversine(F.col("lat"), F.col("lon"), F.col("a_lat"), F.col("a_lon"))), 3).alias("km"), F.count(F.lit(1)).alias("anchors"))
+    own = towns(spark, d).select("geonameid", (F.col("geonameid") % 40).alias("doc"), F.concat(F.lit("n"), (F.col("geonameid") % 3).cast("string")).alias("name"), "lat", "lon", "population")
+    # one row a name: a document's names, not its candidates, meet each candidate
+    best = own.groupBy("doc", "name").agg(F.max_by(F.struct("lat", "lon"), F.struct("population", (-F.col("geonameid")).alias("id"))).alias("a")).select("doc", F.col("name").alias("other"), "a")
+    met = own.join(best, "doc").where("name <> other")
+    return met.groupBy("geonameid").agg(F.round(F.avg(haversine(F.col("lat"), F.col("lon"), F.col("a.lat"), F.col("a.lon"))), 3).alias("km"), F.count(F.lit(1)).alias("anchors"))
 
 
 @query("ge15_confidence", """WITH m AS (SELECT event_id, (event_id % 21) * 6.0 AS score, ['exact', 'region_table', 'trigram_fuzzy', 'query', 'regex', 'other'][event_id % 6 + 1] AS method, event_id % 7 = 0 AS amb, event_id % 5 AS margin, CASE event_id % 4 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'LOC' END AS kind, CASE event_id % 3 WHEN 0 THEN 'lake district' WHEN 1 THEN 'north sea' ELSE 'bay' END AS query FROM events),

@@ -89,6 +89,9 @@ i AS (SELECT conv_id, turn, question, CASE WHEN most = 0 THEN 'OVERVIEW' WHEN ac
 k AS (SELECT conv_id, turn, question, CASE WHEN confidence < 0.6 THEN 'OVERVIEW' ELSE intent END AS intent, confidence, CASE WHEN confidence < 0.6 THEN method || '+overview_fallback' ELSE method END AS method FROM i)"""
 
 
+SCALES = {"OVERVIEW": 1.5, "FACTUAL": 0.5, "COMPARE": 1.25, "COLLECTION": 2.0, "QUOTE_EVIDENCE": 0.1}
+
+
 @query("in01_typos")
 def in01(spark, d):
     """Typos corrected by a lexicon; held against golden questions in the tests."""
@@ -121,6 +124,14 @@ def in07(spark, d):
     return I.classify(questions(spark, d), "question", original="asked").drop("asked", "question")
 
 
+@query("rk16_intent_scaling", f"WITH {SQL_QUESTIONS}, {SQL_INTENT}, scales(intent, scale) AS (VALUES ('OVERVIEW', 1.5::DOUBLE), ('FACTUAL', 0.5), ('COMPARE', 1.25), ('COLLECTION', 2.0), ('QUOTE_EVIDENCE', 0.1)) SELECT conv_id, turn, intent, CAST(greatest(1, round_even(50 * coalesce(scale, 1), 0)) AS INTEGER) AS fused, CAST(greatest(1, round_even(5 * coalesce(scale, 1), 0)) AS INTEGER) AS final FROM k LEFT JOIN scales USING (intent)")
+def rk16(spark, d):
+    """How deep the conversations' questions are searched, by their intents; 1 where an intent has no scale."""
+    scale = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in SCALES.items() for x in pair)), F.col("intent")), F.lit(1.0))
+    cut = lambda base: F.greatest(F.lit(1), F.bround(base * scale, 0).cast("int"))
+    return in07(spark, d).select("conv_id", "turn", "intent", cut(50).alias("fused"), cut(5).alias("final"))
+
+
 @query("in08_definition", f"WITH d AS (SELECT event_id, 'What is ' || CASE event_id % 5 WHEN 0 THEN 'this paper' WHEN 1 THEN 'a ' || event_type WHEN 2 THEN 'the main point' WHEN 3 THEN event_type || ' of new things here now' ELSE event_type || ' art?' END AS question FROM events) SELECT event_id, {_definition()} AS definition FROM d")
 def in08(spark, d):
     k = F.col("event_id") % 5

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tessera.functions import names as N
 from tessera.operators import mentions as P
 from tessera.operators import tables as M
+from tessera.functions.text import token_count
+from tessera.operators import retrieval as R
+from tessera.plans.retrieval_queries import DOC_BM25, docs, lexical
 from tessera.registry import query
 from tessera.session import table
 
@@ -218,10 +221,17 @@ def jn11(spark, d):
     return P.surname_matches(asked, own, "q", "a")
 
 
-@query("jn13_citation_alignment", "SELECT item_id, doc_id, p AS packed_index FROM (SELECT item_id, item_id * 3 % 17 AS doc_id, row_number() OVER (ORDER BY item_id) - 1 AS p FROM benchmark) WHERE p IN (0, 2, 5, 9, 11)")
+@query("jn13_citation_alignment", f"""
+WITH {DOC_BM25}, hits AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) - 1 AS packed_index FROM bm),
+run AS (SELECT h.*, sum(len(list_filter(string_split_regex(text, '\\s+'), lambda t: t <> ''))) OVER (PARTITION BY item_id ORDER BY packed_index) AS total FROM hits h JOIN documents USING (doc_id) WHERE packed_index < 10)
+SELECT item_id, doc_id, CAST(packed_index AS INTEGER) AS packed_index, source FROM run JOIN documents USING (doc_id) WHERE total <= 2000""")
 def jn13(spark, d):
-    results = table(spark, d, "benchmark").select("item_id", (F.col("item_id") * 3 % 17).alias("doc_id"), (F.row_number().over(Window.orderBy("item_id")) - 1).alias("packed_index"))
-    return results.join(spark.createDataFrame([(i,) for i in (0, 2, 5, 9, 11)], "packed_index int"), "packed_index").select("item_id", "doc_id", "packed_index")
+    """Each item's hits that fit into 2,000 words, packed by their places, and by those places with what is known of the hits."""
+    hits = lexical(spark, d, 10).select("item_id", "doc_id", "rank")
+    texts = docs(spark, d)
+    packed = R.pack_prefix(hits.join(texts.select("doc_id", token_count(F.col("text")).alias("words")), "doc_id"), "item_id", F.col("words"), 2000).select("item_id", "rank")
+    known = hits.join(texts.select("doc_id", "source"), "doc_id")
+    return packed.join(known, ["item_id", "rank"]).select("item_id", "doc_id", (F.col("rank") - 1).alias("packed_index"), "source")
 
 
 @query("jn15_display_sources", "WITH s AS (SELECT doc_id AS id, source AS label FROM documents), p AS (SELECT vec_id * 2 AS id, 'uploading ' || label AS state FROM embeddings) SELECT coalesce(s.id, p.id) AS id, s.label, coalesce(p.state, 'stored') AS state FROM s FULL OUTER JOIN p ON s.id = p.id")
@@ -305,7 +315,16 @@ def wn04(spark, d):
     return P.backfill(ranked(spark, d), "user_id", "source", F.col("rank") <= F.col("user_id") % 4, F.col("tokens"), 1000, 0.10, 0.25, 4).select("user_id", "event_id", "below_threshold")
 
 
-@query("wn08_best_of_overlaps", "WITH s AS (SELECT event_id, user_id, event_type, event_id % 1000 AS lo, event_id % 1000 + 15 + event_id % 7 AS hi, value FROM events), b AS (SELECT *, max(hi) OVER w AS p FROM s WINDOW w AS (PARTITION BY user_id, event_type ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), i AS (SELECT *, sum(CASE WHEN p IS NULL OR lo >= p THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, event_type ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS g FROM b), k AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, g ORDER BY value DESC, hi - lo DESC, lo, hi) AS k FROM i) SELECT user_id, event_type, lo, hi FROM k WHERE k = 1")
+@query("wn08_best_of_overlaps", """
+WITH RECURSIVE s AS (SELECT user_id, event_type, event_id % 1000 AS lo, event_id % 1000 + 15 + event_id % 7 AS hi, value FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY lo, hi, value) AS rn FROM s),
+f AS (
+  SELECT user_id, event_type, rn, lo, hi, value, 1 AS seg FROM o WHERE rn = 1
+  UNION ALL
+  SELECT o.user_id, o.event_type, o.rn, CASE WHEN t THEN o.lo ELSE f.lo END, CASE WHEN t THEN o.hi ELSE f.hi END, CASE WHEN t THEN o.value ELSE f.value END, f.seg + CASE WHEN o.lo >= f.hi THEN 1 ELSE 0 END
+  FROM f JOIN (SELECT * FROM o) o ON o.user_id = f.user_id AND o.event_type = f.event_type AND o.rn = f.rn + 1,
+  LATERAL (SELECT o.lo >= f.hi OR o.value > f.value OR (o.value = f.value AND o.hi - o.lo > f.hi - f.lo) AS t))
+SELECT user_id, event_type, lo, hi FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, seg ORDER BY rn DESC) AS k FROM f) WHERE k = 1""")
 def wn08(spark, d):
     e = F.col("event_id")
     own = table(spark, d, "events").select("user_id", "event_type", (e % 1000).alias("lo"), (e % 1000 + 15 + e % 7).alias("hi"), "value")

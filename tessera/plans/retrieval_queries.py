@@ -248,13 +248,6 @@ def jn01(spark, d):
     return hits.join(parents, "l_orderkey", "left")
 
 
-@query("rk16_intent_scaling", "SELECT intent, CAST(greatest(1, round_even(50 * scale, 0)) AS INTEGER) AS fused, CAST(greatest(1, round_even(5 * scale, 0)) AS INTEGER) AS final FROM (VALUES ('OVERVIEW', 1.5), ('FACTUAL', 0.5), ('COMPARE', 1.25), ('LIST', 2.0), ('QUOTE', 0.1)) AS t(intent, scale)")
-def rk16(spark, d):
-    t = spark.createDataFrame([("OVERVIEW", 1.5), ("FACTUAL", 0.5), ("COMPARE", 1.25), ("LIST", 2.0), ("QUOTE", 0.1)], "intent string, scale double")
-    cut = lambda base: F.greatest(F.lit(1), F.bround(base * F.col("scale"), 0).cast("int"))
-    return t.select("intent", cut(50).alias("fused"), cut(5).alias("final"))
-
-
 @query("tk05_paging", "SELECT event_id, user_id, value FROM events WHERE value >= 0.5 ORDER BY value DESC, event_id LIMIT 50 OFFSET 100")
 def tk05(spark, d):
     from tessera.operators.tables import mentions
