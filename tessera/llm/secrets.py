@@ -24,9 +24,9 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.folds import once, walk
 from tessera.session import ship_package
 
-from .shared import once, walk
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A run of the class is matched whole, so its least length can stand in the pattern.

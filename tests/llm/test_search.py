@@ -3,6 +3,7 @@
 import collections
 import math
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import hard_negatives, lexical_search, licenses
+from tessera.llm import hard_negatives, lexical_search, licenses, queries
 from tessera.llm.license_rules import BASE, Rule, read_rules
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -229,3 +230,20 @@ def test_scores_are_exact_whole_numbers():
     big = np.full((3, 4), (1 << 29) + 1, np.int64)
     space = hard_negatives.Space(4, 4 * ((1 << 29) + 1) ** 2, big)
     assert space.scores(big, big)[0, 0] == 4 * ((1 << 29) + 1) ** 2
+
+
+# --- SQL ------------------------------------------------------------------------
+
+
+def test_queries_agree_with_their_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    folder = Path("/root/testdata/sf0.01")
+    if not folder.is_dir():
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    for path in folder.glob("*.parquet"):
+        con.execute(f"create view {path.stem} as select * from '{path}'")
+    for name, sql in queries.oracle_sql().items():
+        df = queries.queries()[name](spark, str(folder))
+        names = ", ".join(sorted(df.columns))
+        assert sorted(map(repr, map(tuple, df.selectExpr(*names.split(", ")).collect()))) == sorted(map(repr, con.execute(f"select {names} from ({sql})").fetchall())), name
