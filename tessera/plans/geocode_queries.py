@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import entities as E
 from tessera.functions import text as T
 from tessera.operators import geocode as C
+from tessera.operators import refine as X
 from tessera.plans.geo_queries import SQL_KM, SQL_PLACES
 from tessera.plans.geo_queries import places as sites
 from tessera.registry import query
@@ -164,3 +165,46 @@ def ge33(spark, d):
 def pf16(spark, d):
     k = F.col("p_partkey")
     return table(spark, d, "part").select("p_partkey", E.generic_place(F.when(k % 3 == 0, "lake").when(k % 3 == 1, "north river 7").otherwise("north sea")).alias("generic"))
+
+
+SQL_NAMED = f"""{SQL_ALIASES}, {SQL_BEST},
+n AS (SELECT doc_id, 'port ' || (doc_id % 50) AS query, [CASE doc_id % 4 WHEN 0 THEN 'french' WHEN 1 THEN 'the Germans' WHEN 2 THEN 'it' ELSE 'Zzqq' END, 'supplier#' || lpad(CAST(doc_id % 97 AS VARCHAR), 9, '0')] AS context FROM documents),
+cand AS (SELECT alias AS query, a.geonameid, a.population, t.lat, t.lon, t.country, max(a.population) OVER (PARTITION BY alias) AS top FROM (SELECT *, row_number() OVER (PARTITION BY alias ORDER BY population DESC, geonameid) AS k FROM aliases) a JOIN towns t USING (geonameid) WHERE k <= 10)"""
+
+
+def named_documents(spark, d):
+    """Each document names a port that several towns share, and some words beside it: a people or a country's code, and a supplier that may be an anchor."""
+    k = F.col("doc_id")
+    word = F.when(k % 4 == 0, "french").when(k % 4 == 1, "the Germans").when(k % 4 == 2, "it").otherwise("Zzqq")
+    supplier = F.concat(F.lit("supplier#"), F.lpad((k % 97).cast("string"), 9, "0"))
+    return table(spark, d, "documents").select("doc_id", F.concat(F.lit("port "), (k % 50).cast("string")).alias("name"), F.array(word, supplier).alias("around"))
+
+
+@query("ge17_refine", f"""WITH {SQL_NAMED},
+anchor AS (SELECT DISTINCT n.context[2] AS w, t.lat, t.lon FROM n JOIN (SELECT alias, arg_max(geonameid, population) AS geonameid, max(population) AS people FROM aliases GROUP BY alias) b ON b.alias = n.context[2] JOIN towns t ON t.geonameid = b.geonameid WHERE people >= 50000),
+scored AS (
+  SELECT n.doc_id, p.geonameid, p.population, CASE WHEN p.top > 0 THEN 5 * sqrt(p.population / greatest(p.top, 1)::DOUBLE) ELSE 0 END
+    + CASE WHEN n.context[1] = 'french' AND p.country = 'FR' THEN 4 WHEN n.context[1] = 'it' AND p.country = 'IT' THEN 3 ELSE 0 END
+    + 1.5 + coalesce(1.5 * exp(-({SQL_KM.format(a='p', b='q')}) / 150), 0) AS points
+  FROM n JOIN best b USING (query) JOIN cand p USING (query) LEFT JOIN anchor q ON q.w = n.context[2] WHERE b.rivals > 1 AND b.second > b.top * 0.05),
+won AS (SELECT doc_id, geonameid FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY points DESC, population DESC, geonameid) AS k FROM scored) WHERE k = 1)
+SELECT n.doc_id, coalesce(w.geonameid, b.geonameid) AS geonameid, b.rivals > 1 AND b.second > b.top * 0.05 AS ambiguous FROM n JOIN best b USING (query) LEFT JOIN won w USING (doc_id)""")
+def ge17(spark, d):
+    """The town that each document's port is, by the words around it."""
+    got = X.forward_in_context(named_documents(spark, d), "name", "around", towns(spark, d), aliases(spark, d), anchor_people=50_000)
+    return got.select("doc_id", "geonameid", "ambiguous")
+
+
+@query("ge19_forward_batch", f"""WITH {SQL_ALIASES}, {SQL_BEST}, n AS (SELECT doc_id // 10 AS doc, 'port ' || (doc_id % 50) AS query FROM documents GROUP BY ALL),
+o AS (SELECT n.doc, n.query FROM n JOIN best b USING (query) WHERE b.rivals > 1 AND b.second > b.top * 0.05),
+c AS (SELECT o.doc, o.query AS name, a.geonameid, a.population, t.lat, t.lon FROM o JOIN (SELECT *, row_number() OVER (PARTITION BY alias ORDER BY population DESC, geonameid) AS k FROM aliases) a ON a.alias = o.query AND k <= 10 JOIN towns t USING (geonameid)),
+r AS (SELECT *, row_number() OVER w AS k, lead(population) OVER w AS nxt FROM c WINDOW w AS (PARTITION BY doc, name ORDER BY population DESC, geonameid)), f AS (SELECT * FROM r WHERE k = 1),
+clear AS (SELECT doc, name FROM f WHERE nxt IS NULL OR population > 5 * greatest(nxt, 1)),
+s AS (SELECT p.doc, p.name, p.geonameid, p.population, sqrt(greatest(p.population, 1)) * (1 + 0.5 * exp(-avg({SQL_KM.format(a='p', b='q')}) / 500.0)) AS s FROM c p JOIN f q ON p.doc = q.doc AND p.name <> q.name WHERE (p.doc, p.name) NOT IN (SELECT (doc, name) FROM clear) GROUP BY p.doc, p.name, p.geonameid, p.population),
+t AS (SELECT *, row_number() OVER (PARTITION BY doc, name ORDER BY s DESC, population DESC, geonameid) AS k FROM s)
+SELECT n.doc, n.query, coalesce(t.geonameid, b.geonameid) AS geonameid FROM n JOIN best b USING (query) LEFT JOIN (SELECT * FROM t WHERE k = 1) t ON t.doc = n.doc AND t.name = n.query""")
+def ge19(spark, d):
+    """Ten documents' ports at a time, chosen together."""
+    own = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 10).cast("long").alias("doc"), F.concat(F.lit("port "), (F.col("doc_id") % 50).cast("string")).alias("name")).distinct()
+    got = X.forward_batch(own, "name", ["doc"], towns(spark, d), aliases(spark, d))
+    return got.select("doc", "query", "geonameid")
