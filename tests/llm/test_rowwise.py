@@ -58,6 +58,21 @@ def test_url_trie_agrees_with_a_scan_of_all_rules():
         assert (got and (got.host, got.path)) == (best and (best.host, best.path)), (host, path)
 
 
+def test_urls_take_no_longer_with_more_rules_at_one_node(spark):
+    taken = {}
+    for n in (1000, 50_000):
+        trie = url_filter.Trie(url_filter.parse_rule("block", f"site.com/p{i}") for i in range(n))
+        began = time.perf_counter()
+        for i in range(2000):
+            assert trie.find("a.site.com", f"/p{i % n}").path == f"/p{i % n}"
+        taken[n] = time.perf_counter() - began
+    assert taken[50_000] < 5 * taken[1000] + 0.05
+    long = "http://site.com/p1" + "/x" * 100_000
+    df = spark.createDataFrame([(1, long), (2, "http://" + "a." * 5000 + "site.com/p2")], "page_id long, url string")
+    got = {r["page_id"]: r["rule"] for r in url_filter.judge_urls(df, [url_filter.parse_rule("block", f"site.com/p{i}") for i in range(5)]).collect()}
+    assert got == {1: "site.com/p1", 2: "site.com/p2"}
+
+
 def test_media_keeps_every_byte(spark, edge, none):
     rows = {(r["doc_id"], r["n_bytes"]): r for r in media.store_texts(edge).collect()}
     for doc_id, text, *_ in EDGE:
