@@ -185,10 +185,13 @@ def ge33(spark, d):
     return C.flat_aliases(aliases(spark, d), towns(spark, d))
 
 
-@query("pf16_generic_places", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 THEN false ELSE true END AS generic FROM part")
+@query("pf16_generic_places", f"""WITH q AS (SELECT doc_id, regexp_extract_all(CASE doc_id % 3 WHEN 0 THEN 'north ' WHEN 1 THEN 'lake 7 ' ELSE '' END || CASE doc_id % 2 WHEN 0 THEN 'river' ELSE lower(string_split(text, ' ')[1]) END, '[a-z]{{2,}}') AS w FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, len(w) BETWEEN 1 AND 3 AND len(list_filter(w, lambda x: x NOT IN ({_GENERIC}))) = 0 AS generic FROM q""")
 def pf16(spark, d):
-    k = F.col("p_partkey")
-    return table(spark, d, "part").select("p_partkey", E.generic_place(F.when(k % 3 == 0, "lake").when(k % 3 == 1, "north river 7").otherwise("north sea")).alias("generic"))
+    """Names made of generic words and the documents' first ones."""
+    k = F.col("doc_id")
+    name = F.concat(F.when(k % 3 == 0, "north ").when(k % 3 == 1, "lake 7 ").otherwise(""), F.when(k % 2 == 0, "river").otherwise(F.lower(F.element_at(F.split("text", " "), 1))))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", E.generic_place(name).alias("generic"))
 
 
 SQL_NAMED = f"""{SQL_ALIASES}, {SQL_BEST},

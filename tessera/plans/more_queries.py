@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions import entities as E
 from tessera.functions import output as O
-from tessera.functions import prompts as P
 from tessera.functions import settings as S
 from tessera.functions import signal as A
 from tessera.functions import text as T
+from tessera.operators.text_index import TextIndex
 from tessera.registry import query
-from tessera.session import ship_package, table
+from tessera.session import fresh_folder, ship_package, table
 
 _NAMES = ("Ada Lovelace", "figure", "ada lovelace", "Al", "R2 D2", "Table Mountain", "Jean-Luc O'Neil", "Bob", "Anna", "Zoë Š.")
 _SQL_NAMES = "[" + ", ".join("'" + n.replace("'", "''") + "'" for n in _NAMES) + "][event_id % 10 + 1]"
@@ -62,12 +62,13 @@ def ct05(spark, d):
     return own.select("event_id", "place", at["start"].alias("start"), at["end"].alias("stop"))
 
 
-@query("ct06_bounds", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_id % 9 WHEN 1 THEN 3 ELSE 0 END::INT AS start, CASE event_id % 3 WHEN 0 THEN greatest(event_id % 9, least(3 + length(event_type), 2)) WHEN 1 THEN 3 + length(event_type) ELSE least(3 + length(event_type), 4) END::INT AS stop FROM events")
+@query("ct06_bounds", "WITH t AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 2 THEN 'none of these' ELSE string_split(text, ' ')[3] END AS name FROM documents WHERE len(string_split(text, ' ')) >= 3), f AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN doc_id % 9 ELSE greatest(instr(text, name) - 1, 0) END AS s FROM t) SELECT doc_id, CAST(least(s, length(text)) AS INTEGER) AS start, CAST(greatest(least(s, length(text)), least(length(text), CASE WHEN doc_id % 3 = 0 THEN 2 ELSE s + length(name) END)) AS INTEGER) AS stop FROM f")
 def ct06(spark, d):
-    k, text = F.col("event_id"), F.concat(F.lit("a: "), F.col("event_type"))
-    name = F.when(k % 3 == 2, "none").otherwise(F.col("event_type"))
-    at = E.bounds(text, name, F.when(k % 3 == 0, k % 9), F.when(k % 3 == 0, F.lit(2)))
-    return table(spark, d, "events").select("event_id", at["start"].alias("start"), at["end"].alias("stop"))
+    """Where the third word of each document stands, as given, as found, or not at all."""
+    words, k = F.split("text", " "), F.col("doc_id")
+    name = F.when(k % 3 == 2, "none of these").otherwise(F.element_at(words, 3))
+    at = E.bounds(F.col("text"), name, F.when(k % 3 == 0, (k % 9).cast("int")), F.when(k % 3 == 0, F.lit(2)))
+    return table(spark, d, "documents").where(F.size(words) >= 3).select("doc_id", at["start"].cast("int").alias("start"), at["end"].cast("int").alias("stop"))
 
 
 @query("ct07_token_spans", "SELECT doc_id, len(t) AS n, CAST(list_sum(list_transform(t, lambda x: length(x))) AS BIGINT) AS covered FROM (SELECT doc_id, list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS t FROM documents)")
@@ -163,18 +164,25 @@ def st02(spark, d):
     return table(spark, d, "events").select("event_id", F.sha2(_context(F.col("event_id")), 256).alias("digest"))
 
 
-@query("st04_passages", "SELECT event_id, CAST(event_id + i AS INTEGER) AS number, '[PASSAGE ' || (event_id + i) || ']' || chr(10) || 'of ' || event_type || chr(10) || '[PASSAGE END]' AS block FROM events, (VALUES (0), (1)) t(i)")
+@query("st04_passages", "SELECT doc_id, CAST(doc_id + i AS INTEGER) AS number, '[PASSAGE ' || (doc_id + i) || ']' || chr(10) || substring(coalesce(text, ''), 1 + i * 80, 80) || chr(10) || '[PASSAGE END]' AS block FROM documents, (VALUES (0), (1)) t(i)")
 def st04(spark, d):
-    own = table(spark, d, "events").select("event_id", F.explode(O.passage_blocks(_context(F.col("event_id")))).alias("p"))
-    return own.select("event_id", "p.number", "p.block")
+    """Two passages of each document, told apart again in the context that they make."""
+    block = lambda i: F.concat(F.lit("[PASSAGE "), (F.col("doc_id") + i).cast("string"), F.lit("]\n"), F.substring(F.coalesce("text", F.lit("")), 1 + i * 80, 80), F.lit("\n[PASSAGE END]"))
+    own = table(spark, d, "documents").select("doc_id", F.explode(O.passage_blocks(F.concat(block(0), F.lit("\n\n"), block(1)))).alias("p"))
+    return own.select("doc_id", "p.number", "p.block")
 
 
-@query("st09_novel_nouns", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'Crete,Delos,Malta' ELSE 'Crete,Malta,Naxos' END AS novel FROM events")
+@query("st09_novel_nouns", r"""
+WITH p AS (SELECT a.conv_id, a.turn, a.text AS said, q.text AS known FROM conversations a JOIN conversations q ON q.conv_id = a.conv_id AND q.turn = a.turn - 1 WHERE a.role = 'assistant' AND a.text IS NOT NULL AND q.text IS NOT NULL),
+w AS (SELECT *, list_filter(list_transform(list_filter(string_split_regex(said, '\s+'), lambda x: x <> ''), lambda x: regexp_replace(x, '[^\p{L}\p{N}_]', '', 'g')), lambda x: regexp_matches(x, '^\p{Lu}.')) AS nouns,
+  list_transform(string_split(regexp_replace(said, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_extract(x, '^\s*(\S+)', 1)) AS starts FROM p)
+SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(nouns, lambda x: NOT list_contains(starts, x) AND NOT contains(lower(known), lower(x))))), ',') AS novel FROM w""")
 def st09(spark, d):
-    even = F.col("event_id") % 2 == 0
-    said = F.concat(F.lit("Ships of Malta, Crete and Rome. They saw Naxos"), F.when(even, " and Delos").otherwise(""), F.lit("."))
-    known = F.concat(F.lit("about ROME"), F.when(even, ", naxos").otherwise(""))
-    return table(spark, d, "events").select("event_id", F.array_join(O.novel_nouns(said, known), ",").alias("novel"))
+    """Capitalised words of each answer that its question lacks."""
+    turns = table(spark, d, "conversations").where("text is not null")
+    asked = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("known"))
+    both = turns.where("role = 'assistant'").join(asked, ["conv_id", "turn"])
+    return both.select("conv_id", "turn", F.array_join(O.novel_nouns(F.col("text"), F.col("known")), ",").alias("novel"))
 
 
 @query("st16_cut_values", "SELECT doc_id, sha256(CASE WHEN length(text) > 300 THEN substring(text, 1, 300) || '...' ELSE text END) AS digest FROM documents")
@@ -213,10 +221,12 @@ def st34(spark, d):
     return own.select("conv_id", F.sha2(O.chat_template(F.col("m")), 256).alias("digest"))
 
 
-@query("st35_without_thinking", "SELECT event_id, 'a ' || event_type || ' b' AS text FROM events")
+@query("st35_without_thinking", "WITH t AS (SELECT conv_id, turn, ' ' || substring(coalesce(text, ''), 1, 5) || '<think>' || substring(coalesce(text, ''), 6, 15) || chr(10) || '</think>' || substring(coalesce(text, ''), 21) || '<think></think>' || chr(10) AS said FROM conversations) SELECT conv_id, turn, regexp_replace(regexp_replace(said, '(?s)<think>.*?</think>', '', 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM t")
 def st35(spark, d):
-    said = F.concat(F.lit(" <think>x\n"), "event_type", F.lit("</think>\na "), "event_type", F.lit("<think></think> b\n"))
-    return table(spark, d, "events").select("event_id", O.without_thinking(said).alias("text"))
+    """Texts of the conversations, a part of each thought."""
+    text = F.coalesce("text", F.lit(""))
+    said = F.concat(F.lit(" "), F.substring(text, 1, 5), F.lit("<think>"), F.substring(text, 6, 15), F.lit("\n</think>"), F.substring(text, 21, 1 << 30), F.lit("<think></think>\n"))
+    return table(spark, d, "conversations").select("conv_id", "turn", O.without_thinking(said).alias("text"))
 
 
 @query("sm10_metrics", "SELECT event_id, '{\"type\":\"metrics\",\"prompt_tokens\":' || event_id || CASE WHEN event_id % 2 = 0 THEN ',\"total_ms\":' || (event_id % 9) || '.0' ELSE '' END || '}' AS part FROM events")
@@ -257,10 +267,13 @@ def ch15(spark, d):
     return table(spark, d, "events").select("event_id", F.size(A.trimmed(signal)).alias("n"))
 
 
-@query("ch19_child_pages", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 3 ELSE 1 END AS start_page, CASE WHEN event_id % 2 = 0 THEN 5 ELSE 2 END AS end_page, CASE WHEN event_id % 2 = 0 THEN 3 ELSE 1 END AS page_number, CASE WHEN event_id % 2 = 0 THEN '3' ELSE 'i' END AS display_page FROM events")
+@query("ch19_child_pages", """WITH t AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(CASE WHEN doc_id % 2 = 0 THEN array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l, i: '[Page ' || ((doc_id + i - 1) % 5) || ']' || chr(10) || l), chr(10)) ELSE coalesce(text, '') END, '(?i)\\[Page\\s+(\\d+)\\]', 1), lambda x: CAST(x AS INTEGER)), lambda x: x >= 1) AS p FROM documents)
+SELECT doc_id, coalesce(p[1], 1) AS start_page, coalesce(p[-1], 2) AS end_page, coalesce(p[1], 1) AS page_number, coalesce(CAST(p[1] AS VARCHAR), 'i') AS display_page FROM t""")
 def ch19(spark, d):
-    text = F.concat("event_type", F.when(F.col("event_id") % 2 == 0, " [Page 3] a [Page 5]").otherwise(""))
-    return table(spark, d, "events").select("event_id", O.child_pages(text, F.lit(1), F.lit(2), F.lit(1), F.lit("i")).alias("p")).select("event_id", "p.*")
+    """Pages of documents by their marks, or what they inherit: pages 1 to 2, shown as i."""
+    lines = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\\n"), lambda l, i: F.concat(F.lit("[Page "), ((F.col("doc_id") + i) % 5).cast("string"), F.lit("]\\n"), l)), "\\n")
+    text = F.when(F.col("doc_id") % 2 == 0, lines).otherwise(F.coalesce("text", F.lit("")))
+    return table(spark, d, "documents").select("doc_id", O.child_pages(text, F.lit(1), F.lit(2), F.lit(1), F.lit("i")).alias("p")).select("doc_id", "p.*")
 
 
 @query("sc07_page_chunks", "SELECT doc_id, page, 0 AS nth, 'Document' AS header_path, sha256(array_to_string(list_filter(string_split_regex(t, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> ''), ' ')) AS digest FROM (SELECT doc_id, unnest([1, 2]) AS page, unnest(['[Page 1] ' || coalesce(lang, ''), '[Page 2] ' || coalesce(source, '')]) AS t FROM documents)")
@@ -272,11 +285,20 @@ def sc07(spark, d):
     return chunks.select("doc_id", "page", "nth", F.lit("Document").alias("header_path"), F.sha2("chunk", 256).alias("digest"))
 
 
-@query("sk16_rebuild_policy", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN event_id % 50 >= 32 ELSE false END AS rebuild FROM events")
+@query("sk16_rebuild_policy", """
+WITH RECURSIVE c AS (SELECT i AS step, (SELECT count(*) FROM documents WHERE doc_id % 4 = i) AS n FROM range(4) t(i)),
+r AS (
+  SELECT CAST(-1 AS BIGINT) AS step, CAST(0 AS BIGINT) AS waiting, CAST(-1 AS BIGINT) AS version
+  UNION ALL SELECT c.step, CASE WHEN r.waiting + c.n >= 400 THEN 0 ELSE r.waiting + c.n END, CASE WHEN r.waiting + c.n >= 400 THEN c.step ELSE r.version END FROM r JOIN c ON c.step = r.step + 1)
+SELECT step, waiting AS pending_rows, waiting > 0 AS dirty, version FROM r WHERE step >= 0""")
 def sk16(spark, d):
-    k = F.col("event_id")
-    policy = F.when(k % 3 == 0, "immediate").when(k % 3 == 1, "batch").otherwise("deferred")
-    return table(spark, d, "events").select("event_id", S.must_rebuild(policy, k % 50, 32).alias("rebuild"))
+    """A text index that is refreshed once 400 rows wait, after each of four appends of documents."""
+    index, said = TextIndex(spark, fresh_folder(spark, "index"), policy="batch", batch=400, key="doc_id"), []
+    for i in range(4):
+        index.append(table(spark, d, "documents").where(F.pmod("doc_id", F.lit(4)) == i))
+        now = index.status()
+        said.append((i, now["pending_rows"], now["dirty"], now["version"]))
+    return spark.createDataFrame(said, "step long, pending_rows long, dirty boolean, version long")
 
 
 @query("ag16_index_status", "SELECT user_id, CAST(count(*) % 4 AS BIGINT) AS pending, count(*) % 4 > 0 AS dirty FROM events GROUP BY user_id")

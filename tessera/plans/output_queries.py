@@ -21,10 +21,11 @@ def ch07(spark, d):
     return own.select("doc_id", F.size("t").alias("n"), F.sha2(F.array_join("t", " "), 256).alias("digest"))
 
 
-@query("ch17_marker_list", "SELECT event_id, array_to_string(list_filter(list_transform(regexp_extract_all('[Page ' || (event_id % 4) || '] a [page 7] b ' || event_type || ' [PAGE ' || user_id || ']', '(?i)\\[page (\\d+)\\]', 1), lambda x: CAST(x AS INTEGER)), lambda x: x >= 1), ',') AS pages FROM events")
+@query("ch17_marker_list", "SELECT doc_id, array_to_string(list_filter(list_transform(regexp_extract_all(array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l, i: '[Page ' || ((doc_id + i - 1) % 5) || ']' || chr(10) || l), chr(10)), '(?i)\\[Page\\s+(\\d+)\\]', 1), lambda x: CAST(x AS INTEGER)), lambda x: x >= 1), ',') AS pages FROM documents")
 def ch17(spark, d):
-    text = F.concat(F.lit("[Page "), F.col("event_id") % 4, F.lit("] a [page 7] b "), "event_type", F.lit(" [PAGE "), "user_id", F.lit("]"))
-    return table(spark, d, "events").select("event_id", F.array_join(F.transform(T.page_markers(text), lambda p: p.cast("string")), ",").alias("pages"))
+    """Pages of documents whose lines have marks, some of them of page 0."""
+    text = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda l, i: F.concat(F.lit("[Page "), ((F.col("doc_id") + i) % 5).cast("string"), F.lit("]\n"), l)), "\n")
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.transform(T.page_markers(text), lambda p: p.cast("string")), ",").alias("pages"))
 
 
 @query("wn11_running_sections", "WITH f AS (SELECT user_id, event_id, event_id % 5 = 0 AS head, CASE WHEN event_id % 5 = 0 THEN event_type END AS title FROM events) SELECT user_id, event_id, CAST(sum(head::INT) OVER w AS BIGINT) AS section, last_value(title IGNORE NULLS) OVER w AS title FROM f WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
@@ -94,10 +95,11 @@ def st24(spark, d):
     return own.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", note.alias("t")))), lambda x: x["t"]), "\n").alias("notes"))
 
 
-@query("st25_best_match", "WITH n AS (SELECT event_id, lower('alpha beta gamma delta ' || event_type) AS hay, lower(CASE event_id % 3 WHEN 0 THEN 'GAMMA delta' WHEN 1 THEN 'beta gamma nothing' ELSE 'zzz' END) AS needle FROM events), p AS (SELECT event_id, list_filter(list_transform(range(0, greatest(length(needle) - 4, 0) + 1), lambda c: instr(hay, substring(needle, 1, length(needle) - c))), lambda x: x > 0) AS places FROM n) SELECT event_id, coalesce(places[1], 0) AS place FROM p")
+@query("st25_best_match", "WITH n AS (SELECT doc_id, lower(text) AS hay, lower(CASE WHEN doc_id % 2 = 0 THEN substring(text, 40, 30) ELSE substring(text, 40, 25) || ' zz nothing' END) AS needle FROM documents WHERE length(text) >= 80), p AS (SELECT doc_id, list_filter(list_transform(range(0, greatest(length(needle) - 20, 0) + 1), lambda c: instr(hay, substring(needle, 1, length(needle) - c))), lambda x: x > 0) AS places FROM n) SELECT doc_id, coalesce(places[1], 0) AS place FROM p")
 def st25(spark, d):
-    needle = F.when(F.col("event_id") % 3 == 0, "GAMMA delta").when(F.col("event_id") % 3 == 1, "beta gamma nothing").otherwise("zzz")
-    return table(spark, d, "events").select("event_id", O.best_match(F.concat(F.lit("Alpha beta gamma delta "), "event_type"), needle, 4).alias("place"))
+    """A part of each document found in it, every second one by its beginning alone."""
+    needle = F.when(F.col("doc_id") % 2 == 0, F.substring("text", 40, 30)).otherwise(F.concat(F.substring("text", 40, 25), F.lit(" zz nothing")))
+    return table(spark, d, "documents").where(F.length("text") >= 80).select("doc_id", O.best_match(F.col("text"), needle, 20).alias("place"))
 
 
 @query("st29_clamp", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 0.25 ELSE greatest(0.2, least(0.6, value)) END AS value FROM events")
@@ -106,9 +108,11 @@ def st29(spark, d):
     return table(spark, d, "events").select("event_id", O.clamp(value, 0.2, 0.6, 0.25).alias("value"))
 
 
-@query("st36_special_tokens", "SELECT event_id, 'a' || event_type || 'b' AS text FROM events")
+@query("st36_special_tokens", "SELECT conv_id, turn, replace(replace(replace(coalesce(text, ''), '. ', '.<|doc|> ') || '<|end|>b', '<|doc|>', ''), '<|end|>', '') AS text FROM conversations")
 def st36(spark, d):
-    return table(spark, d, "events").select("event_id", O.without(F.concat(F.lit("a<|doc|>"), "event_type", F.lit("<|end|>b")), ["<|doc|>", "<|end|>"]).alias("text"))
+    """Texts of the conversations, a token after each sentence and one at the end, without them."""
+    said = F.concat(F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(".<|doc|> ")), F.lit("<|end|>b"))
+    return table(spark, d, "conversations").select("conv_id", "turn", O.without(said, ["<|doc|>", "<|end|>"]).alias("text"))
 
 
 @query("st38_error_body", "SELECT event_id, '{\"error\":{\"code\":\"' || upper(event_type) || '\",\"message\":\"m' || event_id || '\"}}' AS body FROM events")

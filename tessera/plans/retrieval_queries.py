@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import text as T
 from tessera.operators import retrieval as R
 from tessera.operators import search as S
 from tessera.registry import query

@@ -156,11 +156,13 @@ def st20(spark, d):
 
 
 @query("st23_citation_marks", """
-SELECT doc_id, array_to_string(regexp_extract_all('See [' || doc_id % 7 || '] and [' || doc_id % 5 || ', p. ' || doc_id % 90 || '] not [x]', '\\[(\\d+)(?:,\\s*p\\.\\s*\\d+)?\\]', 1), ',') AS marks FROM documents""")
+SELECT doc_id, array_to_string(regexp_extract_all(replace(text, '. ', '. [' || doc_id % 7 || ', p. ' || n_chars % 90 || '] [x] [' || doc_id % 5 || '] '), '\\[(\\d+)(?:,\\s*p\\.\\s*\\d+)?\\]', 1), ',') AS marks FROM documents""")
 def st23(spark, d):
-    n = lambda k: (F.col("doc_id") % k).cast("string")
-    said = F.concat(F.lit("See ["), n(7), F.lit("] and ["), n(5), F.lit(", p. "), n(90), F.lit("] not [x]"))
-    return docs(spark, d).select("doc_id", F.array_join(T.citation_marks(said).cast("array<string>"), ",").alias("marks"))
+    """Marks after each sentence of the documents."""
+    n = lambda c, k: (F.col(c) % k).cast("string")
+    mark = F.concat(F.lit(". ["), n("doc_id", 7), F.lit(", p. "), n("n_chars", 90), F.lit("] [x] ["), n("doc_id", 5), F.lit("] "))
+    said = F.replace("text", F.lit(". "), mark)
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.citation_marks(said).cast("array<string>"), ",").alias("marks"))
 
 
 @query("st27_relative_date", """

@@ -3,7 +3,6 @@
 import decimal
 import math
 import os
-import re
 import subprocess
 import sys
 from pathlib import Path
