@@ -14,43 +14,50 @@ from tessera.operators.text_index import TextIndex
 from tessera.registry import query
 from tessera.session import fresh_folder, ship_package, table
 
-_NAMES = ("Ada Lovelace", "figure", "ada lovelace", "Al", "R2 D2", "Table Mountain", "Jean-Luc O'Neil", "Bob", "Anna", "Zoë Š.")
-_SQL_NAMES = "[" + ", ".join("'" + n.replace("'", "''") + "'" for n in _NAMES) + "][event_id % 10 + 1]"
-_SQL_PERSON = "CASE event_id % 10 WHEN 0 THEN true WHEN 2 THEN event_id % 3 = 0 WHEN 6 THEN true WHEN 8 THEN true WHEN 9 THEN true ELSE false END"
+_QUOTED = lambda values: ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+_SQL_FOUND = r"""words AS (SELECT doc_id, lang = 'en' AS low, list_filter(string_split_regex(regexp_replace(text, '[.,]', '', 'g'), '\s+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+found AS (SELECT doc_id, low, list_transform(range(1, least(12, len(w)) + 1), lambda i: {'text': CASE WHEN i % 2 = 0 AND i < len(w) THEN w[i] || ' ' || w[i + 1] ELSE w[i] END, 'entity_type': ['CITY', 'PERSON', 'ORG', 'GPE'][length(w[i]) % 4 + 1], 'score': ((length(w[i]) * 7 + i) % 20) / 20.0::DOUBLE}) AS rows FROM words WHERE len(w) > 0)"""
+_SQL_PLACE = f"r.entity_type IN ({_QUOTED(E.PLACE_LABELS)}) AND r.score >= 0.4"
+_SQL_LIKE = "(length({x}) >= 3 AND (low OR {x} <> lower({x})) AND (contains({x}, ' ') OR length({x}) >= 4) AND len(list_filter(string_split({x}, ' '), lambda t: lower(t) IN (" + _QUOTED(E.NO_PERSONS) + ") OR NOT regexp_matches(t, '^\\p{{L}}[\\p{{L}}\\-''.]*$'))) = 0)"
+_SQL_PERSON = f"r.entity_type IN ({_QUOTED(E.PERSON_LABELS)}) AND r.score >= 0.7 AND " + _SQL_LIKE.format(x="r.text")
 
 
-def _name(k):
-    return F.array(*map(F.lit, _NAMES))[(k % 10).cast("int")]
+def _found(spark, d):
+    """What a recogniser may find: the first words of each document, every second with the next, labelled and scored by their lengths and places. English texts stand for those in lower case."""
+    words = F.filter(F.split(F.regexp_replace("text", "[.,]", ""), r"\s+"), lambda x: x != "")
+    labels = F.array(*map(F.lit, ("CITY", "PERSON", "ORG", "GPE")))
 
+    def row(i):
+        word = F.element_at("w", i)
+        name = F.when((i % 2 == 0) & (i < F.size("w")), F.concat(word, F.lit(" "), F.try_element_at("w", i + 1))).otherwise(word)
+        return F.struct(name.alias("text"), F.element_at(labels, F.length(word) % 4 + 1).alias("entity_type"), (((F.length(word) * 7 + i) % 20) / 20.0).alias("score"))
 
-def _entities(k):
-    entity = lambda text, kind, score: F.struct(text.alias("text"), kind.alias("entity_type"), score.cast("double").alias("score"))
-    return F.array(entity(_name(k), F.when(k % 4 == 0, "PER").when(k % 4 == 1, "ORG").otherwise("PERSON"), k % 11 / 10), entity(F.lit("Rome"), F.when(k % 2 == 0, "GPE").otherwise("DATE"), k % 7 / 6))
+    own = table(spark, d, "documents").where("text is not null").select("doc_id", (F.col("lang") == "en").alias("low"), words.alias("w")).where(F.size("w") > 0)
+    return own.select("doc_id", "low", F.transform(F.sequence(F.lit(1), F.least(F.lit(12), F.size("w"))), row).alias("rows"))
 
 
-@query("pf12_person_like", f"SELECT event_id, {_SQL_PERSON} AS person FROM events")
+@query("pf12_person_like", f"WITH {_SQL_FOUND} SELECT doc_id, n, {_SQL_LIKE.format(x='r.text')} AS person FROM (SELECT doc_id, low, unnest(rows) AS r, unnest(range(len(rows))) AS n FROM found)")
 def pf12(spark, d):
-    k = F.col("event_id")
-    return table(spark, d, "events").select("event_id", E.person_like(_name(k), k % 3 == 0).alias("person"))
+    """Which of the names found in documents may be a person's."""
+    each = _found(spark, d).select("doc_id", "low", F.posexplode("rows").alias("n", "r"))
+    return each.select("doc_id", F.col("n").cast("long").alias("n"), E.person_like(F.col("r.text"), F.col("low")).alias("person"))
 
 
-@query("pf14_place_candidates", "SELECT event_id, CAST(event_id % 2 = 0 AND event_id % 7 / 6.0 >= 0.4 AS INT) AS n FROM events")
+@query("pf14_place_candidates", f"WITH {_SQL_FOUND} SELECT doc_id, CAST(len(list_filter(rows, lambda r: {_SQL_PLACE})) AS INTEGER) AS n FROM found")
 def pf14(spark, d):
-    return table(spark, d, "events").select("event_id", F.size(E.candidates(_entities(F.col("event_id")), E.PLACE_LABELS, 0.4)).alias("n"))
+    return _found(spark, d).select("doc_id", F.size(E.candidates(F.col("rows"), E.PLACE_LABELS, 0.4)).alias("n"))
 
 
-@query("pf15_person_candidates", f"SELECT event_id, CASE WHEN event_id % 4 <> 1 AND event_id % 11 >= 7 AND {_SQL_PERSON} THEN {_SQL_NAMES} ELSE '' END AS persons FROM events")
+@query("pf15_person_candidates", f"WITH {_SQL_FOUND} SELECT doc_id, array_to_string(list_transform(list_filter(rows, lambda r: {_SQL_PERSON}), lambda r: r.text), ',') AS persons FROM found")
 def pf15(spark, d):
-    k = F.col("event_id")
-    return table(spark, d, "events").select("event_id", F.array_join(F.transform(E.person_candidates(_entities(k), 0.7, k % 3 == 0), lambda r: r["text"]), ",").alias("persons"))
+    return _found(spark, d).select("doc_id", F.array_join(F.transform(E.person_candidates(F.col("rows"), 0.7, F.col("low")), lambda r: r["text"]), ",").alias("persons"))
 
 
-@query("ct02_joint_candidates", f"SELECT event_id, CAST(event_id % 2 = 0 AND event_id % 7 / 6.0 >= 0.4 AS INT) AS places, CAST(event_id % 4 <> 1 AND event_id % 11 >= 7 AND {_SQL_PERSON} AS INT) AS persons FROM events")
+@query("ct02_joint_candidates", f"WITH {_SQL_FOUND} SELECT doc_id, CAST(len(list_filter(rows, lambda r: {_SQL_PLACE})) AS INTEGER) AS places, CAST(len(list_filter(rows, lambda r: {_SQL_PERSON})) AS INTEGER) AS persons FROM found")
 def ct02(spark, d):
     """One recogniser pass at the lesser threshold, then each kind's own."""
-    k = F.col("event_id")
-    own = table(spark, d, "events").select("event_id", F.filter(_entities(k), lambda r: r["score"] >= 0.4).alias("rows"))
-    return own.select("event_id", F.size(E.candidates(F.col("rows"), E.PLACE_LABELS, 0.4)).alias("places"), F.size(E.person_candidates(F.col("rows"), 0.7, k % 3 == 0)).alias("persons"))
+    own = _found(spark, d).select("doc_id", "low", F.filter("rows", lambda r: r["score"] >= 0.4).alias("rows"))
+    return own.select("doc_id", F.size(E.candidates(F.col("rows"), E.PLACE_LABELS, 0.4)).alias("places"), F.size(E.person_candidates(F.col("rows"), 0.7, F.col("low"))).alias("persons"))
 
 
 @query("ct05_fallback_places", "SELECT event_id, 'Nova ' || upper(event_type[1]) || 'x' AS place, CAST(8 + length(event_type) AS INT) AS start, CAST(15 + length(event_type) AS INT) AS stop FROM events")
@@ -79,10 +86,10 @@ def ct07(spark, d):
     return own.select("doc_id", F.size("s").alias("n"), F.when(F.size("s") > 0, covered).alias("covered"))
 
 
-@query("ct10_place_names", "SELECT event_id, CASE WHEN event_id % 2 = 0 AND event_id % 7 / 6.0 >= 0.4 THEN 'Rome' ELSE '' END AS places FROM events")
+@query("ct10_place_names", f"WITH {_SQL_FOUND} SELECT doc_id, array_to_string(list_transform(list_filter(rows, lambda r: {_SQL_PLACE}), lambda r: r.text), ',') AS places FROM found")
 def ct10(spark, d):
-    names = F.transform(E.candidates(_entities(F.col("event_id")), E.PLACE_LABELS, 0.4), lambda r: r["text"])
-    return table(spark, d, "events").select("event_id", F.array_join(names, ",").alias("places"))
+    names = F.transform(E.candidates(F.col("rows"), E.PLACE_LABELS, 0.4), lambda r: r["text"])
+    return _found(spark, d).select("doc_id", F.array_join(names, ",").alias("places"))
 
 
 @query("pf21_chat_inputs", "SELECT event_id FROM events WHERE event_id % 3 <> 0 AND event_id % 4 <> 0")
