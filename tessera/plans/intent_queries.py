@@ -132,11 +132,12 @@ def rk16(spark, d):
     return in07(spark, d).select("conv_id", "turn", "intent", cut(50).alias("fused"), cut(5).alias("final"))
 
 
-@query("in08_definition", f"WITH d AS (SELECT event_id, 'What is ' || CASE event_id % 5 WHEN 0 THEN 'this paper' WHEN 1 THEN 'a ' || event_type WHEN 2 THEN 'the main point' WHEN 3 THEN event_type || ' of new things here now' ELSE event_type || ' art?' END AS question FROM events) SELECT event_id, {_definition()} AS definition FROM d")
+@query("in08_definition", f"WITH {SQL_QUESTIONS}, d AS (SELECT conv_id, turn, 'What is ' || CASE turn % 3 WHEN 0 THEN 'a ' || string_split(asked, ' ')[1] WHEN 1 THEN string_split(asked, ' ')[1] || ' art?' ELSE 'the main ' || asked END AS question FROM q) SELECT conv_id, turn, {_definition()} AS definition FROM d")
 def in08(spark, d):
-    k = F.col("event_id") % 5
-    subject = F.when(k == 0, "this paper").when(k == 1, F.concat(F.lit("a "), "event_type")).when(k == 2, "the main point").when(k == 3, F.concat("event_type", F.lit(" of new things here now"))).otherwise(F.concat("event_type", F.lit(" art?")))
-    return table(spark, d, "events").select("event_id", I.is_definition(F.concat(F.lit("What is "), subject)).alias("definition"))
+    """Whether the conversations' questions, put after "What is", ask for a definition."""
+    first, k = F.element_at(F.split("asked", " "), 1), F.col("turn") % 3
+    subject = F.when(k == 0, F.concat(F.lit("a "), first)).when(k == 1, F.concat(first, F.lit(" art?"))).otherwise(F.concat(F.lit("the main "), "asked"))
+    return questions(spark, d).select("conv_id", "turn", I.is_definition(F.concat(F.lit("What is "), subject)).alias("definition"))
 
 
 @query("in09_technical_how_why", f"WITH {SQL_QUESTIONS} SELECT conv_id, turn, {_how_why('asked')} AS technical FROM q")

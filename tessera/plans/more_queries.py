@@ -92,13 +92,12 @@ def ct10(spark, d):
     return _found(spark, d).select("doc_id", F.array_join(names, ",").alias("places"))
 
 
-@query("pf21_chat_inputs", "SELECT event_id FROM events WHERE event_id % 3 <> 0 AND event_id % 4 <> 0")
+@query("pf21_chat_inputs", "SELECT conv_id FROM conversations GROUP BY conv_id HAVING regexp_replace(coalesce(arg_max(coalesce(CASE WHEN role = 'system' THEN ' ' ELSE text END, ''), turn), ''), '\\s', '', 'g') <> '' AND count(*) FILTER (role = 'user') > 0")
 def pf21(spark, d):
-    """Requests whose last message says something and that name a source."""
-    k = F.col("event_id")
-    said, sources = F.when(k % 3 == 0, " \t").otherwise(F.col("event_type")), F.when(k % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("a")))
-    own = table(spark, d, "events").select("event_id", F.array(F.lit("first"), said).alias("messages"), sources.alias("sources"))
-    return own.where((F.regexp_replace(F.element_at("messages", -1), r"\s", "") != "") & (F.size("sources") > 0)).select("event_id")
+    """Conversations whose last message says something and that a user takes part in."""
+    said = F.coalesce(F.when(F.col("role") == "system", F.lit(" ")).otherwise(F.col("text")), F.lit(""))
+    own = table(spark, d, "conversations").groupBy("conv_id").agg(F.max_by(said, "turn").alias("last"), F.count_if(F.col("role") == "user").alias("users"))
+    return own.where((F.regexp_replace("last", r"\s", "") != "") & (F.col("users") > 0)).select("conv_id")
 
 
 _SQL_MODE = "CASE event_id % 5 WHEN 0 THEN 'regular' WHEN 1 THEN 'deep-research' WHEN 2 THEN 'regular' WHEN 3 THEN 'deep-research' END"
@@ -197,11 +196,13 @@ def st16(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(O.cut_text(F.col("text"), 300), 256).alias("digest"))
 
 
-@query("st17_document_records", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'unknown' ELSE event_type END AS id, CASE WHEN event_id % 4 = 0 THEN '' ELSE 'seen ' || substring(event_type, 1, 2) || '...' END AS content, CAST(CASE WHEN event_id % 5 = 0 THEN 0.0 ELSE event_id % 7 END AS DOUBLE) AS score FROM events")
+@query("st17_document_records", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'unknown' ELSE source END AS id, CASE WHEN doc_id % 4 = 0 THEN '' WHEN length(text) > 400 THEN substring(text, 1, 400) || '...' ELSE text END AS content, CAST(CASE WHEN doc_id % 5 = 0 THEN 0.0 ELSE n_chars / 1000.0 END AS DOUBLE) AS score FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND n_chars IS NOT NULL")
 def st17(spark, d):
-    k = F.col("event_id")
-    r = O.document_record(F.when(k % 3 != 0, F.col("event_type")), F.when(k % 4 != 0, F.concat(F.lit("seen "), "event_type", F.lit("......"))), F.when(k % 5 != 0, (k % 7).cast("double")), 7)
-    return table(spark, d, "events").select("event_id", r["id"].alias("id"), r["content"].alias("content"), r["score"].alias("score"))
+    """Documents as they are traced; some without a source, a text or a score."""
+    k = F.col("doc_id")
+    own = table(spark, d, "documents").where("text is not null and source is not null and n_chars is not null")
+    r = O.document_record(F.when(k % 3 != 0, F.col("source")), F.when(k % 4 != 0, F.col("text")), F.when(k % 5 != 0, F.col("n_chars") / 1000.0), 400)
+    return own.select("doc_id", r["id"].alias("id"), r["content"].alias("content"), r["score"].alias("score"))
 
 
 @query("st19_snapshot_files", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type || '.txt' ELSE substring(sha256('a/' || event_type), 1, 16) || '.txt' END AS file FROM events")
