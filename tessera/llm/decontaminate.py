@@ -20,6 +20,8 @@ Defined cases: null and empty texts have no passages and no leaks; items without
 items or documents that are repeated give a row for each pair; a (document, item) pair has one row,
 that of the longest subsequence, ties to the earliest window; an empty table gives no rows; other
 columns are not read, or kept as they are (``keep_clean``).
+
+A very long text is searched whole, in the memory of one task.
 """
 
 from __future__ import annotations

@@ -17,6 +17,9 @@ same rows differ slightly. Nothing that reaches the driver grows with the number
 Defined cases: a null or empty text has n_tokens 0 and scores 0; words next to an end of a document
 see a padding class there; classes that no word falls into keep a share of half a word; repeated rows
 count and are scored each; an empty table gives no rows; a table without words leaves the parameters as they began; other columns are not read.
+
+A very long text is scored whole, in the memory of one task; each row is scored by itself, so no
+ties arise.
 """
 
 from __future__ import annotations

@@ -13,6 +13,9 @@ numbers, so equal bytes give equal pixels and features everywhere.
 Defined cases: null text is empty, and an empty text is one frame of padding; repeated rows are each
 stored; an empty table gives no rows; other columns are not read; an AVI that is cut short yields
 the frames that are whole; a frame that is no baseline JPEG raises ValueError with the reason.
+
+A very long text is held whole by one task, with its frames; each row is stored by itself, so no
+ties arise.
 """
 
 from __future__ import annotations

@@ -33,6 +33,8 @@ one node, and each row is returned; a doc_id with several texts is one document,
 of them; ties need no rule, as components are numbered by their least doc_id; an empty table gives no
 rows; other columns are not read, or kept as they are (``keep_first``); doc_id must be a whole number,
 and rows with a null one are returned with null component and kept true.
+
+A very long text's shingles are held by one task; ties between documents go to the lesser doc_id.
 """
 
 from __future__ import annotations

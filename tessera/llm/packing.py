@@ -17,6 +17,8 @@ piece between such places is encoded once by the tokenizer, then looked up by it
 
 Defined cases: null text is empty; an empty text is the closing id alone; repeated rows are each
 packed; an empty table gives no rows; other columns are not read.
+
+A very long text's tokens are held by one task and cut into as many pieces as it takes.
 """
 
 from __future__ import annotations

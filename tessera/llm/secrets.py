@@ -15,6 +15,9 @@ Defined cases: null text is empty and has no spans; repeated rows are each scann
 gives no rows; labelled samples that are null or of fewer than two characters add nothing; without
 samples both models are uniform and nothing is added; other columns are not read, or kept as they
 are (``redact``).
+
+A very long text is one row of strings and arrays; spans that begin together are listed in the order
+of kinds.
 """
 
 from __future__ import annotations

@@ -15,6 +15,9 @@ Defined cases: a null or empty text has no features and is scored by the bias al
 label, or with a null label, take no part in fitting; where a doc_id has several labels the largest
 counts; repeated rows are scored each; without usable labels every score is 0 and predicted 0, as
 nothing gives ground to reject; columns other than those named are not read.
+
+A very long text is scored whole, in the memory of one task; each row is judged by itself, so no
+ties arise.
 """
 
 from __future__ import annotations
