@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import ship_package
 
-from .shared import Words, buffers, runs
+from .shared import Scratch, Words, buffers, runs
 
 SLICE = 1 << 20
 #: Words whose class probabilities are computed at once.
@@ -172,26 +172,45 @@ def _step(p: dict, past: dict, around: np.ndarray, target: np.ndarray, s: Settin
         p[k] -= s.rate * g / (np.sqrt(past[k]) + 1e-7)
 
 
-def _trained(batches, model, start: np.ndarray, turn: int, s: Settings):
-    """This partition's parameters times its words, and the words."""
-    p = _unpacked(start, first_params(s))
-    past = {k: np.zeros_like(v) for k, v in p.items()}
-    seen = 0
+def _listed(batches, class_of: np.ndarray, s: Settings):
+    """(start, classes) of each text that has words: where its masked words begin, by the sum of its hashes, and its words' classes as 16-bit numbers."""
     for batch in batches:
         data, offsets = buffers(batch.column(0))
         for lo, hi in runs(offsets, SLICE):
             words = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             if not len(words):
                 continue
-            classes = model.class_of[_buckets(words, s)].astype(np.int64)
-            place = np.arange(len(words)) - words.first[words.row]
             offset = np.zeros(hi - lo, np.uint64)
             np.add.at(offset, words.row, words.hash)
-            at = np.flatnonzero((place + ((offset >> np.uint64(8)) % np.uint64(s.stride)).astype(np.int64)[words.row] + turn) % s.stride == 0)
-            for a in range(0, len(at), CHUNK):
-                own = at[a : a + CHUNK]
-                _step(p, past, _around(classes, words.row, own, s), classes[own], s)
-            seen += len(words)
+            start = ((offset >> np.uint64(8)) % np.uint64(s.stride)).astype(np.int32)
+            raw, ends = class_of[_buckets(words, s)].astype(np.int16).tobytes(), (2 * words.first).tolist()
+            full = np.flatnonzero(np.diff(words.first))
+            yield pa.RecordBatch.from_arrays([pa.array(start[full]), pa.array([raw[ends[i] : ends[i + 1]] for i in full.tolist()], pa.binary())], names=["start", "classes"])
+
+
+def _together(batches, most: int):
+    """(start of each text, its bounds, classes of all) for texts of some rows, of at most so many words together, or one."""
+    for batch in batches:
+        start, raw = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+        sizes = np.array([len(x.as_buffer()) // 2 for x in raw], np.int64)
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        for lo, hi in runs(bounds, most):
+            yield start[lo:hi], bounds[lo : hi + 1] - bounds[lo], np.concatenate([np.frombuffer(raw[i].as_buffer(), np.int16) for i in range(lo, hi)]).astype(np.int64)
+
+
+def _trained(batches, start: np.ndarray, turn: int, s: Settings):
+    """This partition's parameters times its words, and the words."""
+    p = _unpacked(start, first_params(s))
+    past = {k: np.zeros_like(v) for k, v in p.items()}
+    seen = 0
+    for begin, bounds, classes in _together(batches, SLICE):
+        row = np.repeat(np.arange(len(begin)), np.diff(bounds))
+        place = np.arange(len(classes)) - bounds[row]
+        at = np.flatnonzero((place + begin[row] + turn) % s.stride == 0)
+        for a in range(0, len(at), CHUNK):
+            own = at[a : a + CHUNK]
+            _step(p, past, _around(classes, row, own, s), classes[own], s)
+        seen += len(classes)
     if seen:
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % s.sum_tasks], pa.int32()), pa.array([seen], pa.int64()), pa.array([(_packed(p).astype(np.float64) * seen).tobytes()], pa.binary())], names=["slot", "words", "params"])
 
@@ -214,13 +233,17 @@ def train(documents: DataFrame, s: Settings = Settings()) -> Model:
     model = Model(*classes_from(counts, s), first_params(s))
     shares = np.maximum(np.bincount(model.class_of, counts + 0.5, s.classes), 0.5)
     model.params["bias"] = np.log(shares / shares.sum()).astype(np.float32)
-    text = documents.select(F.col("text").cast("string").alias("text"))
+    # words are hashed once: every round reads their classes
+    scratch, class_of = Scratch(spark, "lm"), spark.sparkContext.broadcast(model.class_of)
+    texts = documents.select(F.col("text").cast("string").alias("text"))
+    lists = scratch.save(texts.mapInArrow(lambda b: _listed(b, class_of.value, s), "start int, classes binary"), "lists")
     for turn in range(s.rounds):
-        sent = spark.sparkContext.broadcast((model, _packed(model.params)))
-        parts = text.mapInArrow(lambda b, sent=sent, turn=turn: _trained(b, sent.value[0], sent.value[1], turn, s), "slot int, words long, params binary")
+        sent = spark.sparkContext.broadcast(_packed(model.params))
+        parts = lists.mapInArrow(lambda b, sent=sent, turn=turn: _trained(b, sent.value, turn, s), "slot int, words long, params binary")
         got = parts.repartition(s.sum_tasks, "slot").mapInArrow(_summed, "slot int, words long, params binary").collect()
         if got:
             model.params = _unpacked(sum(np.frombuffer(r["params"]) for r in got) / sum(r["words"] for r in got), model.params)
+    scratch.drop("lists")
     return model
 
 
