@@ -64,7 +64,7 @@ sc AS (SELECT query, alias, 200.0::DOUBLE * ({common}) / (length(fa) + length(fb
 bp AS (SELECT query, geonameid, max(score) AS score, max(population) AS population FROM sc JOIN aliases USING (alias) WHERE score >= 72 GROUP BY query, geonameid),
 rk AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS nxt, max(score) OVER (PARTITION BY query) AS best FROM bp WINDOW w AS (PARTITION BY query ORDER BY score DESC, population DESC, geonameid)),
 rv AS (SELECT *, sum(CASE WHEN score >= best - 5 THEN 1 ELSE 0 END) OVER (PARTITION BY query) AS rivals FROM rk),
-fz AS (SELECT query, geonameid, greatest(0, least(0.88::DOUBLE, least(score / 100, 0.88::DOUBLE) * CASE WHEN rivals > 1 THEN 0.85 ELSE 1.0 END * CASE WHEN nxt IS NOT NULL AND rivals >= 2 THEN 0.65 + 0.35 * greatest(0, least(1, (score - nxt) / 4)) ELSE 1.0 END
+fz AS (SELECT query, geonameid, rivals > 1 AS ambiguous, greatest(0, least(0.88::DOUBLE, least(score / 100, 0.88::DOUBLE) * CASE WHEN rivals > 1 THEN 0.85 ELSE 1.0 END * CASE WHEN nxt IS NOT NULL AND rivals >= 2 THEN 0.65 + 0.35 * greatest(0, least(1, (score - nxt) / 4)) ELSE 1.0 END
   - CASE WHEN len(regexp_extract_all(query, '[a-z]{{2,}}')) BETWEEN 1 AND 3 AND len(list_filter(regexp_extract_all(query, '[a-z]{{2,}}'), lambda w: w NOT IN ({_GENERIC}))) = 0 THEN 0.08 ELSE 0 END)) AS confidence FROM rv WHERE k = 1)"""
 
 
@@ -207,7 +207,7 @@ def named_documents(spark, d):
     return table(spark, d, "documents").select("doc_id", F.concat(F.lit("port "), (k % 50).cast("string")).alias("name"), F.array(word, supplier).alias("around"))
 
 
-@query("ge17_refine", f"""WITH {SQL_NAMED},
+@query("ge17_refine", f"""WITH {SQL_NAMED}, lost AS (SELECT DISTINCT query FROM n WHERE query NOT IN (SELECT query FROM best)), {_sql_alike("lost")},
 anchor AS (SELECT DISTINCT n.context[2] AS w, t.lat, t.lon FROM n JOIN (SELECT alias, arg_max(geonameid, population) AS geonameid, max(population) AS people FROM aliases GROUP BY alias) b ON b.alias = n.context[2] JOIN towns t ON t.geonameid = b.geonameid WHERE people >= 50000),
 scored AS (
   SELECT n.doc_id, p.geonameid, p.population, CASE WHEN p.top > 0 THEN 5 * sqrt(p.population / greatest(p.top, 1)::DOUBLE) ELSE 0 END
@@ -215,21 +215,21 @@ scored AS (
     + 1.5 + coalesce(1.5 * exp(-({SQL_KM.format(a='p', b='q')}) / 150), 0) AS points
   FROM n JOIN best b USING (query) JOIN cand p USING (query) LEFT JOIN anchor q ON q.w = n.context[2] WHERE b.rivals > 1 AND b.second > b.top * 0.05),
 won AS (SELECT doc_id, geonameid FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY points DESC, population DESC, geonameid) AS k FROM scored) WHERE k = 1)
-SELECT n.doc_id, coalesce(w.geonameid, b.geonameid) AS geonameid, b.rivals > 1 AND b.second > b.top * 0.05 AS ambiguous FROM n JOIN best b USING (query) LEFT JOIN won w USING (doc_id)""")
+SELECT n.doc_id, coalesce(w.geonameid, b.geonameid, z.geonameid) AS geonameid, CASE WHEN b.geonameid IS NOT NULL THEN b.rivals > 1 AND b.second > b.top * 0.05 ELSE z.ambiguous END AS ambiguous FROM n LEFT JOIN best b USING (query) LEFT JOIN fz z USING (query) LEFT JOIN won w USING (doc_id)""")
 def ge17(spark, d):
     """The town that each document's port is, by the words around it."""
     got = X.forward_in_context(named_documents(spark, d), "name", "around", towns(spark, d), aliases(spark, d), anchor_people=50_000)
     return got.select("doc_id", "geonameid", "ambiguous")
 
 
-@query("ge19_forward_batch", f"""WITH {SQL_ALIASES}, {SQL_BEST}, n AS (SELECT doc_id // 10 AS doc, 'port ' || (doc_id % 50) AS query FROM documents GROUP BY ALL),
+@query("ge19_forward_batch", f"""WITH {SQL_ALIASES}, {SQL_BEST}, n AS (SELECT doc_id // 10 AS doc, 'port ' || (doc_id % 50) AS query FROM documents GROUP BY ALL), lost AS (SELECT DISTINCT query FROM n WHERE query NOT IN (SELECT query FROM best)), {_sql_alike("lost")},
 o AS (SELECT n.doc, n.query FROM n JOIN best b USING (query) WHERE b.rivals > 1 AND b.second > b.top * 0.05),
 c AS (SELECT o.doc, o.query AS name, a.geonameid, a.population, t.lat, t.lon FROM o JOIN (SELECT *, row_number() OVER (PARTITION BY alias ORDER BY population DESC, geonameid) AS k FROM aliases) a ON a.alias = o.query AND k <= 10 JOIN towns t USING (geonameid)),
 r AS (SELECT *, row_number() OVER w AS k, lead(population) OVER w AS nxt FROM c WINDOW w AS (PARTITION BY doc, name ORDER BY population DESC, geonameid)), f AS (SELECT * FROM r WHERE k = 1),
 clear AS (SELECT doc, name FROM f WHERE nxt IS NULL OR population > 5 * greatest(nxt, 1)),
 s AS (SELECT p.doc, p.name, p.geonameid, p.population, sqrt(greatest(p.population, 1)) * (1 + 0.5 * exp(-avg({SQL_KM.format(a='p', b='q')}) / 500.0)) AS s FROM c p JOIN f q ON p.doc = q.doc AND p.name <> q.name WHERE (p.doc, p.name) NOT IN (SELECT (doc, name) FROM clear) GROUP BY p.doc, p.name, p.geonameid, p.population),
 t AS (SELECT *, row_number() OVER (PARTITION BY doc, name ORDER BY s DESC, population DESC, geonameid) AS k FROM s)
-SELECT n.doc, n.query, coalesce(t.geonameid, b.geonameid) AS geonameid FROM n JOIN best b USING (query) LEFT JOIN (SELECT * FROM t WHERE k = 1) t ON t.doc = n.doc AND t.name = n.query""")
+SELECT n.doc, n.query, coalesce(t.geonameid, b.geonameid, z.geonameid) AS geonameid FROM n LEFT JOIN best b USING (query) LEFT JOIN fz z USING (query) LEFT JOIN (SELECT * FROM t WHERE k = 1) t ON t.doc = n.doc AND t.name = n.query""")
 def ge19(spark, d):
     """Ten documents' ports at a time, chosen together."""
     own = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 10).cast("long").alias("doc"), F.concat(F.lit("port "), (F.col("doc_id") % 50).cast("string")).alias("name")).distinct()

@@ -243,8 +243,9 @@ def test_oracles_agree(spark):
         df = catalog.queries()[name](spark, SF)
         names = sorted(df.columns)
         want = con.execute(f"select {', '.join(names)} from ({catalog.oracle_sql()[name]})").fetchall()
-        if key(df.select(*names).collect()) != key(want):
-            wrong.append(name)
+        got, want = key(df.select(*names).collect()), key(want)
+        if got != want:
+            wrong.append((name, len(got), len(want), sorted(set(got) - set(want))[:3], sorted(set(want) - set(got))[:3]))
     assert not wrong
 
 
