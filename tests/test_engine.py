@@ -97,6 +97,13 @@ def test_certain_acts_have_ascii_word_ends(spark):
     assert [r["x"] for r in df.orderBy("i").select(intent.is_certain_act(F.col("asked")).alias("x")).collect()] == [True, False, False, True, True, False]
 
 
+def test_islands_do_not_depend_on_the_order_of_equal_spans(spark):
+    spans = [(u, lo, lo + 15) for u in range(3) for lo in (0, 0, 0, 15, 31, 31, 47, 47, 47, 62)]
+    df = spark.createDataFrame(spans[::2] + spans[1::2], "u int, lo int, hi int").repartition(3)
+    got = sorted((r["u"], r["lo"], r["hi"], r["spans"]) for r in rollups.islands(df, ["u"], "lo", "hi").collect())
+    assert got == [x for u in range(3) for x in ((u, 0, 30, 4), (u, 31, 46, 2), (u, 47, 77, 4))]
+
+
 def test_threshold_keeps_a_safety_net(spark):
     df = spark.createDataFrame([(1, i, s) for i, s in enumerate((0.9, 0.6, 0.2, 0.1), 1)] + [(2, 1, 0.9), (2, 2, 0.8), (2, 3, 0.7), (2, 4, 0.6)], "q int, rank int, score double")
     got = {(r["q"], r["rank"]): r["below_threshold"] for r in retrieval.threshold(df, "q", 0.5, 3).collect()}
