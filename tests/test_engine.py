@@ -154,6 +154,20 @@ def test_tables_change_by_version(spark, tmp_path):
     assert old.where(tables.any_of(F.col("k"), [])).count() == 0
 
 
+def test_nearest_is_that_of_all_pairs(spark):
+    a = [(i, (i * 37 % 18) * 10 - 90.0, (i * 73 % 36) * 10 - 180.0) for i in range(80)] + [(80, None, 3.0), (81, 89.9, 179.9)]
+    b = [(i, (i * 11 % 5) - 2.0, (i * 29 % 7) + 170.0) for i in range(70)] + [(70, -89.0, 0.0), (71, None, None)]
+    points, places = (spark.createDataFrame(x, "id int, lat double, lon double") for x in (a, b))
+    sink = lambda x, y: math.sqrt(min(1.0, math.sin(math.radians(y[1] - x[1]) / 2) ** 2 + math.cos(math.radians(x[1])) * math.cos(math.radians(y[1])) * math.sin(math.radians(y[2] - x[2]) / 2) ** 2))
+    far = lambda x, y: math.inf if x[1] is None or y[1] is None else round(2 * 6371.0 * math.asin(sink(x, y)), 6)
+    want = {(p[0], r): q[0] for p in a for r, q in enumerate(sorted(b, key=lambda q: (far(p, q), q[0]))[:3], 1)}
+    assert {(r["id"], r["rank"]): r["p_id"] for r in spatial.nearest(points, places, "id", "id", 3).collect()} == want
+    few = spatial.nearest(points, places.where("id > 69"), "id", "id", 3)
+    assert few.count() == 2 * len(a) and few.where("id = 3 AND p_id = 71").first()["rank"] == 2
+    # each row of a spot meets what the spot meets
+    assert spatial.radius_join(places.withColumn("n", F.lit(1)), places, 500.0).where("id % 35 = p_id % 35").count() == 70 * 2 + 1
+
+
 def test_radius_join_finds_all_pairs(spark):
     a = [(i, (i * 37 % 180) - 90.0, (i * 73 % 360) - 180.0) for i in range(60)]
     b = [(i, (i * 11 % 180) - 90.0, (i * 29 % 360) - 180.0) for i in range(60)]
