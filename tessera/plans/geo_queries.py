@@ -61,12 +61,11 @@ c AS (SELECT s_suppkey, c_custkey, count(*) AS shared FROM q JOIN a USING (g) GR
 SELECT s_suppkey, c_custkey, shared FROM (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY shared DESC, c_custkey) AS k FROM c) WHERE k <= 20""")
 def jn07(spark, d):
     """Names by shared trigrams, the likeliest twenty of each query."""
-    from tessera.operators.retrieval import rank
+    from tessera.operators.retrieval import most_shared
 
-    a = table(spark, d, "customer").select("c_custkey", F.explode(T.trigrams(F.lower("c_name"))).alias("g"))
-    q = table(spark, d, "supplier").select("s_suppkey", F.explode(T.trigrams(F.lower("s_name"))).alias("g"))
-    shared = q.join(a, "g").groupBy("s_suppkey", "c_custkey").agg(F.count(F.lit(1)).alias("shared"))
-    return rank(shared, "s_suppkey", "c_custkey", 20, "shared").select("s_suppkey", "c_custkey", "shared")
+    a = table(spark, d, "customer").select("c_custkey", T.trigrams(F.lower("c_name")).alias("own"))
+    q = table(spark, d, "supplier").select("s_suppkey", T.trigrams(F.lower("s_name")).alias("own"))
+    return most_shared(q, "s_suppkey", a, "c_custkey", 20).select("s_suppkey", "c_custkey", "shared")
 
 
 @query("ge13_context_score", f"WITH {SQL_PLACES}, o AS (SELECT 40.0 AS lat, -74.0 AS lon) SELECT id, round(5 * sqrt(id / 1000.0) + CASE WHEN id % 3 = 0 THEN 4 ELSE 0 END + 1.5 * exp(-({SQL_KM.format(a='p', b='o')}) / 150), 6) AS score FROM places p, o")

@@ -97,6 +97,19 @@ def test_certain_acts_have_ascii_word_ends(spark):
     assert [r["x"] for r in df.orderBy("i").select(intent.is_certain_act(F.col("asked")).alias("x")).collect()] == [True, False, False, True, True, False]
 
 
+def test_most_shared_is_that_of_all_pairs(spark):
+    own = lambda n, step: [(i, sorted({str((i * step + j * j) % (7 + j)) + "abc"[j % 3] for j in range(i % 9)})) for i in range(n)]
+    asked, rows = own(40, 7) + [(3, ["1b", "x"])], own(150, 11) + [(5, ["0a"]), (149, ["0a", "1b"]), (200, ["none"])]
+    q, r = spark.createDataFrame(asked, "q int, own array<string>"), spark.createDataFrame(rows, "k int, own array<string>")
+    shared = {}
+    for a, x in asked:
+        for b, y in rows:
+            shared[a, b] = shared.get((a, b), 0) + len(set(x) & set(y))
+    want = {(a, b, n) for a in {a for a, _ in asked} for n, b in sorted(((n, b) for (c, b), n in shared.items() if c == a and n), key=lambda x: (-x[0], x[1]))[:6]}
+    want = {(a, b, shared[a, b]) for a, b, _ in want}
+    assert {(x["q"], x["k"], x["shared"]) for x in retrieval.most_shared(q, "q", r, "k", 6).collect()} == want
+
+
 def test_islands_do_not_depend_on_the_order_of_equal_spans(spark):
     spans = [(u, lo, lo + 15) for u in range(3) for lo in (0, 0, 0, 15, 31, 31, 47, 47, 47, 62)]
     df = spark.createDataFrame(spans[::2] + spans[1::2], "u int, lo int, hi int").repartition(3)
