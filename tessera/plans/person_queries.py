@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import people as P
 from tessera.operators.similar_join import alike_pairs
 from tessera.registry import query
-from tessera.session import table
+from tessera.session import fresh_folder, table
 
 
 def name_mentions(spark, d):
@@ -42,6 +42,8 @@ def pe13(spark, d):
 @query("jn12_alike_names")
 def jn12(spark, d):
     """For each name the likest other of at least 93, of equal ones the least."""
-    own = name_mentions(spark, d).select(F.lower("raw_name").alias("name"))
+    names = f"{fresh_folder(spark, 'names')}/names"
+    name_mentions(spark, d).select(F.lower("raw_name").alias("name")).distinct().write.parquet(names)
+    own = spark.read.parquet(names)
     pairs = alike_pairs(own, "name", own.select(F.col("name").alias("other")), "other", 93.0).where("name <> other")
     return pairs.groupBy("name").agg(F.min(F.struct((-F.col("score")).alias("s"), "other")).alias("best")).select("name", F.col("best.other").alias("alias"), F.round(-F.col("best.s"), 4).alias("score"))
