@@ -23,6 +23,7 @@ repeated rows count each; names that are equally like go to the lesser one; empt
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -46,6 +47,7 @@ class Registry:
         self.called: list[str] = []
         self.names: list[list[str]] = []
         self.owner: dict[str, int] = {}
+        self.kin: dict[str, list[str]] = {}
 
     @staticmethod
     def rank(name: str) -> tuple[int, int]:
@@ -56,7 +58,7 @@ class Registry:
         if normal in self.owner:
             return self.owner[normal], "exact", 1.0
         last = normal.split(" ")[-1]
-        kin = sorted(n for n in self.owner if n.split(" ")[-1] == last)
+        kin = self.kin.get(last, ())
         entries = {self.owner[n] for n in kin}
         if " " in normal and last in kin and len(entries) == 1:
             return entries.pop(), "fuzzy_last", 1.0
@@ -64,8 +66,9 @@ class Registry:
             placed = sorted(((sum(map(count, self.names[e])), self.rank(self.called[e])), e) for e in entries)
             if len(placed) == 1 or placed[-1][0] > placed[-2][0]:
                 return placed[-1][1], "fuzzy_last", 1.0
-        for among, least, method in ((kin, BY_SURNAME, "fuzzy_last"), (self.owner, BY_NAME, "fuzzy_full")):
-            best = min(((-alike[n], n) for n in among if alike.get(n, 0) >= least), default=None)
+        known = [(-x, n) for n, x in alike.items() if n in self.owner]
+        for among, least, method in (([x for x in known if x[1].split(" ")[-1] == last], BY_SURNAME, "fuzzy_last"), (known, BY_NAME, "fuzzy_full")):
+            best = min((x for x in among if -x[0] >= least), default=None)
             if best:
                 return self.owner[best[1]], method, -best[0] / 100
         return None, "new", 0.0
@@ -80,6 +83,7 @@ class Registry:
         if normal not in self.owner:
             self.owner[normal] = entry
             self.names[entry].append(normal)
+            self.kin.setdefault(normal.split(" ")[-1], []).append(normal)
         better = self.rank(display) > self.rank(self.called[entry])
         if better:
             self.called[entry] = display
@@ -97,17 +101,25 @@ def merge(survivor: dict, absorbed: dict) -> dict:
 def _fold(rows: pd.DataFrame) -> Iterator[tuple]:
     """Of a block: (normal, place, canonical) whenever it changes, with method and share at a name's first mention."""
     alike: dict[str, dict[str, float]] = {}
-    counts: dict[str, list[tuple[int, int]]] = {}
+    counts: dict[str, tuple[list[int], list[int]]] = {}
     for r in rows[rows["kind"] == "pair"].itertuples():
         alike.setdefault(r.a, {})[r.b] = r.x
-    for r in rows[rows["kind"] == "count"].itertuples():
-        counts.setdefault(r.a, []).append((r.k, int(r.x)))
+    # of each name, its mentions up to a moment, as sums
+    for r in rows[rows["kind"] == "count"].sort_values("k").itertuples():
+        moments, sums = counts.setdefault(r.a, ([], [0]))
+        moments.append(r.k)
+        sums.append(sums[-1] + int(r.x))
+
+    def so_far(name: str, before: int) -> int:
+        moments, sums = counts.get(name, ((), (0,)))
+        return sums[bisect_right(moments, before)]
+
     registry, surnames = Registry(), 0
     for r in rows[rows["kind"] == "name"].sort_values("k").itertuples():
         # mentions before this one, if it is a bare surname's first: those that came before so many of these
         before = surnames
         known = r.a in registry.owner
-        entry, method, share, better = registry.meet(r.a, r.b, lambda n, before=before: sum(x for k, x in counts.get(n, ()) if k <= before), alike.get(r.a, {}))
+        entry, method, share, better = registry.meet(r.a, r.b, lambda n, before=before: so_far(n, before), alike.get(r.a, {}))
         if " " not in r.a and not known:
             surnames += 1
         if not known:
@@ -161,10 +173,11 @@ def resolve(mentions: DataFrame, raw: str, order: list[str], ner: str | None = N
     numbered = spark.read.parquet(f"{scratch}/numbered")
     block_of = numbered.select("normal", "block").distinct()
     # where bare surnames are decided, how many mentions came before
-    bare = numbered.where(~F.contains("normal", F.lit(" "))).groupBy("block", "normal").agg(F.min("at").alias("at")).groupBy("block").agg(F.sort_array(F.collect_list("at")).alias("moments"))
-    watched = block_of.join(bare, "block")
-    seen = held.groupBy("normal", "at").agg(F.count(F.lit(1)).alias("n")).join(watched, "normal")
-    counts = seen.groupBy("block", "normal", F.size(F.filter("moments", lambda m: m <= F.col("at"))).alias("k")).agg(F.sum("n").alias("n"))
+    bare = numbered.where(~F.contains("normal", F.lit(" "))).groupBy("block", "normal").agg(F.min("at").alias("at"))
+    seen = held.groupBy("normal", "at").agg(F.count(F.lit(1)).alias("n")).join(block_of.join(bare.select("block").distinct(), "block"), "normal")
+    moments = seen.select("block", "normal", "at", "n", F.lit(0).alias("met")).unionAll(bare.select("block", F.lit(None).cast("string"), "at", F.lit(0).cast("long"), F.lit(1)))
+    # a running sum, equal moments counting together: no list of a block's moments is held
+    counts = moments.withColumn("k", F.sum("met").over(Window.partitionBy("block").orderBy("at"))).where("normal is not null").groupBy("block", "normal", "k").agg(F.sum("n").alias("n"))
     parts = (
         numbered.select("block", F.lit("name").alias("kind"), F.col("normal").alias("a"), F.col("display").alias("b"), "k", F.lit(0.0).alias("x"))
         .unionAll(counts.select("block", F.lit("count"), "normal", F.lit(None).cast("string"), F.col("k").cast("long"), F.col("n").cast("double")))

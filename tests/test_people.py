@@ -29,6 +29,16 @@ def test_alike_pairs_are_those_of_all_pairs(spark):
     assert len(want) > len(own)
 
 
+def test_frequent_bigrams_make_no_pairs(spark):
+    from tessera.operators import similar_join
+
+    rng = np.random.default_rng(5)
+    forms = spark.createDataFrame(sorted({("".join(rng.choice(["th", "er", "an", "on"], 7)),) for _ in range(400)}), "form string").withColumn("n", F.length("form"))
+    met = similar_join._meet_by_pieces(forms, 93.0)
+    # names of one length that differ differ by two changes at least: none of 14 characters is 93 % alike to another
+    assert met.where("fa <> fb").isEmpty() and met.count() == forms.count()
+
+
 def plain_resolve(rows):
     """Mention by mention: rows of (raw, normal, display), in order; all state is looked at each time."""
     entries, out = [], []  # called, names in order, mentions
