@@ -6,6 +6,8 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType
 
@@ -17,23 +19,39 @@ EDGE, PAD = 0.006, 0.12
 CLAUSE = re.compile(r";\s+|,\s+(?:and|but|which|or)\s+", re.IGNORECASE)
 
 
+def are_voiced(signals: np.ndarray, rate: int = RATE) -> np.ndarray:
+    """Whether enough whole frames are like speech, of each row."""
+    size = int(rate * FRAME_MS / 1000)
+    n = signals.shape[1] // size if size >= 2 else 0
+    if not n:
+        return np.zeros(len(signals), bool)
+    frames = signals[:, : n * size].reshape(len(signals), n, size)
+    below = np.signbit(frames)
+    changes = (below[:, :, 1:] != below[:, :, :-1]).mean(2)
+    good = (np.sqrt((frames * frames).mean(2)) >= LEAST_RMS) & (np.abs(frames).max(2) >= LEAST_PEAK) & (changes >= CHANGES[0]) & (changes <= CHANGES[1])
+    return (good.sum(1) >= LEAST_FRAMES) & (good.mean(1) >= LEAST_SHARE)
+
+
 def is_voiced(samples, rate: int = RATE) -> bool:
-    """Whether enough whole frames are like speech."""
-    own, size = np.asarray([] if samples is None else samples, np.float64), int(rate * FRAME_MS / 1000)
-    if size < 2 or len(own) < size:
-        return False
-    frames = own[: len(own) // size * size].reshape(-1, size)
-    changes = (np.diff(np.signbit(frames).astype(np.int8), axis=1) != 0).mean(1)
-    good = (np.sqrt((frames * frames).mean(1)) >= LEAST_RMS) & (np.abs(frames).max(1) >= LEAST_PEAK) & (changes >= CHANGES[0]) & (changes <= CHANGES[1])
-    return bool(good.sum() >= LEAST_FRAMES and good.mean() >= LEAST_SHARE)
+    own = np.asarray([] if samples is None else samples, np.float64)
+    return bool(are_voiced(own[None, :], rate)[0])
+
+
+def sound(signals: np.ndarray, rate: int = RATE) -> tuple[np.ndarray, np.ndarray]:
+    """Where the sound of each row begins and ends, with a margin; nothing of a silent signal."""
+    loud, n, pad = np.abs(signals) >= EDGE, signals.shape[1], int(PAD * rate)
+    if not n:
+        return np.zeros(len(signals), np.int64), np.zeros(len(signals), np.int64)
+    some = loud.any(1)
+    first, last = loud.argmax(1), n - 1 - loud[:, ::-1].argmax(1)
+    return np.where(some, np.maximum(0, first - pad), 0), np.where(some, np.minimum(n, last + pad + 1), 0)
 
 
 def without_silence(samples, rate: int = RATE) -> np.ndarray:
-    """Without the silent ends, but for a margin; nothing of a silent signal."""
+    """Without the silent ends, but for a margin."""
     own = np.asarray([] if samples is None else samples, np.float64)
-    at = np.flatnonzero(np.abs(own) >= EDGE)
-    pad = int(PAD * rate)
-    return own[max(0, at[0] - pad) : at[-1] + pad + 1] if len(at) else own[:0]
+    lo, hi = sound(own[None, :], rate)
+    return own[lo[0] : hi[0]]
 
 
 def clauses(sentence: str, most: int) -> list[str]:
@@ -56,14 +74,35 @@ def clauses(sentence: str, most: int) -> list[str]:
     return done
 
 
-@F.pandas_udf(BooleanType())
-def voiced(samples: pd.Series) -> pd.Series:
-    return samples.map(is_voiced).astype(bool)
+#: Signals that are compared at once.
+TOGETHER = 256
+
+
+def _signals(samples: pa.Array):
+    """(first row, one signal a row) of rows of one length that follow one another; a null signal is empty. Samples that are null are not numbers."""
+    sizes = pc.fill_null(pc.list_value_length(samples), 0).to_numpy(zero_copy_only=False)
+    lo = 0
+    while lo < len(sizes):
+        other = np.flatnonzero(sizes[lo : lo + TOGETHER] != sizes[lo])
+        n = int(other[0]) if len(other) else min(TOGETHER, len(sizes) - lo)
+        yield lo, samples.slice(lo, n).flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(n, int(sizes[lo]))
+        lo += n
+
+
+@F.arrow_udf(BooleanType())
+def voiced(samples: pa.Array) -> pa.Array:
+    return pa.array(np.concatenate([np.zeros(0, bool), *(are_voiced(own) for _, own in _signals(samples))]))
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def trimmed(samples: pd.Series) -> pd.Series:
-    return pd.Series([without_silence(s) for s in samples], dtype=object)
+@F.arrow_udf(ArrayType(DoubleType()))
+def trimmed(samples: pa.Array) -> pa.Array:
+    sizes, parts = [np.zeros(1, np.int64)], [np.zeros(0)]
+    for _, own in _signals(samples):
+        lo, hi = sound(own)
+        sizes.append(hi - lo)
+        at = np.arange(own.shape[1])
+        parts.append(own[(at >= lo[:, None]) & (at < hi[:, None])])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32)), pa.array(np.concatenate(parts)))
 
 
 def split_clauses(most: int):

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.batches import sliced
+from tessera.session import ship_package
+
 
 def first_rows(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key."""
@@ -64,3 +70,31 @@ def repeating(df: DataFrame, key: str, words: int, times: int) -> DataFrame:
     runs = own.select(key, F.concat_ws(" ", "word", *(F.lead("word", i).over(w) for i in range(1, words))).alias("run"), F.lead("word", words - 1).over(w).alias("last")).where("last IS NOT NULL")
     often = runs.groupBy(key, "run").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= times).select(key).distinct().withColumn("repeats", F.lit(True))
     return df.join(often, key, "left").fillna(False, ["repeats"])
+
+
+def _trigrams(batches, least: int):
+    """(key, gram, n) of texts: their word trigrams that each has so often."""
+    for whole in batches:
+        for batch in sliced(whole, 1):
+            rows, grams, counts = [], [], []
+            for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+                # bytes are parted at ASCII white space
+                words = (text or b"").split()
+                for gram, n in Counter(zip(words, words[1:], words[2:])).items():
+                    if n >= least:
+                        rows.append(i)
+                        grams.append(b" ".join(gram).decode())
+                        counts.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(grams, pa.string()), pa.array(counts, pa.int64())], names=["key", "gram", "n"])
+
+
+def repeated_trigrams(documents: DataFrame, key: str, least: int) -> DataFrame:
+    """(key, gram, n): the word trigrams, in lower case, that a document has at least so often. Each row is counted where it lies; only keys are shuffled, and the trigrams of keys that several rows have."""
+    ship_package(documents.sparkSession)
+    kind = f"key {documents.schema[key].dataType.simpleString()}, gram string, n long"
+    rows = documents.select(F.col(key).alias("key"), F.lower("text").alias("text"))
+    often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("key").alias("again"))
+    same = F.col("key").eqNullSafe(F.col("again"))
+    single = rows.join(often, same, "left_anti").mapInArrow(lambda b: _trigrams(b, least), kind)
+    shared = rows.join(often, same, "left_semi").mapInArrow(lambda b: _trigrams(b, 1), kind).groupBy("key", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return single.unionAll(shared).select(F.col("key").alias(key), "gram", "n")

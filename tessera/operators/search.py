@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.batches import sliced
 from tessera.session import ship_package
 
 #: Queries that go to every worker at once; those that are scored together; rows of a block.
@@ -135,17 +136,19 @@ def term_lists(passages: DataFrame, key: str, text: str = "text", also: list[str
     ship_package(passages.sparkSession)
 
     def listed(batches):
-        for batch in batches:
-            words = pc.split_pattern_regex(pc.fill_null(batch.column(1), ""), GAPS)
-            flat = words.flatten().dictionary_encode()
-            row = np.repeat(np.arange(batch.num_rows), words.value_lengths().to_numpy(zero_copy_only=False))
-            code, names = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.dictionary
-            full = pc.not_equal(names, "").to_numpy(zero_copy_only=False)[code] if len(code) else np.zeros(0, bool)
-            row, code = row[full], code[full]
-            pair, count = np.unique(row * max(1, len(names)) + code, return_counts=True)
-            bounds = np.searchsorted(pair // max(1, len(names)), np.arange(batch.num_rows + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(bounds), names.take(pa.array(pair % max(1, len(names))))), pa.ListArray.from_arrays(pa.array(bounds), pa.array(count.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(row, minlength=batch.num_rows)), *lists, *batch.columns[2:]], names=["key", "size", "terms", "counts", *also])
+        for whole in batches:
+            # few texts at a time, however large the batches are that come
+            for batch in sliced(whole, 1):
+                words = pc.split_pattern_regex(pc.fill_null(batch.column(1), ""), GAPS)
+                flat = words.flatten().dictionary_encode()
+                row = np.repeat(np.arange(batch.num_rows), words.value_lengths().to_numpy(zero_copy_only=False))
+                code, names = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.dictionary
+                full = pc.not_equal(names, "").to_numpy(zero_copy_only=False)[code] if len(code) else np.zeros(0, bool)
+                row, code = row[full], code[full]
+                pair, count = np.unique(row * max(1, len(names)) + code, return_counts=True)
+                bounds = np.searchsorted(pair // max(1, len(names)), np.arange(batch.num_rows + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(bounds), names.take(pa.array(pair % max(1, len(names))))), pa.ListArray.from_arrays(pa.array(bounds), pa.array(count.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(row, minlength=batch.num_rows)), *lists, *batch.columns[2:]], names=["key", "size", "terms", "counts", *also])
 
     kinds = "".join(f", {c} {passages.schema[c].dataType.simpleString()}" for c in also)
     return passages.select(F.col(key).cast("long").alias("key"), F.lower(text).alias("text"), *also).mapInArrow(listed, f"key long, size long, terms array<string>, counts array<int>{kinds}")
@@ -168,7 +171,8 @@ def statistics(lists: DataFrame, terms: pa.Array) -> tuple[int, float, np.ndarra
         n, size, df = 0, 0, np.zeros(len(sent.value), np.int64)
         for batch in batches:
             n, size = n + batch.num_rows, size + (pc.sum(batch.column("size")).as_py() or 0)
-            df += np.bincount(_hits(batch, sent.value)[1], minlength=len(df))
+            for lo in range(0, batch.num_rows, ROWS):
+                df += np.bincount(_hits(batch.slice(lo, ROWS), sent.value)[1], minlength=len(df))
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-2, -1], at])), pa.array(np.concatenate([[n, size], df[at]]))], names=["term", "n"])
 

@@ -272,11 +272,9 @@ def pe11(spark, d):
 
 @query("ag13_trigram_counts", "WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \\t\\n\\r\\f\\v]+'), lambda t: t <> '') AS t FROM documents), g AS (SELECT doc_id, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) AS gram FROM w WHERE len(t) >= 3) SELECT doc_id, gram, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 3")
 def ag13(spark, d):
-    from tessera.functions.text import tokens
+    from tessera.operators import rollups as A
 
-    words = table(spark, d, "documents").select("doc_id", tokens(F.lower("text")).alias("t")).where(F.size("t") >= 3)
-    grams = words.select("doc_id", F.explode(F.arrays_zip(F.col("t").alias("a"), F.slice("t", F.lit(2), F.size("t")).alias("b"), F.slice("t", F.lit(3), F.size("t")).alias("c"))).alias("g")).where("g.c IS NOT NULL")
-    return grams.groupBy("doc_id", F.concat_ws(" ", "g.a", "g.b", "g.c").alias("gram")).agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    return A.repeated_trigrams(table(spark, d, "documents"), "doc_id", 3)
 
 
 @query("ag14_latency", "SELECT l_orderkey, CAST(sum(trunc(l_quantity)) AS BIGINT) AS accounted, 400 AS wall, CAST(400 - sum(trunc(l_quantity)) AS BIGINT) AS unaccounted, arg_max(l_shipmode, (q, l_shipmode)) AS slowest FROM (SELECT *, CAST(trunc(l_quantity) AS BIGINT) AS q, 'span' || l_linenumber AS l_shipmode FROM lineitem) GROUP BY l_orderkey")
