@@ -13,18 +13,21 @@
    places in the second text gives each anchor its best predecessor.
 4. Alignment. Chains are extended at both ends while words agree (score +1, -2, stop 6 below the
    best), and the longest common subsequence of the two passages must cover at least ``percent`` of
-   the longer one, which must have at least ``min_words`` words in both texts.
+   the longer one, which must have at least ``min_words`` words in both texts. A chain that fails is
+   parted at its widest gap and its parts are looked at in the same way: two passages far apart may be
+   one chain, but are not one passage. Of one pair, chains inside passages that are found are left out.
 5. The rest. One leader for each seed can hold only a part of what two others share. Seed places
-   outside the passages found so far are open. Open places of a seed are put in the order of the seeds
-   that follow them, and documents side by side there are compared on all their shared seeds, by chains
-   and alignment as before: rows are linear in the places, however many documents share a seed. Of all
+   outside the passages found so far are open. Places of a seed are put in the order of the seeds that
+   follow them, and documents side by side there, of which one place is open or whose classes so far
+   differ, are compared on all their shared seeds, each place with each, by chains and alignment as
+   before: rows are linear in the places, however many documents share a seed. Of all
    documents with a seed, those with the longest common continuation stand together, so a document's
    neighbours share as much with it as any other does; passages of ``min_words + window`` words that are
    alike word for word are so never lost to a leader that holds a part. The order is dealt by ranges
    of (seed, continuation, document), so that a frequent seed is no single task.
 6. Classes. Documents that share passages, directly or not, form a class, by alternating stars. Links
-   are not listed for all pairs: where two documents' passage is known from others, they may stay in
-   two classes if those others have no passage in common.
+   are not listed for all pairs: within a class, a document's passages are linked to some other that has
+   them.
 
 Result: one row per document that has such a passage, none for others.
 
@@ -33,7 +36,8 @@ their whole texts; repeats within one document, and rows that repeat a doc_id, d
 another document; ties go to the smaller document and the earlier place; an empty table gives no
 rows; rows with a null doc_id are left out; other columns are not read.
 
-A very long text's words and seeds are held by one task.
+A very long text's words and seeds are held by one task. So are, of two texts that repeat the same seeds
+over and over, the diagonals on which they agree (not the places: these are met in blocks).
 """
 
 from __future__ import annotations
@@ -52,8 +56,8 @@ from .shared import Scratch, Words, buffers, mix, perhaps, runs
 SLICE = 1 << 20
 #: Frequent seeds that are salted, at most; they go to every worker.
 MAX_HOT = 50_000
-#: Matches of one seed in two documents that the exact step lists all; of more, the i-th place is matched with the i-th.
-FEW = 16
+#: Matches of two documents' places that are held at once, about.
+MATCHES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -132,10 +136,11 @@ def _led(batches):
     """Of rows sorted by (seed, salt, times descending, doc, at): a row (a, x, b, y, seed) for each place in another document than the group's first, and one (a, x, -, times, seed) that is marked as up for each place of the first of a salted group.
 
     The i-th place in a document is matched with the i-th of the first document, or with its last if
-    it has fewer: so texts that repeat a few words over and over match in order."""
+    it has fewer: so texts that repeat a few words over and over match in order. Places of the first
+    document beyond those that the next one has are matched with that one's last, so that none is left out."""
 
-    def matched(cols, known):
-        """known: so many rows at the start are the first document of the first group, met before."""
+    def matched(cols, known, told):
+        """known: so many rows at the start are the first document of the first group, met before; told: with another document."""
         seed, salt, doc, at, times = cols
         n = len(seed)
         new = np.append(True, (seed[1:] != seed[:-1]) | (salt[1:] != salt[:-1]))
@@ -148,18 +153,26 @@ def _led(batches):
         place = at[head + np.minimum(np.arange(n) - begins[part], led - 1)]
         other = doc[head] != doc
         up = np.flatnonzero(~other & (salt > 0) & (np.arange(n) >= known))
+        # the document after the first one of a group
+        after = np.minimum(part[heads] + 1, len(begins) - 1)
+        single = group[begins[after]] != np.arange(len(heads))
+        single |= after == part[heads]
+        single[0] |= told
+        beyond = np.flatnonzero(~other & ~single[group] & (np.arange(n) - begins[part] >= sizes[after][group]))
+        last = (begins[after] + sizes[after] - 1)[group[beyond]]
+        other = np.flatnonzero(other)
         none = len(up)
-        kept = int(other.sum())
+        kept = len(other) + len(beyond)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.append(doc[head][other], doc[up])), pa.array(np.append(place[other], at[up]).astype(np.int32)),
-                pa.array(np.append(doc[other], np.zeros(none, np.int64))), pa.array(np.append(at[other], times[up]).astype(np.int32)),
-                pa.array(np.append(seed[other], seed[up])), pa.array(np.append(np.zeros(kept, bool), np.ones(none, bool))),
+                pa.array(np.concatenate([doc[head][other], doc[beyond], doc[up]])), pa.array(np.concatenate([place[other], at[beyond], at[up]]).astype(np.int32)),
+                pa.array(np.concatenate([doc[other], doc[last], np.zeros(none, np.int64)])), pa.array(np.concatenate([at[other], at[last], times[up]]).astype(np.int32)),
+                pa.array(np.concatenate([seed[other], seed[beyond], seed[up]])), pa.array(np.append(np.zeros(kept, bool), np.ones(none, bool))),
             ],
             names=["a", "x", "b", "y", "seed", "up"],
         )
 
-    held, known = None, 0
+    held, known, told = None, 0, False
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -173,13 +186,13 @@ def _led(batches):
         tail = first + int(own[-1]) + 1 if len(own) else first  # the document that may go on in the next batch
         lead = first + int((doc[first:tail] == doc[first]).sum()) if tail > first else first
         if tail > known:
-            yield matched([c[:tail] for c in cols], known)
-            known = lead - first
+            yield matched([c[:tail] for c in cols], known, told)
+            known, told = lead - first, tail > lead or (first == 0 and told)
         elif tail == first:
-            known = 0
+            known, told = 0, False
         held = [np.concatenate([c[first:lead], c[tail:]]) for c in cols]
     if held is not None:
-        yield matched(held, known)
+        yield matched(held, known, told)
 
 
 class Fenwick:
@@ -205,24 +218,38 @@ class Fenwick:
         return value, who
 
 
-def anchors(x: np.ndarray, y: np.ndarray, s: Settings) -> list[tuple[int, int, int]]:
-    """Matches of k words as (x, y, words): neighbours on one diagonal, no further apart than seeds may be, are one anchor."""
+def _joined(x: np.ndarray, y: np.ndarray, size: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of stretches (x, y, words): neighbours on one diagonal, no further apart than seeds may be, as one."""
     d = x - y
     order = np.lexsort((y, d))
-    x, y, d = x[order], y[order], d[order]
+    x, y, d, size = x[order], y[order], d[order], size[order]
     new = np.ones(len(x), bool)
-    new[1:] = (d[1:] != d[:-1]) | (y[1:] - y[:-1] > s.reach)
+    new[1:] = (d[1:] != d[:-1]) | (y[1:] - y[:-1] - size[:-1] + s.k > s.reach)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(x)) - 1
-    return sorted(zip(x[first].tolist(), y[first].tolist(), (y[last] - y[first] + s.k).tolist()))
+    return x[first], y[first], y[last] + size[last] - y[first]
+
+
+def anchors(x: np.ndarray, y: np.ndarray, s: Settings) -> list[tuple[int, int, int]]:
+    """Matches of k words as (x, y, words): neighbours on one diagonal, no further apart than seeds may be, are one anchor."""
+    return sorted(zip(*(c.tolist() for c in _joined(x, y, np.full(len(x), s.k), s))))
 
 
 def chain(found: list[tuple[int, int, int]], s: Settings) -> list[tuple[int, int, int, int]]:
     """(x begin, x end, y begin, y end) of the chains of anchors that are sorted by (x, y), best first, each anchor in one of them."""
+    return [_span(own) for own in chains(found, s)]
+
+
+def _span(own: list[tuple[int, int, int]]) -> tuple[int, int, int, int]:
+    """(x begin, x end, y begin, y end) of anchors in their order."""
+    return own[0][0], max(x + m for x, _, m in own), own[0][1], max(y + m for _, y, m in own)
+
+
+def chains(found: list[tuple[int, int, int]], s: Settings) -> list[list[tuple[int, int, int]]]:
+    """The anchors of each chain."""
     n, c = len(found), s.gap_cost
     if n == 1:
-        x, y, m = found[0]
-        return [(x, x + m, y, y + m)]
+        return [found]
     places = sorted({y for _, y, _ in found})
     tree, score, back = Fenwick(len(places)), [0.0] * n, [-1] * n
     i = 0
@@ -242,23 +269,39 @@ def chain(found: list[tuple[int, int, int]], s: Settings) -> list[tuple[int, int
     for i in sorted(range(n), key=lambda i: -score[i]):
         if used[i]:
             continue
-        x, y, m = found[i]
-        x1, y1, x0, y0, at = x + m, y + m, x, y, i
+        own, at = [], i
         while at >= 0 and not used[at]:
             used[at] = True
-            x0, y0 = found[at][:2]
-            x1, y1 = max(x1, x0 + found[at][2]), max(y1, y0 + found[at][2])
+            own.append(found[at])
             at = back[at]
-        out.append((x0, x1, y0, y1))
+        out.append(own[::-1])
     return out
 
 
+def _rows(a: int, b: int, found: list[tuple[int, int, int]], s: Settings):
+    """A row of a pair's chains that are wide enough: the range that they lie in, and (chain, x, y, words) of their anchors, best chain first."""
+    own = [c for c in chains(found, s) if _wide(_span(c), s)]
+    if own:
+        x0, x1, y0, y1 = zip(*map(_span, own))
+        yield a, b, min(x0), max(x1), min(y0), max(y1), np.array([(i, *z) for i, c in enumerate(own) for z in c], np.int32).tobytes()
+
+
+def _wide(span: tuple[int, int, int, int], s: Settings) -> bool:
+    return span[1] - span[0] >= s.least and span[3] - span[2] >= s.least
+
+
+def _chain_batch(rows: list[tuple]) -> pa.RecordBatch:
+    got = list(zip(*rows)) or [()] * 7
+    kinds = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(got, kinds)], names=["a", "b", "x0", "x1", "y0", "y1", "anchors"])
+
+
 def _chained(batches, s: Settings):
-    """Chains (a, b, x0, x1, y0, y1) of rows sorted by (a, b)."""
+    """Chains (a, b, x0, x1, y0, y1, anchors) of rows sorted by (a, b)."""
     least = s.least
     held: list[np.ndarray] | None = None
 
-    def chains(cols):
+    def chained(cols):
         a, b, x, y = cols
         new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
         lo = np.flatnonzero(new)
@@ -266,11 +309,8 @@ def _chained(batches, s: Settings):
         wide = (np.maximum.reduceat(y, lo) - np.minimum.reduceat(y, lo) + s.k >= least) & (np.maximum.reduceat(x, lo) - np.minimum.reduceat(x, lo) + s.k >= least)
         rows = []
         for i, j in zip(lo[wide].tolist(), hi[wide].tolist()):
-            for x0, x1, y0, y1 in chain(anchors(x[i:j], y[i:j], s), s):
-                if x1 - x0 >= least and y1 - y0 >= least:
-                    rows.append((int(a[i]), int(b[i]), x0, x1, y0, y1))
-        got = list(zip(*rows)) or [()] * 6
-        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if k < 2 else pa.int32()) for k, v in enumerate(got)], names=["a", "b", "x0", "x1", "y0", "y1"])
+            rows += _rows(int(a[i]), int(b[i]), anchors(x[i:j], y[i:j], s), s)
+        return _chain_batch(rows)
 
     for batch in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -284,9 +324,9 @@ def _chained(batches, s: Settings):
         cut = int(same[-1]) + 1 if len(same) else 0
         held = [c[cut:] for c in cols]
         if cut:
-            yield chains([c[:cut] for c in cols])
+            yield chained([c[:cut] for c in cols])
     if held is not None and len(held[0]):
-        yield chains(held)
+        yield chained(held)
 
 
 def _small(hashes: np.ndarray) -> np.ndarray:
@@ -301,11 +341,11 @@ def _cut_out(batches, s: Settings):
     """The words of each chain in text a, with a margin."""
     for batch in batches:
         doc, words, out = None, None, []
-        for a, x0, x1, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(6)):
+        for a, x0, x1, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(7)):
             if a != doc:
                 doc, words = a, _word_hashes(text.as_py())
             out.append(words[max(0, x0 - 2 * s.reach) : x1 + 2 * s.reach].tobytes())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(out, pa.binary())], names=["a", "b", "x0", "x1", "y0", "y1", "words"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(out, pa.binary())], names=["a", "b", "x0", "x1", "y0", "y1", "anchors", "words"])
 
 
 def extend(p: np.ndarray, q: np.ndarray, i: int, j: int, step: int) -> int:
@@ -337,23 +377,56 @@ def common(p: np.ndarray, q: np.ndarray) -> int:
     return len(p) - v.bit_count()
 
 
+def _both(p: np.ndarray, q: np.ndarray) -> int:
+    """How many words both have, each as often as the one that has it less often."""
+    (v, n), (w, m) = (np.unique(x, return_counts=True) for x in (p, q))
+    _, i, j = np.intersect1d(v, w, assume_unique=True, return_indices=True)
+    return int(np.minimum(n[i], m[j]).sum())
+
+
+def passages(p: np.ndarray, base: int, q: np.ndarray, found: list[tuple[int, int, int]], s: Settings):
+    """(x0, x1, y0, y1, share) of a chain's anchors if that is a passage; else of the parts on both sides of its widest gap. p: the words of the first text from base on, q: those of the second."""
+    todo = [found]
+    while todo:
+        own = todo.pop()
+        x0, x1, y0, y1 = _span(own)
+        if min(x1 - x0, y1 - y0) < s.least:
+            continue
+        left = extend(p, q, x0 - base - 1, y0 - 1, -1)
+        right = extend(p, q, x1 - base, y1, 1)
+        x0, x1, y0, y1 = x0 - left, x1 + right, y0 - left, y1 + right
+        if min(x1 - x0, y1 - y0) < s.min_words:
+            continue
+        longer = max(x1 - x0, y1 - y0)
+        one, other = p[x0 - base : x1 - base], q[y0:y1]
+        # the subsequence has at most the words that both have, however ordered
+        n = common(one, other) if 100 * _both(one, other) >= s.percent * longer else 0
+        if 100 * n >= s.percent * longer:
+            yield x0, x1, y0, y1, n / longer
+        elif len(own) > 1:
+            at = max(range(1, len(own)), key=lambda i: own[i][0] + own[i][1] - own[i - 1][0] - own[i - 1][1] - 2 * own[i - 1][2])
+            todo += [own[at:], own[:at]]
+
+
 def _aligned(batches, s: Settings):
     """The chains that are passages: a, b, x0, x1, y0, y1 after extension, and the share of words in common."""
     for batch in batches:
         doc, words, rows = None, None, []
-        cols = [batch.column(i).to_pylist() for i in range(7)]
-        for a, b, x0, x1, y0, y1, raw, text in zip(*cols, batch.column(7)):
+        cols = [batch.column(i).to_pylist() for i in (0, 1, 2, 6, 7)]
+        for a, b, x0, found, raw, text in zip(*cols, batch.column(8)):
             if b != doc:
                 doc, words = b, _word_hashes(text.as_py())
-            p, base = np.frombuffer(raw, np.uint32), max(0, x0 - 2 * s.reach)
-            left = extend(p, words, x0 - base - 1, y0 - 1, -1)
-            right = extend(p, words, x1 - base, y1, 1)
-            x0, x1, y0, y1 = x0 - left, x1 + right, y0 - left, y1 + right
-            if min(x1 - x0, y1 - y0) < s.min_words:
-                continue
-            n, longer = common(p[x0 - base : x1 - base], words[y0:y1]), max(x1 - x0, y1 - y0)
-            if 100 * n >= s.percent * longer:
-                rows.append((a, b, x0, x1, y0, y1, n / longer))
+            p, base, found = np.frombuffer(raw, np.uint32), max(0, x0 - 2 * s.reach), np.frombuffer(found, np.int32).reshape(-1, 4)
+            known = np.zeros(len(p), bool), np.zeros(len(words), bool)
+            for own in np.split(found[:, 1:], np.flatnonzero(np.diff(found[:, 0])) + 1):
+                own = list(map(tuple, own.tolist()))
+                lo, hi, low, high = _span(own)
+                # where both texts have passages of this pair already, shifted ones say nothing more
+                if known[0][lo - base : hi - base].all() and known[1][low:high].all():
+                    continue
+                for x in passages(p, base, words, own, s):
+                    known[0][x[0] - base : x[1] - base], known[1][x[2] : x[3]] = True, True
+                    rows.append((a, b, *x))
         got = list(zip(*rows)) or [()] * 7
         kinds = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.float64()]
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(got, kinds)], names=["a", "b", "x0", "x1", "y0", "y1", "share"])
@@ -394,7 +467,7 @@ def _places(batches):
 
 
 def _open(batches, s: Settings):
-    """Of places (hi = 0) and known passages (at to hi), sorted by doc: the places that may belong to a passage which is not known whole, whether they are open, and the seeds that follow there."""
+    """Of places (hi = 0) and known passages (at to hi), sorted by doc: the places that may belong to a passage, whether they are open, as none is known there, and the seeds that follow."""
     for doc, at, hi, seed in _whole(batches, 4):
         line = _line(doc, at.astype(np.int64))
         known = np.flatnonzero(hi > 0)
@@ -412,7 +485,7 @@ def _open(batches, s: Settings):
             count = lambda low, high: np.searchsorted(among, place + high, side="right") - np.searchsorted(among, place + low)
             return (count(s.least - s.k, s.apart) > 0) | (count(-s.apart, s.k - s.least) > 0)
 
-        wanted = (near(place) & free) | near(place[free])
+        wanted = near(place)
         if wanted.any():
             small = (seed[own].view(np.uint64) >> np.uint64(32)).astype(">u4")
             small, far = np.append(small, np.zeros(s.ahead, ">u4")), np.append(place, np.full(s.ahead, 1 << 62))
@@ -427,7 +500,7 @@ NEIGHBOURS = "a long, b long, alike int, seed long, context binary, open boolean
 
 
 def _neighbours(batches, s: Settings):
-    """Of rows (doc, seed, open, context) in the order of (seed, context): pairs of documents that stand side by side at a seed and the seeds that both have after it; and, with b null, the first and last row of the task, as a neighbour may be in another one."""
+    """Of rows (doc, seed, open, context) in the order of (seed, context): pairs of documents that stand side by side at a seed, the seeds that both have after it, and whether one place is open; and, with b null, the first and last row of the task, as a neighbour may be in another one."""
     last, first = None, None
 
     def out(a, b, alike, seed, context, free):
@@ -442,9 +515,9 @@ def _neighbours(batches, s: Settings):
         context = np.frombuffer(b"".join(batch.column(3).to_pylist()), ">u4").reshape(-1, s.ahead)
         if first is None:
             first = batch.slice(0, 1)
-        i = np.flatnonzero((seed[1:] == seed[:-1]) & (doc[1:] != doc[:-1]) & (free[1:] | free[:-1]))
+        i = np.flatnonzero((seed[1:] == seed[:-1]) & (doc[1:] != doc[:-1]))
         alike = np.cumprod((context[i] == context[i + 1]) & (context[i] != 0), axis=1).sum(1)
-        yield out(np.minimum(doc[i], doc[i + 1]), np.maximum(doc[i], doc[i + 1]), alike, seed[i], [None] * len(i), [True] * len(i))
+        yield out(np.minimum(doc[i], doc[i + 1]), np.maximum(doc[i], doc[i + 1]), alike, seed[i], pa.nulls(len(i), pa.binary()), free[i] | free[i + 1])
         last = batch.slice(batch.num_rows - 1, 1)
     for edge in (first, last):
         if edge is not None:
@@ -462,54 +535,55 @@ def _packed(batches, s: Settings):
         yield pa.RecordBatch.from_arrays([pa.array(doc[bounds[:-1]]), pa.array([r[0] for r in raw], pa.binary()), pa.array([r[1] for r in raw], pa.binary())], names=["doc", "seeds", "places"])
 
 
-def crossed(p: np.ndarray, x: np.ndarray, q: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places x, y of equal seeds p, q: all with all where a seed has ``FEW`` matches; of a seed that both texts repeat more often, the i-th with the i-th (or the last), as in the first pass."""
-    i, j = np.lexsort((x, p)), np.lexsort((y, q))
-    p, x, q, y = p[i], x[i], q[j], y[j]
-    lo, hi = np.searchsorted(q, p), np.searchsorted(q, p, side="right")
-    first = np.searchsorted(p, p)
-    few = (np.searchsorted(p, p, side="right") - first) * (hi - lo) <= FEW
-    count = np.where(few, hi - lo, 0)
-    own = np.repeat(np.arange(len(p)), count)
-    found = [(x[own], y[np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count) + lo[own]])]
-    many = np.flatnonzero(~few)
-    if len(many):
-        found.append((x[many], y[np.minimum(lo[many] + many - first[many], hi[many] - 1)]))
-    x, y = (np.concatenate(c) for c in zip(*found))
-    return x.astype(np.int64), y.astype(np.int64)
+def crossed(p: np.ndarray, x: np.ndarray, q: np.ndarray, y: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches (x, y, words) of equal seeds p, q at places x, y, each place with each. Those of so many places that about ``MATCHES`` matches arise are met at once and joined by diagonals: texts that repeat a few words over and over have few of these."""
+    i, j = np.argsort(x, kind="stable"), np.lexsort((y, q))
+    p, x, q, y = p[i], x[i].astype(np.int64), q[j], y[j].astype(np.int64)
+    lo = np.searchsorted(q, p)
+    count = np.searchsorted(q, p, side="right") - lo
+    ends = np.cumsum(count)
+    found, begin = [np.zeros(0, np.int64)] * 3, 0
+    while begin < len(p):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + MATCHES, side="right")))
+        n, own = count[begin:end], np.repeat(np.arange(begin, end), count[begin:end])
+        at = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + lo[own]
+        met = x[own], y[at], np.full(len(own), s.k)
+        found = list(_joined(*(np.concatenate(c) for c in zip(found, met)), s))
+        begin = end
+    return tuple(found)
 
 
 def _compared(batches, s: Settings):
-    """Chains (a, b, x0, x1, y0, y1) of pairs with the seeds and places of both."""
+    """Chains (a, b, x0, x1, y0, y1, anchors) of pairs with the seeds and places of both."""
     for batch in batches:
         rows = []
         a, b, *raw = (batch.column(i).to_pylist() for i in range(6))
         for one, other, p, x, q, y in zip(a, b, *raw):
-            x, y = crossed(np.frombuffer(p, np.int64), np.frombuffer(x, np.int32), np.frombuffer(q, np.int64), np.frombuffer(y, np.int32))
-            if len(x) < 2 or x.max() - x.min() + s.k < s.least or y.max() - y.min() + s.k < s.least:
+            x, y, size = crossed(np.frombuffer(p, np.int64), np.frombuffer(x, np.int32), np.frombuffer(q, np.int64), np.frombuffer(y, np.int32), s)
+            if not len(x) or (x + size).max() - x.min() < s.least or (y + size).max() - y.min() < s.least:
                 continue
-            rows += [(one, other, *c) for c in chain(anchors(x, y, s), s) if c[1] - c[0] >= s.least and c[3] - c[2] >= s.least]
-        got = list(zip(*rows)) or [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if k < 2 else pa.int32()) for k, v in enumerate(got)], names=["a", "b", "x0", "x1", "y0", "y1"])
+            rows += _rows(one, other, sorted(zip(x.tolist(), y.tolist(), size.tolist())), s)
+        yield _chain_batch(rows)
 
 
-CHAINS = "a long, b long, x0 int, x1 int, y0 int, y1 int"
+SPANS = "a long, b long, x0 int, x1 int, y0 int, y1 int"
+CHAINS = f"{SPANS}, anchors binary"
 
 
 def _verified(chains: DataFrame, source: DataFrame, s: Settings, scratch: Scratch, name: str) -> DataFrame:
     """The chains that are passages, written. Only texts of documents in chains are shuffled."""
     chains = scratch.save(chains, f"chains{name}")
     texts = perhaps(source, chains.select(F.col("a").alias("doc_id")).unionAll(chains.select("b")).distinct(), "doc_id")
-    first = meet(chains, texts.withColumnRenamed("doc_id", "a"), "a").select("a", "b", "x0", "x1", "y0", "y1", "text")
+    first = meet(chains, texts.withColumnRenamed("doc_id", "a"), "a").select("a", "b", "x0", "x1", "y0", "y1", "anchors", "text")
     cut = scratch.save(first.mapInArrow(lambda b: _cut_out(b, s), f"{CHAINS}, words binary"), f"cut{name}")
-    second = meet(cut, texts.withColumnRenamed("doc_id", "b"), "b").select("a", "b", "x0", "x1", "y0", "y1", "words", "text")
-    links = scratch.save(second.mapInArrow(lambda b: _aligned(b, s), f"{CHAINS}, share double"), f"links{name}")
+    second = meet(cut, texts.withColumnRenamed("doc_id", "b"), "b").select("a", "b", "x0", "x1", "y0", "y1", "anchors", "words", "text")
+    links = scratch.save(second.mapInArrow(lambda b: _aligned(b, s), f"{SPANS}, share double"), f"links{name}")
     scratch.drop(f"cut{name}", f"chains{name}")
     return links
 
 
 def _rest(pairs: DataFrame, links: DataFrame, s: Settings, scratch: Scratch) -> DataFrame:
-    """Chains between documents that share open places, whoever leads them."""
+    """Chains between documents that share open places, or are of different classes, whoever leads them."""
     kind = "doc long, at int, hi int, seed long"
     places = pairs.mapInArrow(_places, kind)
     known = links.select(F.col("a").alias("doc"), F.col("x0").alias("at"), F.col("x1").alias("hi")).unionAll(links.select("b", "y0", "y1")).distinct().withColumn("seed", F.lit(0).cast("long"))
@@ -518,8 +592,13 @@ def _rest(pairs: DataFrame, links: DataFrame, s: Settings, scratch: Scratch) ->
     beside = scratch.save(wanted.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda b: _neighbours(b, s), NEIGHBOURS), "beside")
     edges = beside.where("b is null").select(F.col("a").alias("doc"), "seed", "open", "context")
     across = edges.repartition("seed").sortWithinPartitions(*order).mapInArrow(lambda b: _neighbours(b, s), NEIGHBOURS)
-    met = beside.where("b is not null").unionAll(across.where("b is not null")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("alike").alias("alike"))
-    both = scratch.save(met.where((F.col("n") > 1) | (F.col("alike") > 1)).select("a", "b"), "met")
+    met = beside.where("b is not null").unionAll(across.where("b is not null")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("alike").alias("alike"), F.max("open").alias("open"))
+    met = scratch.save(met.where((F.col("n") > 1) | (F.col("alike") > 1)).select("a", "b", "open"), "met-all")
+    # what both are known to share with others links them already, if these are of one class
+    of = components(scratch, links.select("a", "b"), "known")
+    classes = [of.select(F.col("node").alias(n), F.col("component").alias(f"class_{n}")) for n in "ab"]
+    apart = meet(meet(met.where("not open"), classes[0], "a"), classes[1], "b").where("class_a <> class_b")
+    both = scratch.save(met.where("open").select("a", "b").unionAll(apart.select("a", "b")), "met")
     docs = both.select(F.col("a").alias("doc")).unionAll(both.select("b")).distinct()
     packed = perhaps(places, docs, "doc").repartition("doc").sortWithinPartitions("doc").mapInArrow(lambda b: _packed(b, s), "doc long, seeds binary, places binary")
     packed = scratch.save(packed, "packed")
@@ -549,7 +628,7 @@ def find_passages(documents: DataFrame, s: Settings = Settings(), scratch: Scrat
     chained = pairs.select("a", "b", "x", "y").repartition("a", "b").sortWithinPartitions("a", "b", "y", "x").mapInArrow(lambda b: _chained(b, s), CHAINS)
     links = _verified(chained, source, s, scratch, "")
     rest = _verified(_rest(pairs, links, s, scratch), source, s, scratch, "-rest")
-    scratch.drop("matches", "more", "wanted", "beside", "met", "packed")
+    scratch.drop("matches", "more", "wanted", "beside", "met-all", "met", "packed")
     return links.unionAll(rest).distinct()
 
 

@@ -240,6 +240,26 @@ def test_passages_whose_seeds_have_several_leaders(spark):
     assert set(got) == {0, 2, 3} and got[2]["spans"] == "40:120" and got[3]["spans"] == "0:80"
 
 
+def test_no_link_is_lost_to_repeats_gaps_or_other_documents(spark):
+    rng = np.random.default_rng(31)
+    fresh = lambda n: [f"u{x}" for x in rng.integers(0, 10**9, n)]
+    # every part of the passage stands many times in the second text before it stands there whole
+    whole = fresh(64)
+    parts = [whole[i : i + 16] for i in range(0, 64, 8)]
+    docs = [fresh(30) + whole, [w for _ in range(20) for part in parts for w in part + fresh(30)] + whole + fresh(20)]
+    # two passages far apart
+    one, two = fresh(60), fresh(60)
+    docs += [one + fresh(300) + two, one + fresh(300) + two]
+    # what the last two share is known of each from another document
+    left, right, middle = fresh(55), fresh(55), fresh(64)
+    docs += [left + middle[:44] + fresh(40), fresh(40) + middle[20:] + right, left + middle + fresh(30), fresh(30) + middle + right]
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["class_id"], r["spans"]) for r in substring_dedup.repeated_passages(df).collect()}
+    assert got.get(0) == (0, "30:94") and got[1][0] == 0
+    assert got.get(2) == got.get(3) == (2, "0:60,360:420")
+    assert [got[i][0] for i in range(4, 8)] == [4] * 4
+
+
 def test_chain_is_the_best_of_all_chains():
     rng, s = np.random.default_rng(8), substring_dedup.Settings()
     for _ in range(100):
