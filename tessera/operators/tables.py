@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,3 +109,10 @@ def chat_text(content: Column, parts: Column) -> Column:
     """The content, or else the texts of the text parts, joined by blanks."""
     texts = F.transform(F.filter(parts, lambda p: p["type"] == "text"), lambda p: p["text"])
     return F.coalesce(content, F.array_join(texts, " "))
+
+
+def of_each(rows: DataFrame, by: list[str], worked_out) -> DataFrame:
+    """rows with what is worked out of some of their columns, of equal values once: worked_out is a function of the table of these values, without repeats, that adds columns. Nulls are equal."""
+    found = worked_out(rows.select(*by).distinct())
+    same = reduce(lambda a, b: a & b, (F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in by))
+    return rows.alias("r").join(found.alias("f"), same).select("r.*", *(f"f.{c}" for c in found.columns if c not in by))

@@ -8,6 +8,7 @@ from tessera.functions import entities as E
 from tessera.functions import text as T
 from tessera.operators import geocode as C
 from tessera.operators import refine as X
+from tessera.operators.tables import of_each
 from tessera.plans.geo_queries import SQL_KM, SQL_PLACES
 from tessera.plans.geo_queries import places as sites
 from tessera.registry import query
@@ -146,8 +147,10 @@ def ge24(spark, d):
 
 @query("ge25_places_in_text", """SELECT event_id, 'Old ' || event_type || ',Rome,Nova Roma,Ostia,Alba,Veii' || CASE WHEN event_id % 2 = 0 THEN ',Gaul,Holy Land' ELSE '' END AS places FROM events""")
 def ge25(spark, d):
-    said = F.concat(F.lit('What of "Old '), "event_type", F.lit('" near Rome and Nova Roma, from near Ostia, between Alba and Veii, near rome itself or from Rome'), F.when(F.col("event_id") % 2 == 0, F.lit("; the holy land, gaul, gauls")).otherwise(""))
-    return table(spark, d, "events").select("event_id", F.array_join(E.places_in(said), ",").alias("places"))
+    said = F.concat(F.lit('What of "Old '), "event_type", F.lit('" near Rome and Nova Roma, from near Ostia, between Alba and Veii, near rome itself or from Rome'), F.when(F.col("even"), F.lit("; the holy land, gaul, gauls")).otherwise(""))
+    own = table(spark, d, "events").select("event_id", "event_type", (F.col("event_id") % 2 == 0).alias("even"))
+    # equal texts are looked through once
+    return of_each(own, ["event_type", "even"], lambda texts: texts.withColumn("places", F.array_join(E.places_in(said), ","))).select("event_id", "places")
 
 
 @query("ge26_expansion")

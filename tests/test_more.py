@@ -54,3 +54,18 @@ def test_cuts_blocks_and_spans(spark):
     ).first()
     assert row["a"] == ("One two. " * 22).rstrip() and row["b"] == text and row["c"] is None and row["d"] == "x" * 200
     assert row["e"] == 0 and row["f"] == 0 and not row["g"] and [tuple(s) for s in row["h"]] == [(1, 3), (5, 6)] and row["i"] == "Unknown page"
+
+
+def test_equal_values_are_worked_out_once(spark):
+    from tessera.operators.tables import of_each
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def longer(x):
+        seen.add(1)
+        return None if x is None else x + 1
+
+    rows = spark.createDataFrame([(i, None if i % 4 == 3 else i % 4) for i in range(400)], "id int, kind int")
+    got = of_each(rows, ["kind"], lambda kinds: kinds.withColumn("n", F.udf(longer, "int")("kind"))).collect()
+    assert len(got) == 400 and all(r["n"] == (None if r["kind"] is None else r["kind"] + 1) for r in got)
+    assert seen.value == 4
