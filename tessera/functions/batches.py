@@ -26,3 +26,12 @@ def sliced(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """The rows of a batch, a bounded size of one column's texts at a time."""
     for lo, n in cuts(batch.column(column)):
         yield batch.slice(lo, n)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str, rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches, a bounded size of one column's texts and so many rows at a time. A batch goes before the next one comes, if whoever takes a piece lets it go."""
+    for batch in batches:
+        for lo, n in cuts(batch.column(column)):
+            for at in range(lo, lo + n, rows):
+                yield batch.slice(at, min(rows, lo + n - at))
+        del batch

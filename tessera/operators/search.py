@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.batches import sliced
+from tessera.functions.batches import pieces, sliced
 from tessera.session import ship_package
 
 #: Queries that go to every worker at once; those that are scored together; rows of a block.
@@ -163,64 +163,92 @@ def _hits(batch, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row[hit], at[hit], counts.flatten().to_numpy(zero_copy_only=False)[hit]
 
 
-def statistics(lists: DataFrame, terms: pa.Array) -> tuple[int, float, np.ndarray]:
+def _of_lists(batches: Iterator[pa.RecordBatch], terms: pa.Array) -> Iterator[tuple]:
+    """(rows, their sizes, then row, term and count of the asked terms) of term lists, a block of rows at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, ROWS):
+            part = batch.slice(lo, ROWS)
+            yield part, part.column("size").to_numpy(zero_copy_only=False), *_hits(part, terms)
+
+
+def _of_texts(batches: Iterator[pa.RecordBatch], terms: pa.Array) -> Iterator[tuple]:
+    """The same of lower-cased texts, of a bounded size at a time: no list of a text's words leaves the task, and only asked words are counted."""
+    for part in pieces(batches, "text", ROWS):
+        words = pc.split_pattern_regex(pc.fill_null(part.column("text"), ""), GAPS)
+        row, flat = np.repeat(np.arange(part.num_rows), words.value_lengths().to_numpy(zero_copy_only=False)), words.flatten()
+        size = np.bincount(row[pc.not_equal(flat, "").to_numpy(zero_copy_only=False)], minlength=part.num_rows)
+        at = pc.fill_null(pc.index_in(flat, terms), -1).to_numpy(zero_copy_only=False)
+        hit = at >= 0
+        pair, count = np.unique(row[hit] * max(1, len(terms)) + at[hit], return_counts=True)
+        yield part, size, pair // max(1, len(terms)), pair % max(1, len(terms)), count
+        # else the batch that it is a part of stays while the next one is read
+        del part
+
+
+def statistics(rows: DataFrame, terms: pa.Array, read=_of_lists) -> tuple[int, float, np.ndarray]:
     """Number of passages, their mean size, and in how many each term occurs; one row a task and term meets in the sum."""
-    sent = lists.sparkSession.sparkContext.broadcast(terms)
+    sent = rows.sparkSession.sparkContext.broadcast(terms)
 
     def counted(batches):
-        n, size, df = 0, 0, np.zeros(len(sent.value), np.int64)
-        for batch in batches:
-            n, size = n + batch.num_rows, size + (pc.sum(batch.column("size")).as_py() or 0)
-            for lo in range(0, batch.num_rows, ROWS):
-                df += np.bincount(_hits(batch.slice(lo, ROWS), sent.value)[1], minlength=len(df))
+        n, total, df = 0, 0, np.zeros(len(sent.value), np.int64)
+        for part, size, _, term, _ in read(batches, sent.value):
+            n, total = n + part.num_rows, total + int(size.sum())
+            df += np.bincount(term, minlength=len(df))
+            del part
         at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-2, -1], at])), pa.array(np.concatenate([[n, size], df[at]]))], names=["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-2, -1], at])), pa.array(np.concatenate([[n, total], df[at]]))], names=["term", "n"])
 
     total, df = [0, 0], np.zeros(len(terms), np.int64)
-    for row in lists.mapInArrow(counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
+    for row in rows.mapInArrow(counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
         (df if row["term"] >= 0 else total)[row["term"]] = row["n"]
     return total[0], total[1] / max(1, total[0]), df
 
 
-def bm25_lists(lists: DataFrame, queries: DataFrame, key: str, query_key: str, k: int, *, text: str = "text", only: tuple[str, str] | None = None) -> DataFrame:
-    """BM25 over stored term lists: (query, passage, score, rank), the first k. only: a column of the lists and one of the queries that have to be equal where the query's is not null; counts stay those of all passages."""
-    spark, query_type, found = lists.sparkSession, queries.schema[query_key].dataType.simpleString(), []
+def _bm25(rows: DataFrame, read, queries: DataFrame, key: str, query_key: str, k: int, text: str, only: tuple[str, str] | None) -> DataFrame:
+    """BM25 over rows of (key, what read takes, only)."""
+    spark, query_type, found = rows.sparkSession, queries.schema[query_key].dataType.simpleString(), []
     ship_package(spark)
     for block in asked(queries, query_key, text=text, only=only and only[1]):
-        n, mean, df = statistics(lists, block.terms)
+        n, mean, df = statistics(rows, block.terms, read)
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         sent = spark.sparkContext.broadcast((block, list(block.groups()), idf, mean))
 
         def scored(batches, sent=sent):
             block, groups, idf, mean = sent.value
             best = Best(len(block.keys), k)
-            for batch in batches:
-                for lo in range(0, batch.num_rows, ROWS):
-                    part = batch.slice(lo, ROWS)
-                    row, term, tf = _hits(part, block.terms)
-                    size, keys = (part.column(c).to_numpy(zero_copy_only=False) for c in ("size", "key"))
-                    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[row] / mean))
-                    allowed = block.allowed(np.array(part.column("only").to_pylist(), object) if only else None)
-                    for first, terms, asks in groups:
-                        at = np.searchsorted(terms, term)
-                        own = np.flatnonzero(terms[np.minimum(at, len(terms) - 1)] == term) if len(terms) else np.zeros(0, np.int64)
-                        cells = np.zeros((part.num_rows, len(terms)))
-                        cells[row[own], at[own]] = weight[own]
-                        scores = np.round(cells @ asks, 6)
-                        fits = scores > 0
-                        if allowed is not None:
-                            fits &= allowed[:, first : first + fits.shape[1]]
-                        best.add(scores, keys, fits, first)
+            for part, size, row, term, tf in read(batches, block.terms):
+                keys = part.column("key").to_numpy(zero_copy_only=False)
+                weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[row] / mean))
+                allowed = block.allowed(np.array(part.column("only").to_pylist(), object) if only else None)
+                for first, terms, asks in groups:
+                    at = np.searchsorted(terms, term)
+                    own = np.flatnonzero(terms[np.minimum(at, len(terms) - 1)] == term) if len(terms) else np.zeros(0, np.int64)
+                    cells = np.zeros((part.num_rows, len(terms)))
+                    cells[row[own], at[own]] = weight[own]
+                    scores = np.round(cells @ asks, 6)
+                    fits = scores > 0
+                    if allowed is not None:
+                        fits &= allowed[:, first : first + fits.shape[1]]
+                    best.add(scores, keys, fits, first)
+                del part, keys
             yield best.batch()
 
-        rows = lists.select("key", "size", "terms", "counts", *([F.col(only[0]).cast("string").alias("only")] if only else []))
         found.append(_merged(rows.where(F.col("key").isNotNull()).mapInArrow(scored, "of int, key long, score double"), block, query_key, query_type, key, k))
     return _all(found, spark, f"{query_key} {query_type}, {key} long, score double, rank int")
 
 
+def _bound_to(only: tuple[str, str] | None) -> list:
+    return [F.col(only[0]).cast("string").alias("only")] if only else []
+
+
+def bm25_lists(lists: DataFrame, queries: DataFrame, key: str, query_key: str, k: int, *, text: str = "text", only: tuple[str, str] | None = None) -> DataFrame:
+    """BM25 over stored term lists: (query, passage, score, rank), the first k. only: a column of the lists and one of the queries that have to be equal where the query's is not null; counts stay those of all passages."""
+    return _bm25(lists.select("key", "size", "terms", "counts", *_bound_to(only)), _of_lists, queries, key, query_key, k, text, only)
+
+
 def bm25_topk(passages: DataFrame, queries: DataFrame, key: str, query_key: str, k: int, *, only: tuple[str, str] | None = None) -> DataFrame:
-    """The k passages of highest BM25 for each query. Texts are read twice, for the counts and for the scores; ``text_index`` keeps the lists."""
-    return bm25_lists(term_lists(passages, key, also=[only[0]] if only else []), queries, key, query_key, k, only=only)
+    """The k passages of highest BM25 for each query. Texts are read twice, for the counts and for the scores, by one Python worker a task; ``text_index`` keeps the lists."""
+    return _bm25(passages.select(F.col(key).cast("long").alias("key"), F.lower("text").alias("text"), *_bound_to(only)), _of_texts, queries, key, query_key, k, "text", only)
 
 
 # --- vectors ------------------------------------------------------------------

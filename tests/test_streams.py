@@ -57,6 +57,15 @@ def test_words_of_odd_texts(spark):
     assert [(r["doc_id"], r["rank"]) for r in got] == [(5, 1), (3, 2)]
 
 
+def test_texts_are_scored_by_one_worker_a_task(spark, capsys):
+    docs, items = Q.docs(spark, SF), Q.bench(spark, SF)
+    found = S.bm25_topk(docs, items, "doc_id", "item_id", 7)
+    found.explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+    stored = S.bm25_lists(S.term_lists(docs, "doc_id"), items, "doc_id", "item_id", 7)
+    assert found.orderBy("item_id", "rank").collect() == stored.orderBy("item_id", "rank").collect()
+
+
 def test_scaled_scores_and_weights(spark):
     dense = spark.createDataFrame([(1, 10, 0.9, 1), (1, 11, 0.5, 2), (2, 10, 0.3, 1)], "q long, id long, score double, rank int")
     lexical = spark.createDataFrame([(1, 11, 7.0, 1), (1, 12, 3.0, 2)], "q long, id long, score double, rank int")
