@@ -69,3 +69,14 @@ def test_equal_values_are_worked_out_once(spark):
     got = of_each(rows, ["kind"], lambda kinds: kinds.withColumn("n", F.udf(longer, "int")("kind"))).collect()
     assert len(got) == 400 and all(r["n"] == (None if r["kind"] is None else r["kind"] + 1) for r in got)
     assert seen.value == 4
+
+
+def test_spans_leave_in_pieces_of_a_batch():
+    import pyarrow as pa
+
+    from tessera.functions import entities as E
+
+    long = "ab  c " * 100_000
+    out = list(E._spans.func(iter([pa.array([long, long, long, None, "", " x"], pa.string())])))
+    assert len(out) == 3 and [len(s) for piece in out for s in piece.to_pylist()] == [200_000] * 3 + [0, 0, 1]
+    assert out[0].to_pylist()[0][:2] == [{"start": 0, "end": 2}, {"start": 4, "end": 5}] and out[-1].to_pylist()[-1] == [{"start": 1, "end": 2}]
