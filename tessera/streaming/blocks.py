@@ -22,6 +22,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from tessera.functions.prompts import server_event
 from tessera.session import ship_package
+from tessera.streaming.events import bucketed
 
 #: Idle time after which a client is told that its stream lives.
 IDLE_MS = 8000
@@ -116,11 +117,31 @@ class _Blocks(StatefulProcessor):
             yield self._rows(key, [frame])
 
 
+class _Shared(StatefulProcessor):
+    """The Machines of a bucket's streams, kept as one value; without timers."""
+
+    def init(self, handle) -> None:
+        self.held = handle.getValueState("machines", "machines array<struct<of string, text boolean, reasoning boolean, n long, ended boolean>>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        machines = {of: Machine(*state) for of, *state in (self.held.get()[0] if self.held.exists() else ())}
+        own, out = pd.concat(list(rows)).sort_values("seq", kind="stable"), []
+        for of, kind, part in zip(own["of"], own["kind"], own["part"]):
+            machine = machines.get(of) or machines.setdefault(of, Machine())
+            out += [(of, *frame) for frame in machine.event(kind, part)]
+        self.held.update(([(of, *machine.state()) for of, machine in machines.items()],))
+        if out:
+            yield pd.DataFrame(out, columns=["of", "n", "frame", "part"])
+
+
 def frames(events: DataFrame, key: str, idle_ms: int | None = None) -> DataFrame:
-    """(key, n, frame, part) of a stream of (key, seq, kind, part). A micro-batch's events of one stream are sorted in memory: bound them by the source's rate."""
+    """(key, n, frame, part) of a stream of (key, seq, kind, part). A micro-batch's events of one stream, or without idle_ms of one bucket of streams, are sorted in memory: bound them by the source's rate."""
     ship_package(events.sparkSession)
     kind = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).transformWithStateInPandas(_Blocks(key, idle_ms), f"{key} {kind}, n long, frame string, part string", "append", "none" if idle_ms is None else "processingTime")
+    if idle_ms is None:
+        own = bucketed(events, key, "seq", "kind", "part").transformWithStateInPandas(_Shared(), "of string, n long, frame string, part string", "append", "none")
+        return own.select(F.col("of").cast(kind).alias(key), "n", "frame", "part")
+    return events.groupBy(key).transformWithStateInPandas(_Blocks(key, idle_ms), f"{key} {kind}, n long, frame string, part string", "append", "processingTime")
 
 
 def _data(kind: str, **fields: Column) -> Column:

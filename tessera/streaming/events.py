@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.group import GroupedData
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tessera.session import fresh_folder
 
@@ -21,13 +23,25 @@ def daily(events: DataFrame, late: str = "2 days") -> DataFrame:
     return own.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total")
 
 
-def sliced(rows: DataFrame, slice_of, slices: int, key: str, files: int = 2) -> DataFrame:
-    """rows as a stream of about so many micro-batches: slice 0 first. Of one key a slice's rows come together. slice_of: a Column of 0 to slices - 1."""
+#: Groups that streams are dealt to. It holds as long as a query's state does.
+BUCKETS = 1024
+
+
+def bucketed(rows: DataFrame, key: str, *columns: str) -> GroupedData:
+    """rows as (bucket, of, columns) by bucket, ``of`` the key as text: a call to Python and to its state costs far more than the few rows that one stream has in a micro-batch."""
+    return rows.select(F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("bucket"), F.col(key).cast("string").alias("of"), *columns).groupBy("bucket")
+
+
+def sliced(rows: DataFrame, slice_of, slices: int, key: str, files: int | None = None) -> DataFrame:
+    """rows as a stream of about so many micro-batches: slice 0 first. Of one key a slice's rows come together. slice_of: a Column of 0 to slices - 1. files: of a slice; else one for each core. rows are worked out once."""
     spark = rows.sparkSession
-    folder = fresh_folder(spark, "slices")
+    folder, files = fresh_folder(spark, "slices"), files or max(2, spark.sparkContext.defaultParallelism)
+    rows.withColumn("__slice", slice_of.cast("int")).write.partitionBy("__slice").parquet(f"{folder}/all")
+    held = spark.read.schema(StructType([*rows.schema, StructField("__slice", IntegerType())])).parquet(f"{folder}/all")
+    # files are streamed in the order of their times
     for i in range(slices):
-        rows.where(slice_of == i).repartition(files, key).write.parquet(f"{folder}/{i}")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(folder)
+        held.where(F.col("__slice") == i).drop("__slice").repartition(files, key).write.parquet(f"{folder}/slices/{i}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(f"{folder}/slices")
 
 
 def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:

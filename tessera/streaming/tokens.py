@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from tessera.session import ship_package
+from tessera.streaming.events import bucketed
 
 OPEN, CLOSE = "<think>", "</think>"
 STOPS = ("<|im_end|>", "<|endoftext|>")
@@ -76,33 +77,36 @@ class Filter:
 
 
 class _Tokens(StatefulProcessor):
-    """One Filter for each stream."""
+    """The Filters of a bucket's streams, kept as one value."""
 
-    def __init__(self, key: str, thinking: bool, stops: tuple[str, ...]):
-        self.key, self.thinking, self.stops = key, thinking, stops
+    def __init__(self, thinking: bool, stops: tuple[str, ...]):
+        self.thinking, self.stops = thinking, stops
 
     def init(self, handle) -> None:
-        self.kept = handle.getValueState("filter", "held string, inside boolean, over boolean, seen boolean, any boolean, ended boolean")
+        self.kept = handle.getValueState("filters", "filters array<struct<of string, held string, inside boolean, over boolean, seen boolean, any boolean, ended boolean>>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state = tuple(self.kept.get()) if self.kept.exists() else None
+        before = self.kept.get()[0] if self.kept.exists() else ()
+        filters = {of: [Filter(self.thinking, self.stops, *state), ended] for of, *state, ended in before}
         own, out = pd.concat(list(rows)).sort_values("seq", kind="stable"), []
-        filter_, ended = (Filter(self.thinking, self.stops, *state[:5]), state[5]) if state else (Filter(self.thinking, self.stops), False)
-        for seq, chunk, last in zip(own["seq"], own["chunk"], own["last"]):
+        for of, seq, chunk, last in zip(own["of"], own["seq"], own["chunk"], own["last"]):
+            kept = filters.get(of) or filters.setdefault(of, [Filter(self.thinking, self.stops), False])
+            filter_, ended = kept
             if not ended:
                 parts = [*filter_.chunk(chunk or ""), *(filter_.end() if last else ())]
-                out += [(key[0], int(seq), n, kind, text) for n, (kind, text) in enumerate(parts)]
-                ended = bool(last)
-        self.kept.update((*filter_.state(), ended))
+                out += [(of, int(seq), n, kind, text) for n, (kind, text) in enumerate(parts)]
+                kept[1] = bool(last)
+        self.kept.update(([(of, *filter_.state(), ended) for of, (filter_, ended) in filters.items()],))
         if out:
-            yield pd.DataFrame(out, columns=[self.key, "seq", "n", "kind", "part"])
+            yield pd.DataFrame(out, columns=["of", "seq", "n", "kind", "part"])
 
 
 def visible(chunks: DataFrame, key: str, *, thinking: bool = False, stops: tuple[str, ...] = STOPS) -> DataFrame:
     """(key, seq, n, kind, part) of a stream of (key, seq, chunk, last): the parts that each chunk makes sure."""
     ship_package(chunks.sparkSession)
     kind = chunks.schema[key].dataType.simpleString()
-    return chunks.groupBy(key).transformWithStateInPandas(_Tokens(key, thinking, stops), f"{key} {kind}, seq long, n int, kind string, part string", "append", "none")
+    own = bucketed(chunks, key, "seq", "chunk", "last").transformWithStateInPandas(_Tokens(thinking, stops), "of string, seq long, n int, kind string, part string", "append", "none")
+    return own.select(F.col("of").cast(kind).alias(key), "seq", "n", "kind", "part")
 
 
 def joined(parts: DataFrame, key: str, *by: str) -> DataFrame:

@@ -246,3 +246,20 @@ def test_held_text_is_no_longer_than_a_mark():
     for _ in range(500):
         list(f.chunk("".join(rng.choice(list("<thinkim_|/>"), 5))))
         assert len(f.held) < max(map(len, (K.OPEN, *K.STOPS)))
+
+
+def test_streams_of_a_bucket_share_a_call_and_a_state(spark):
+    import pandas as pd
+
+    tokens, handle = K._Tokens(False, K.STOPS), _Handle()
+    tokens.init(handle)
+    first = pd.DataFrame({"of": ["a", "b", None, "a"], "seq": [1, 0, 0, 0], "chunk": ["y<th", "p", "n", "x"], "last": [False, False, True, False]})
+    assert sorted(pd.concat(tokens.handleInputRows((0,), iter([first]), None))["part"]) == ["n", "p", "x", "y"]
+    then = pd.DataFrame({"of": ["a", None, "b"], "seq": [2, 1, 1], "chunk": ["ink>no", "late", "<|im_end|>no"], "last": [True, True, True]})
+    assert list(tokens.handleInputRows((0,), iter([then]), None)) == []
+    blocks, handle = B._Shared(), _Handle()
+    blocks.init(handle)
+    for seq, want in ((0, [0, 1] * 2), (1, [2, 2])):
+        rows = pd.DataFrame({"of": ["a", "b"], "seq": [seq, seq], "kind": ["text", "text"], "part": ["s", "t"]})
+        assert sorted(pd.concat(blocks.handleInputRows((0,), iter([rows]), None))["n"]) == sorted(want)
+    assert len(handle.held.value[0]) == 2
