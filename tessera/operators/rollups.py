@@ -88,12 +88,20 @@ def _trigrams(batches, least: int):
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(grams, pa.string()), pa.array(counts, pa.int64())], names=["key", "gram", "n"])
 
 
+#: Keys of several rows that are sent to the texts instead of shuffling these.
+MAX_SENT = 100_000
+
+
 def repeated_trigrams(documents: DataFrame, key: str, least: int) -> DataFrame:
-    """(key, gram, n): the word trigrams, in lower case, that a document has at least so often. Each row is counted where it lies; only keys are shuffled, and the trigrams of keys that several rows have."""
+    """(key, gram, n): the word trigrams, in lower case, that a document has at least so often. Each row is counted where it lies; only keys are shuffled, and the trigrams of keys that several rows have. Those keys are counted first: up to MAX_SENT go to the texts, else the texts are shuffled too."""
     ship_package(documents.sparkSession)
     kind = f"key {documents.schema[key].dataType.simpleString()}, gram string, n long"
     rows = documents.select(F.col(key).alias("key"), F.lower("text").alias("text"))
     often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("key").alias("again"))
+    n = often.limit(MAX_SENT + 1).count()
+    if not n:
+        return rows.mapInArrow(lambda b: _trigrams(b, least), kind).select(F.col("key").alias(key), "gram", "n")
+    often = F.broadcast(often) if n <= MAX_SENT else often
     same = F.col("key").eqNullSafe(F.col("again"))
     single = rows.join(often, same, "left_anti").mapInArrow(lambda b: _trigrams(b, least), kind)
     shared = rows.join(often, same, "left_semi").mapInArrow(lambda b: _trigrams(b, 1), kind).groupBy("key", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)

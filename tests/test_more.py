@@ -80,3 +80,19 @@ def test_spans_leave_in_pieces_of_a_batch():
     out = list(E._spans.func(iter([pa.array([long, long, long, None, "", " x"], pa.string())])))
     assert len(out) == 3 and [len(s) for piece in out for s in piece.to_pylist()] == [200_000] * 3 + [0, 0, 1]
     assert out[0].to_pylist()[0][:2] == [{"start": 0, "end": 2}, {"start": 4, "end": 5}] and out[-1].to_pylist()[-1] == [{"start": 1, "end": 2}]
+
+
+def test_trigrams_shuffle_no_texts(spark, capsys, monkeypatch):
+    from tessera.operators import rollups as A
+
+    rows = [(1, "a b c a b c a b c"), (2, "a b c a b c"), (2, "A b c"), (None, "x y z"), (None, "x y z x y z"), (3, None)]
+    docs = spark.createDataFrame(rows, "k long, text string")
+    want = [(1, "a b c", 3), (2, "a b c", 3), (None, "x y z", 3)]
+    sort = lambda df: sorted(map(tuple, df.collect()), key=str)
+    found = A.repeated_trigrams(docs, "k", 3)
+    found.explain()
+    assert "SortMergeJoin" not in capsys.readouterr().out and sort(found) == sorted(want, key=str)
+    A.repeated_trigrams(docs.where("k = 1"), "k", 3).explain()
+    assert "Join" not in capsys.readouterr().out
+    monkeypatch.setattr(A, "MAX_SENT", 1)
+    assert sort(A.repeated_trigrams(docs, "k", 3)) == sorted(want, key=str)
