@@ -96,3 +96,22 @@ def test_trigrams_shuffle_no_texts(spark, capsys, monkeypatch):
     assert "Join" not in capsys.readouterr().out
     monkeypatch.setattr(A, "MAX_SENT", 1)
     assert sort(A.repeated_trigrams(docs, "k", 3)) == sorted(want, key=str)
+
+
+def test_names_of_texts_without_words_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    import __spark_entry__
+
+    texts = ["", " ", "...", " . , ", "\n", None, "\x0b", "\x0bAbcd efgh", "Abcd\u2028 Efgh", "Abcd\x85", "One. Two, Table"]
+    # each text alone in a file, so that every one is the first that a task sees
+    for i, text in enumerate(texts):
+        (tmp_path / "documents.parquet").mkdir(exist_ok=True)
+        pq.write_table(pa.table({"doc_id": pa.array([i], pa.int64()), "text": pa.array([text], pa.string()), "lang": ["de"]}), tmp_path / "documents.parquet" / f"{i}.parquet")
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        for name in ("pf12_person_like", "pf14_place_candidates", "pf15_person_candidates", "ct02_joint_candidates"):
+            want = sorted(c.execute(__spark_entry__.oracle_sql()[name]).fetchall())
+            assert sorted(tuple(r) for r in __spark_entry__.queries()[name](spark, str(tmp_path)).collect()) == want
