@@ -56,11 +56,13 @@ def renumber(citations: DataFrame, group: list[str], key: list[str], order: str)
 
 
 def islands(spans: DataFrame, by: list[str], lo: str, hi: str) -> DataFrame:
-    """Overlapping or touching spans merged."""
-    w = Window.partitionBy(*by).orderBy(lo, hi)
+    """Overlapping or touching spans merged. Spans without bounds come last, into the last island; where a group has no others, each is its own."""
+    w = Window.partitionBy(*by).orderBy(F.asc_nulls_last(lo), F.asc_nulls_last(hi))
     before = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("__new", F.when(before.isNull() | (F.col(lo) > before), 1).otherwise(0))
-    return marked.withColumn("__island", F.sum("__new").over(w)).groupBy(*by, "__island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi), F.count(F.lit(1)).alias("spans")).drop("__island")
+    # equal spans are peers, so their order does not matter
+    island = F.when(F.col(lo).isNull(), F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).otherwise(F.sum("__new").over(w))
+    return marked.withColumn("__island", island).groupBy(*by, "__island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi), F.count(F.lit(1)).alias("spans")).drop("__island")
 
 
 def repeating(df: DataFrame, key: str, words: int, times: int) -> DataFrame:

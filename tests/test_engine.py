@@ -117,6 +117,12 @@ def test_islands_do_not_depend_on_the_order_of_equal_spans(spark):
     assert got == [x for u in range(3) for x in ((u, 0, 30, 4), (u, 31, 46, 2), (u, 47, 77, 4))]
 
 
+def test_spans_without_bounds_come_last(spark):
+    df = spark.createDataFrame([(1, None, None), (1, 0, 15), (1, 40, 55), (1, None, None), (2, None, None), (2, None, None), (None, 3, 18)], "u int, lo int, hi int").repartition(3)
+    got = sorted(((r["u"], r["lo"], r["hi"], r["spans"]) for r in rollups.islands(df, ["u"], "lo", "hi").collect()), key=str)
+    assert got == sorted([(1, 0, 15, 1), (1, 40, 55, 3), (2, None, None, 1), (2, None, None, 1), (None, 3, 18, 1)], key=str)
+
+
 def test_threshold_keeps_a_safety_net(spark):
     df = spark.createDataFrame([(1, i, s) for i, s in enumerate((0.9, 0.6, 0.2, 0.1), 1)] + [(2, 1, 0.9), (2, 2, 0.8), (2, 3, 0.7), (2, 4, 0.6)], "q int, rank int, score double")
     got = {(r["q"], r["rank"]): r["below_threshold"] for r in retrieval.threshold(df, "q", 0.5, 3).collect()}
